@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing, secrets, url_filter
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op2_secrets": secrets.op2_secrets,
+    "op3_url_filter": url_filter.op3_url_filter,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 SQL = {
+    "op1_mixing": mixing.SQL,
+    "op2_secrets": secrets.SQL,
+    "op3_url_filter": url_filter.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
