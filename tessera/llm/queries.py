@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, mixing, secrets, url_filter
+from . import bpe, chat, exact_dedup, mixing, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_secrets": secrets.op2_secrets,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_chat": chat.op5_chat,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_bpe": bpe.op10_bpe,
