@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, mixing, near_dedup, secrets, toxicity, url_filter
+from . import bpe, chat, exact_dedup, mixing, near_dedup, secrets, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_chat": chat.op5_chat,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_bpe": bpe.op10_bpe,
