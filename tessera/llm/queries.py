@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, mixing, near_dedup, secrets, substring_dedup, toxicity, url_filter
+import corpus_pipeline
+
+from . import ann, bpe, chat, exact_dedup, mixing, near_dedup, secrets, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,7 +15,9 @@ QUERIES = {
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_nearest": ann.op9_nearest,
     "op10_bpe": bpe.op10_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
