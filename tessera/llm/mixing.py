@@ -122,7 +122,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = plan_mix(docs).withColumn("first_position", F.round(F.expr("get(copies, 0).position"), 6))
-    return plan.orderBy("first_position").select("doc_id", "size", "source_size", "target", "taken", "first_position")
+    return plan.orderBy("first_position", "doc_id").select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
 def _sql() -> str:
