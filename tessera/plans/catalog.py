@@ -5,8 +5,11 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "tessera.functions.lists",
+    "tessera.functions.scalars",
     "tessera.operators.term_vectors",
     "tessera.operators.similarity_queries",
+    "tessera.operators.ngrams",
 )
 
 
