@@ -7,9 +7,14 @@ import importlib
 MODULES = (
     "tessera.functions.lists",
     "tessera.functions.scalars",
+    "tessera.functions.text",
     "tessera.operators.term_vectors",
     "tessera.operators.similarity_queries",
     "tessera.operators.ngrams",
+    "tessera.operators.frames",
+    "tessera.operators.spans",
+    "tessera.operators.spelling",
+    "tessera.operators.clustering",
 )
 
 
