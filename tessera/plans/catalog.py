@@ -15,6 +15,8 @@ MODULES = (
     "tessera.operators.spans",
     "tessera.operators.spelling",
     "tessera.operators.clustering",
+    "tessera.sources.files",
+    "tessera.streaming.incremental",
 )
 
 
