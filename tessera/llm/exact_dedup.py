@@ -81,11 +81,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     then, among fully repeated rows, one of them. A null text is empty; all empty texts are one group.
     Other columns of ``docs`` are ignored, whatever their names; no rows give no rows.
     """
-    ids, _ = exact_identity(docs, id_col, text_col, block, route)
+    ids, tables = exact_identity(docs, id_col, text_col, block, route)
     order = F.struct(-F.col("n_chars"), F.col("id").isNull(), "id", "rid")
     best = ids.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best"))
-    best = best.select("level", "name", "group_size", F.col("best.id").alias("keep_id"), F.col("best.rid").alias("keep_rid"))
-    return ids.join(best, ["level", "name"]).select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256", "n_chars")
+    # Only groups of several rows are joined back, as a table of their own: a plain join, whose hot groups adaptive execution splits.
+    best = tables.keep(best.where("group_size > 1").select("level", "name", "group_size", F.col("best.id").alias("keep_id"), F.col("best.rid").alias("keep_rid")))
+    met = ids.join(best, ["level", "name"], "left")
+    alone = F.col("keep_rid").isNull()
+    return met.select(F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (alone | (F.col("rid") == F.col("keep_rid"))).alias("kept"), "text_sha256", "n_chars")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
