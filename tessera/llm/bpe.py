@@ -10,6 +10,8 @@ are merged exactly, lowest rank first.
 
 from __future__ import annotations
 
+import contextlib
+import glob
 import hashlib
 import json
 import mmap
@@ -127,12 +129,20 @@ def mapped(buffer: bytes):
     """The buffer as a read-only mapping of a file that the workers of a machine share."""
     path = os.path.join(tempfile.gettempdir(), f"tessera-words-{hashlib.sha256(buffer).hexdigest()[:24]}.bin")
     if not os.path.exists(path):
+        # Earlier lexicons go; a worker that still maps one keeps it until it ends.
+        for old in glob.glob(os.path.join(tempfile.gettempdir(), "tessera-words-*.bin")):
+            with contextlib.suppress(OSError):
+                os.remove(old)
         handle, new = tempfile.mkstemp(dir=tempfile.gettempdir())
         with os.fdopen(handle, "wb") as out:
             out.write(buffer)
         os.replace(new, path)
-    with open(path, "rb") as f:
-        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    try:
+        with open(path, "rb") as f:
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    except FileNotFoundError:
+        # A worker with another lexicon was quicker.
+        return buffer
 
 
 class Encoder:

@@ -13,7 +13,7 @@ equi-joins whose hot side adaptive execution splits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import Tables
@@ -92,17 +92,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` drops."""
-    staying = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_n"))
+    """``docs`` without the rows that ``exact_groups`` drops; columns may have any names."""
+    p = "__exact_"
+    staying = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(p + "id"), F.col("text_sha256").alias(p + "sha"), F.col("n_chars").alias(p + "n"))
     text = F.col(text_col)
-    marked = docs.select("*", F.sha2(normalised(text), 256).alias("_text_sha"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("_text_n"))
-    match = marked[id_col].eqNullSafe(staying["_id"]) & (marked["_text_sha"] == staying["_sha"]) & (marked["_text_n"] == staying["_n"])
-    met = marked.join(staying, match)
+    marked = docs.select("*", F.sha2(normalised(text), 256).alias(p + "own_sha"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias(p + "own_n"))
+    match = marked[id_col].eqNullSafe(staying[p + "id"]) & (marked[p + "own_sha"] == staying[p + "sha"]) & (marked[p + "own_n"] == staying[p + "n"])
     # Fully repeated rows meet the one row that stays; one of them is kept.
-    from pyspark.sql import Window
-
-    one = Window.partitionBy("_id", "_sha", "_n").orderBy(F.lit(1))
-    return met.withColumn("_one", F.row_number().over(one)).where("_one = 1").select(*docs.columns)
+    one = Window.partitionBy(p + "id", p + "sha", p + "n").orderBy(F.lit(1))
+    return marked.join(staying, match).withColumn(p + "k", F.row_number().over(one)).where(F.col(p + "k") == 1).select(*[docs[c] for c in docs.columns])
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

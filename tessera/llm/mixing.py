@@ -107,16 +107,18 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """The rows of ``docs`` as the mix gives them: a whole row for each copy of which it takes at least half, range-sorted by position.
 
-    Rows of one id are planned one by one; if their texts differ in size, each row takes the plan of its own size.
+    Rows with the same id, source and size take the plans made for such rows one each. Columns may have any names.
     """
+    p = "__mix_"
     plan = plan_mix(docs, id_col, text_col, source_col, **settings)
-    copies = plan.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size"), F.expr("filter(copies, c -> 2 * c.words >= size)").alias("_copies"))
-    # Repeated rows: the k-th row with the same id, source and size takes the k-th plan.
-    same = Window.partitionBy("_id", "_source", "_size")
-    copies = copies.withColumn("_k", F.row_number().over(same.orderBy(F.size("_copies").desc())))
-    rows = docs.withColumn("_size", word_count(F.col(text_col))).withColumn("_k", F.row_number().over(Window.partitionBy(id_col, source_col, "_size").orderBy(F.lit(1))))
-    met = rows.join(copies.where(F.size("_copies") > 0), rows[id_col].eqNullSafe(copies["_id"]) & rows[source_col].eqNullSafe(copies["_source"]) & (rows["_size"] == copies["_size"]) & (rows["_k"] == copies["_k"]))
-    return met.select(*[rows[c] for c in docs.columns], F.explode("_copies").alias("_copy")).orderBy("_copy.position").select(*docs.columns)
+    copies = plan.select(F.col(id_col).alias(p + "id"), F.col(source_col).alias(p + "source"), F.col("size").alias(p + "size"), F.expr("filter(copies, c -> 2 * c.words >= size)").alias(p + "copies"))
+    same = Window.partitionBy(p + "id", p + "source", p + "size").orderBy(F.size(p + "copies").desc())
+    copies = copies.withColumn(p + "k", F.row_number().over(same)).where(F.size(p + "copies") > 0)
+    rows = docs.select("*", word_count(F.col(text_col)).alias(p + "own_size"))
+    rows = rows.withColumn(p + "own_k", F.row_number().over(Window.partitionBy(id_col, source_col, p + "own_size").orderBy(F.lit(1))))
+    match = rows[id_col].eqNullSafe(copies[p + "id"]) & rows[source_col].eqNullSafe(copies[p + "source"]) & (rows[p + "own_size"] == copies[p + "size"]) & (rows[p + "own_k"] == copies[p + "k"])
+    met = rows.join(copies, match).select(*[rows[c] for c in docs.columns], F.explode(p + "copies").alias(p + "copy"))
+    return met.orderBy(F.col(p + "copy.position"), F.col(id_col)).drop(p + "copy")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -235,17 +235,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score_texts(docs: DataFrame, model: tuple[list[str], list[float]], text_col: str = "text") -> DataFrame:
-    """``docs`` with a last column ``_score``: one pass, no shuffle. Null texts are empty."""
+    """``docs`` with a last column ``__toxicity_score``: one pass, no shuffle. Null texts are empty."""
     terms, weights = model
     columns = docs.columns
     at = columns.index(text_col)
-    form = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
+    form = StructType([*docs.schema.fields, StructField("__toxicity_score", DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(terms, weights)
         for batch in batches:
             scores = pa.array([scorer.score(t.as_py() or "") for t in batch.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*columns, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*columns, "__toxicity_score"])
 
     return docs.mapInArrow(run, form)
 
@@ -276,7 +276,7 @@ def _scores_only(cut: DataFrame, model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose score reaches the threshold."""
-    return score_texts(docs, fit(docs, labels, id_col, text_col), text_col).where(F.col("_score") < THRESHOLD).drop("_score")
+    return score_texts(docs, fit(docs, labels, id_col, text_col), text_col).where(F.col("__toxicity_score") < THRESHOLD).drop("__toxicity_score")
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

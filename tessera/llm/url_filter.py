@@ -67,10 +67,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     fits = expressions.join(filed, "short").where((F.col("full") == F.col("digest")) & (F.col("suffix") == F.col("rule_host")) & F.col("path").startswith(F.col("rule_path")))
     name = F.concat("rule_host", "rule_path")
     order = F.struct(F.length(name).alias("n"), F.length("rule_host").alias("h"), (F.col("rule_verdict") == "block").alias("b"), name.alias("rule"), F.col("rule_verdict").alias("verdict"))
-    best = fits.groupBy("url").agg(F.max(order).alias("best")).select(F.col("url").alias("_url"), "best")
+    best = fits.groupBy("url").agg(F.max(order).alias("best")).select(F.col("url").alias("__rule_url"), F.col("best").alias("__rule_best"))
     host, path = host_and_path(F.col(url_col))
-    met = pages.join(best, F.col(url_col) == F.col("_url"), "left")
-    return met.withColumns({"host": host, "path": path, "rule": F.col("best.rule"), "verdict": F.coalesce(F.col("best.verdict"), F.lit(default))}).drop("_url", "best")
+    met = pages.join(best, F.col(url_col) == F.col("__rule_url"), "left")
+    return met.withColumns({"host": host, "path": path, "rule": F.col("__rule_best.rule"), "verdict": F.coalesce(F.col("__rule_best.verdict"), F.lit(default))}).drop("__rule_url", "__rule_best")
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
