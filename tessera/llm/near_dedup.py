@@ -32,7 +32,7 @@ COORDINATES = 64
 PREFIX = 10
 MATCHES = 36
 #: Members of a posting list, and classes and shingles of a component, that meet in one block.
-LIST_BLOCK, TEXT_BLOCK, SHINGLE_BLOCK = 1024, 1000, 400_000
+LIST_BLOCK, TEXT_BLOCK, SHINGLE_BLOCK = 512, 1000, 400_000
 _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
