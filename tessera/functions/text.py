@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..plans.session import spread
+
 #: Titles and shortenings after which a period doesn't end a sentence.
 ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Jr", "Sr", "Inc", "Ltd", "Co", "Corp", "vs", "etc", "No", "Fig", "Vol", "pp", "Gen", "Col", "Capt", "Lt", "Sen", "Rep", "Gov")
 _TOKEN = re.compile(
@@ -195,7 +197,7 @@ def q_blanks(spark, sf_dir):
 
 
 def q_sentences(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(sentences("text")).alias("k", "sentence"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", F.posexplode(sentences("text")).alias("k", "sentence"))
 
 
 def q_links(spark, sf_dir):

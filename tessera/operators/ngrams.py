@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import bounded, spread
+
 #: Factor of the stupid back-off for each order given up.
 ALPHA = 0.4
 #: Mass kept for unseen words in the queries below.
@@ -18,6 +20,7 @@ SMOOTHING = ("none", "backoff", "stupid_backoff", "max", "mean", "wtmean", "quad
 
 def word_arrays(records: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(keep..., words): the runs of letters of each record, lower-cased."""
+    records = spread(records.select(*(keep or []), text_col))
     return records.select(*(keep or []), F.expr(rf"regexp_extract_all(lower(`{text_col}`), '([\\p{{L}}]+)', 1)").alias("words"))
 
 
@@ -53,10 +56,22 @@ def ngram_counts(arrays: DataFrame, n: int, least: int = 1, gap: int = 0) -> Dat
     return counted.where(F.col("n") >= least) if least > 1 else counted
 
 
+def counts_of(arrays: DataFrame, asked: DataFrame, orders: list[int], gap: int = 0) -> DataFrame:
+    """(gram, n): how often each of asked(gram), arrays of words of the given orders, occurs.
+
+    All orders are made in one pass, and what isn't asked for is dropped before anything is shuffled: by a broadcast where the
+    grams asked have been counted to be few, by a plain join otherwise.
+    """
+    made = F.concat(*[ngrams(F.col("words"), n, gap) for n in orders])
+    each = arrays.select(F.explode(made).alias("gram"))
+    return each.join(bounded(asked.select("gram").distinct()), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
 def phrase_frequency(arrays: DataFrame, phrases: DataFrame, n: int, gap: int = 0) -> DataFrame:
     """phrases(w1 .. wn) with the number of their occurrences."""
     keys = [f"w{k + 1}" for k in range(n)]
-    return phrases.distinct().join(ngram_counts(arrays, n, gap=gap), keys, "left").fillna(0, ["n"])
+    asked = phrases.distinct().withColumn("gram", F.array(*keys))
+    return asked.join(counts_of(arrays, asked, [n], gap), "gram", "left").fillna(0, ["n"]).select(*keys, "n")
 
 
 def phrase_locations(tok: DataFrame, phrase: list[str], gaps: list[int] | None = None) -> DataFrame:
@@ -136,14 +151,14 @@ def conditional_probability(arrays: DataFrame, asked: DataFrame, order: int, mod
     keys = [f"w{k + 1}" for k in range(order)]
     out = asked.select(*keys).distinct()
     total = arrays.agg(F.sum(F.size("words")).cast("double").alias("_total"))
-    counts = {n: ngram_counts(arrays, n) for n in range(1, order + 1)}
-    for n in range(1, order + 1):
-        own = keys[order - n :]
-        out = out.join(counts[n].toDF(*own, f"_c{n}"), own, "left")
-        if n > 1:
-            # A history counts wherever it stands, at the end of a record too.
-            history = own[:-1]
-            out = out.join(counts[n - 1].toDF(*history, f"_h{n}"), history, "left")
+    ends = {n: keys[order - n :] for n in range(1, order + 1)}
+    # A history counts wherever it stands, at the end of a record too.
+    wanted = [F.array(*own) for own in ends.values()] + [F.array(*own[:-1]) for n, own in ends.items() if n > 1]
+    counts = counts_of(arrays, out.select(F.explode(F.array_distinct(F.array(*wanted))).alias("gram")), list(range(1, order + 1)))
+    for n, own in ends.items():
+        found = [(f"_c{n}", own)] + ([(f"_h{n}", own[:-1])] if n > 1 else [])
+        for name, words in found:
+            out = out.withColumn("gram", F.array(*words)).join(counts.withColumnRenamed("n", name), "gram", "left").drop("gram")
     out = out.join(total, F.lit(True))
     mass = F.col("_total") * (1.0 + discount)
     ps = [F.when(F.col("_c1") > 0, F.col("_c1") / mass).otherwise(F.lit(discount))] + [F.when(F.col(f"_h{n}") > 0, F.col(f"_c{n}") / F.col(f"_h{n}")) for n in range(2, order + 1)]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import MEASURES, dense_similarity, needed, sparse_similarity, sparse_statistics
+from ..plans.session import ensure_checkpoints
 from .term_vectors import TERMS_SQL, document_vectors
 
 
@@ -53,9 +54,11 @@ SELECT vec_id, round(({m.dense})::DOUBLE, 6) AS similarity FROM s
 def sparse_pairs(spark, sf_dir: str) -> DataFrame:
     """Statistics of each document's term frequencies with the summed vector of its source."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL AND source IS NOT NULL")
-    tv = document_vectors(docs, extra=["source"])
+    ensure_checkpoints(spark)
+    # Words are counted once; totals, centroids and the join all read the counts.
+    tv = document_vectors(docs, extra=["source"]).checkpoint()
     right = tv.groupBy(F.col("source").alias("y"), "term").agg(F.sum("weight").alias("weight"))
-    return sparse_statistics(tv.select(F.col("doc_id").alias("x"), F.col("source").alias("y")).distinct(), tv.select(F.col("doc_id").alias("x"), "term", "weight"), right)
+    return sparse_statistics(docs.select(F.col("doc_id").alias("x"), F.col("source").alias("y")).distinct(), tv.select(F.col("doc_id").alias("x"), "term", "weight"), right)
 
 
 def sparse_query(measure: str):

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import spread
+
 #: Weight of a term that the statistics don't know.
 UNKNOWN_IDF = 1000.0
 #: Words of documents in DuckDB, as ``tokens`` gives them.
@@ -16,6 +18,7 @@ TERMS_SQL = r"words AS (SELECT doc_id, source, unnest(regexp_extract_all(lower(t
 
 def tokens(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """A row for each run of letters, lower-cased; ``keep`` names columns that go along."""
+    docs = spread(docs.select(*(keep or []), text_col))
     return docs.select(*(keep or []), F.explode(F.expr(rf"regexp_extract_all(lower(`{text_col}`), '([\\p{{L}}]+)', 1)")).alias("term"))
 
 

@@ -31,3 +31,18 @@ def build_session(name: str = "tessera", **settings) -> SparkSession:
     for k, v in (defaults | {k.replace("__", "."): str(v) for k, v in settings.items()}).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def spread(df):
+    """``df`` dealt out to all cores where its input has fewer splits than that (a single small file); larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
+def bounded(df, most: int = 200_000):
+    """``df`` marked for broadcast if it has been counted to have ``most`` rows at most, else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
