@@ -71,8 +71,28 @@ def _super_kmers(texts: pa.Array) -> tuple[Words, bytes, list[np.ndarray]]:
     return w, joined, [keys[begin], w.text[first], first - w.first[w.text[first]], windows, moved[w.starts[first]], moved[w.ends[first + windows + WINDOW - 2]]]
 
 
-def _deal(buckets: int):
-    """(h1, h2, text) to (bucket, payload): each payload holds rows of ``_ROW``, compressed."""
+def _even_keys(partitions: int, each: int = 2) -> list[int]:
+    """``each`` numbers for every partition that hash partitioning (Murmur3 with seed 42) sends there: as many buckets in each task."""
+    rotate = lambda x, n: ((x << n) | (x >> (32 - n))) & 0xFFFFFFFF
+    found, number, missing = [[] for _ in range(partitions)], 0, partitions * each
+    while missing:
+        h = (rotate((number * 0xCC9E2D51) & 0xFFFFFFFF, 15) * 0x1B873593) & 0xFFFFFFFF
+        h = (rotate(42 ^ h, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+        h ^= 4
+        h = ((h ^ (h >> 16)) * 0x85EBCA6B) & 0xFFFFFFFF
+        h = ((h ^ (h >> 13)) * 0xC2B2AE35) & 0xFFFFFFFF
+        h ^= h >> 16
+        own = found[(h - (1 << 32) if h >> 31 else h) % partitions]
+        if len(own) < each:
+            own.append(number)
+            missing -= 1
+        number += 1
+    return [k for own in found for k in own]
+
+
+def _deal(keys: list[int]):
+    """(h1, h2, text) to (bucket, payload): each payload holds rows of ``_ROW``, compressed; ``keys`` are the buckets' numbers."""
+    buckets = len(keys)
 
     def payload(rows: list[tuple]) -> bytes:
         sink = pa.BufferOutputStream()
@@ -87,7 +107,7 @@ def _deal(buckets: int):
         size = spread = 0
 
         def out():
-            done = pa.RecordBatch.from_arrays([pa.array(list(gathered), pa.int32()), pa.array([payload(r) for r in gathered.values()], pa.binary())], names=["bucket", "payload"])
+            done = pa.RecordBatch.from_arrays([pa.array([keys[b] for b in gathered], pa.int32()), pa.array([payload(r) for r in gathered.values()], pa.binary())], names=["bucket", "payload"])
             gathered.clear()
             return done
 
@@ -232,7 +252,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tables = Tables(spark, "substrings")
     text = F.coalesce(F.col(text_col), F.lit(""))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(*_names(id_col, text), text.alias("text")).mapInArrow(_deal(2 * partitions), "bucket int, payload binary")
+    dealt = docs.select(*_names(id_col, text), text.alias("text")).mapInArrow(_deal(_even_keys(partitions)), "bucket int, payload binary")
     spans = dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, "h1 long, h2 long, low int, high int")
     spans = tables.keep(spans.groupBy("h1", "h2").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")))
     rows = docs.select(*_names(id_col, text), F.col(id_col).alias("id"), text.alias("text"))
