@@ -18,14 +18,15 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        # Minima are tables of their own, so that the joins with them are plain ones, whose hubs can be split.
+        least = tables.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = tables.keep(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = tables.keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u")
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         after = tables.keep(small)
-        tables.drop(edges, large)
+        tables.drop(edges, large, least, low)
         state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         edges = after
         if tuple(state) == seen:
