@@ -19,6 +19,7 @@ import os
 import re
 import tempfile
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -26,10 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import Tables
+
 #: So many of the corpus's most frequent words go into the automaton; it bounds the broadcast and has no effect on results.
 FREQUENT = 50_000
-#: Words kept ready by a worker, and counted before counts are passed on.
-READY = 300_000
+#: Words kept ready by a worker, and words counted before counts are passed on.
+COUNTED = 300_000
+READY = 500_000
 #: Letters besides a-z that need no normalizing once lower-cased: one code point each, composed, in every Unicode version.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+\Z")
 _PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -54,14 +58,8 @@ class Transducer:
         first, label, target, skip = self.first, self.label, self.target, self.skip
         state, number = self.root, 0
         for b in word:
-            low, high = first[state] & 0x7FFFFFFF, first[state + 1] & 0x7FFFFFFF
-            end = high
-            while low < high:
-                mid = (low + high) // 2
-                if label[mid] < b:
-                    low = mid + 1
-                else:
-                    high = mid
+            end = first[state + 1] & 0x7FFFFFFF
+            low = bisect_left(label, b, first[state] & 0x7FFFFFFF, end)
             if low == end or label[low] != b:
                 return None
             number += skip[low]
@@ -212,18 +210,33 @@ class Encoder:
         return ids
 
     def word(self, word: bytes) -> bytes:
+        """Ids of one pre-tokenized word; those that don't make up a run by themselves are kept ready too."""
         found = self.transducer.get(word) if self.transducer else None
-        if len(self.known) >= READY:
-            self.known.clear()
-        out = self.known[word] = array("I", self.merge(word)).tobytes() if found is None else found.tobytes()
-        return out
+        return array("I", self.merge(word)).tobytes() if found is None else found.tobytes()
+
+    def _known(self, word: bytes) -> bytes:
+        known = self.known
+        if word not in known:
+            if len(known) >= READY // 4:
+                known.clear()
+            known[word] = self.word(word)
+        return known[word]
 
     def chunk(self, chunk: bytes) -> bytes:
-        known, word = self.known, self.word
-        out = b"".join([array("I", [w]).tobytes() if isinstance(w, int) else known[w] if w in known else word(w) for w in self.words(chunk)])
-        if len(self.ready) >= READY:
-            self.ready.clear()
-        self.ready[chunk] = out
+        ready = self.ready
+        if len(ready) >= READY:
+            ready.clear()
+        # Most runs are one word of small letters, perhaps with a stop behind it.
+        bare = chunk[:-1] if chunk[-1:] in (b",", b".") else chunk
+        if self.plain_form and bare.isalpha() and bare.islower():
+            out = ready.get(bare)
+            if out is None:
+                out = ready[bare] = self.word(bare)
+            if bare is not chunk:
+                out = ready[chunk] = out + self._known(chunk[-1:])
+            return out
+        known = self._known
+        out = ready[chunk] = b"".join([array("I", [w]).tobytes() if isinstance(w, int) else known(w) for w in self.words(chunk)])
         return out
 
     def encode(self, text: str) -> bytes:
@@ -251,16 +264,30 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0):
             if (t := text.as_py()) is not None:
                 counts.update(t.encode("utf-8").split())
-                if len(counts) > READY:
+                if len(counts) > COUNTED:
                     yield out()
     yield out()
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = FREQUENT) -> list[bytes]:
-    """The most frequent runs between white space over all documents, ties by bytes."""
+    """The runs between white space that are the most frequent over all documents: those of at least the least frequency that at most ``most`` runs reach.
+
+    The bound is found from the number of runs of each frequency, so no task and no stage sends the driver more than the runs it keeps.
+    """
+    tables = Tables(docs.sparkSession, "words")
     counted = docs.select(F.col(text_col)).mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.where((F.length("word") <= 64) & (F.col("n") > 1)).orderBy(F.desc("n"), "word").limit(most)
-    return [bytes(r[0]) for r in top.collect()]
+    counted = tables.keep(counted.where((F.length("word") <= 64) & (F.col("n") > 1)))
+    # Frequencies by their highest 8 binary digits: a few thousand rows, however large the corpus.
+    rough = F.expr("shiftleft(shiftright(n, greatest(length(bin(n)) - 8, 0)), greatest(length(bin(n)) - 8, 0))")
+    reached, least = 0, None
+    for value, runs in sorted(((r[0], r[1]) for r in counted.groupBy(rough.alias("r")).count().collect()), reverse=True):
+        reached += runs
+        if reached > most:
+            break
+        least = value
+    found = [] if least is None else [bytes(r[0]) for r in counted.where(F.col("n") >= least).select("word").collect()]
+    tables.drop(counted)
+    return sorted(found)
 
 
 def compile_lexicon(spec: str, runs: list[bytes]) -> bytes:
