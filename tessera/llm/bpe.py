@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.session import spread
 from .store import Tables
 
 #: So many of the corpus's most frequent words go into the automaton; it bounds the broadcast and has no effect on results.
@@ -368,5 +369,5 @@ def word_bpe_file() -> str:
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return encode_documents(docs, word_bpe_file(), digests=True, ids=False)

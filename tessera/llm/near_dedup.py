@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType, ArrayType
 
+from ..plans.session import spread
 from .graph import components
 from .store import Tables
 from .words import Words, binary_column, group_bounds, key_groups, list_column, mix, pieces
@@ -233,4 +234,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_groups(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

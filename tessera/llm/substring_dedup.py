@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..plans.session import spread
 from .store import Tables
 from .words import PIECE, Words, _SPACE, _power_tables, key_groups, mix, pieces
 
@@ -262,4 +263,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests=True).withColumnRenamed("kept", "kept_sha256")
+    return remove_repeats(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), digests=True).withColumnRenamed("kept", "kept_sha256")
