@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+from .session import ship
+
 MODULES = (
     "tessera.functions.lists",
     "tessera.functions.scalars",
@@ -20,10 +22,20 @@ MODULES = (
 )
 
 
+def shipped(query):
+    """The query, after the package has been sent to the workers."""
+
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def collect() -> tuple[dict, dict]:
     queries, sql = {}, {}
     for name in MODULES:
         module = importlib.import_module(name)
-        queries |= module.QUERIES
+        queries |= {k: shipped(f) for k, f in module.QUERIES.items()}
         sql |= module.SQL
     return queries, sql

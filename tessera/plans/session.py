@@ -46,3 +46,26 @@ def bounded(df, most: int = 200_000):
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers once for each application, so that they find it wherever they start."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isdir(package):
+        folder = tempfile.mkdtemp(prefix="tessera-package-")
+        atexit.register(shutil.rmtree, folder, True)
+        path = os.path.join(folder, "tessera_package.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+            for where, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(where, name)
+                        out.write(full, os.path.relpath(full, os.path.dirname(package)))
+        sc.addPyFile(path)
+    sc._tessera_shipped = True
