@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.session import ship
+
 OPEN, MIDDLE, CLOSE = b"### ", b": ", b"</turn>\n"
 #: The role whose texts carry the loss.
 ASSISTANT = "assistant"
@@ -111,6 +113,7 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     empty; rows with a null conversation are one conversation. The loss spans (code points) hold the texts of assistant
     turns. No rows give no rows; other columns are ignored. A conversation is one cell, so it must fit a task.
     """
+    ship(turns.sparkSession)
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("_turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     dealt = rows.repartition("conv").sortWithinPartitions("conv", "_turn", "role", "text").select("conv", "role", "text")
     kind = turns.schema[conv_col].dataType

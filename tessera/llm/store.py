@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.session import ship
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where that is unset (local tests) a new one of this process."""
@@ -37,6 +39,7 @@ class Tables:
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        ship(spark)
         self.spark, self.root, self.count = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
 
     def keep(self, df: DataFrame) -> DataFrame:
