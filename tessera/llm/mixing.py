@@ -95,9 +95,10 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     want = F.round("target").cast("long")
 
     def copy(e):
+        # A source without words has target 0; its copies have no words and are left out below.
         start = F.col("offset") + F.lit(e) * F.col("source_size")
         words = F.greatest(F.least(want - start, F.col("size")), F.lit(0)).cast("long")
-        return F.struct(F.lit(e).alias("copy"), _invert(start / F.col("target"), F.col("schedule"), schedules).alias("position"), words.alias("words"))
+        return F.struct(F.lit(e).alias("copy"), _invert(F.try_divide(start, F.col("target")), F.col("schedule"), schedules).alias("position"), words.alias("words"))
 
     taken = F.filter(F.array(*[copy(e) for e in range(most)]), lambda c: c["words"] > 0)
     placed = placed.withColumn("copies", taken).withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"]))

@@ -43,6 +43,14 @@ def test_mix_meets_targets(spark, sf_dir):
         assert at == sorted(at) and 0 <= at[0] and at[-1] <= 1
 
 
+def test_a_source_without_words(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, None, "y"), (3, " \n", "y"), (4, "", None)], "doc_id long, text string, source string")
+    got = {r.doc_id: (r["size"], r.target > 0, r.taken) for r in mixing.plan_mix(docs).collect()}
+    assert got == {1: (3, True, 3), 2: (0, False, 0), 3: (0, False, 0), 4: (0, False, 0)}
+    assert [r.doc_id for r in mixing.mixed(docs).collect()] == [1]
+    assert mixing.mixed(docs.where("doc_id > 1")).count() == 0
+
+
 def test_targets_by_hand(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1), ("c", 100), (None, 9)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
