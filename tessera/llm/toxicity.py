@@ -3,7 +3,7 @@
 The lexicon is learned from labelled training rows: words and word beginnings that toxic documents hold
 far more often than clean ones. Its terms form a trie. The product of the trie with a Levenshtein
 automaton (any term within one edit) is made deterministic as words are read, so a word costs one table
-step per letter and most words leave the automaton after a few. A hit counts as quoted if its window of
+step per letter and most words leave the automaton after a few. Letters around a single digit or sign are read as one word too. A hit counts as quoted if its window of
 words has quotation marks on both sides of it or a word of saying before a mark; a logistic model over counts of
 exact, misspelled and quoted hits, and their share of the words, gives the score.
 """
@@ -26,7 +26,7 @@ from .store import Tables
 
 #: Labelled rows that the lexicon and the weights are fitted on at most (lowest hashes first); bounds what is broadcast and collected.
 SAMPLE = 16_000
-#: Terms of the lexicon at most.
+#: Beginnings in the lexicon at most, and whole words.
 TERMS = 400
 #: A term needs so much evidence, documents times relative entropy against the share of toxic ones: about 1 in 20 that any of a million unrelated ones passes.
 EVIDENCE = 17.0
@@ -48,13 +48,14 @@ FEATURES = 6
 class LexiconAutomaton:
     """Words against all terms at once: bit 1 for a term as (the beginning of) the word, bit 2 for a term one edit away from the whole word.
 
-    A state is a set of (trie node, edits); its transitions are worked out when first taken.
+    The terms in ``words`` are whole words and no beginnings. A state is a set of (trie node, edits); its transitions are worked out when first taken.
     """
 
-    def __init__(self, terms: Iterable[str], least_fuzzy: int = 5) -> None:
+    def __init__(self, terms: Iterable[str], least_fuzzy: int = 5, words: Iterable[str] = ()) -> None:
         self.children: list[dict[str, int]] = [{}]
-        self.depth, self.ends = [0], [False]
-        for term in sorted(set(terms)):
+        self.depth, self.ends, self.wholes = [0], [False], [False]
+        begins = set(terms)
+        for term in sorted(begins | set(words)):
             node = 0
             for c in term:
                 if c not in self.children[node]:
@@ -62,13 +63,15 @@ class LexiconAutomaton:
                     self.children.append({})
                     self.depth.append(self.depth[node] + 1)
                     self.ends.append(False)
+                    self.wholes.append(False)
                 node = self.children[node][c]
-            self.ends[node] = True
+            self.ends[node], self.wholes[node] = term in begins, True
         self.least_fuzzy = least_fuzzy
         self.numbers: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
         self.exact: list[bool] = []
+        self.whole: list[bool] = []
         self.fuzzy: list[bool] = []
         self.start = self._number(self._closed({(0, 0)}))
 
@@ -82,7 +85,8 @@ class LexiconAutomaton:
             self.sets.append(pairs)
             self.steps.append({})
             self.exact.append(any(not e and self.ends[n] for n, e in pairs))
-            self.fuzzy.append(any(e and self.ends[n] and self.depth[n] >= self.least_fuzzy for n, e in pairs))
+            self.whole.append(any(not e and self.wholes[n] for n, e in pairs))
+            self.fuzzy.append(any(e and self.wholes[n] and self.depth[n] >= self.least_fuzzy for n, e in pairs))
         return self.numbers[pairs]
 
     def _step(self, state: int, c: str) -> int:
@@ -98,7 +102,7 @@ class LexiconAutomaton:
         return number
 
     def match(self, word: str) -> int:
-        state, exact = self.start, False
+        state = self.start
         for c in word:
             following = self.steps[state].get(c)
             state = self._step(state, c) if following is None else following
@@ -106,19 +110,25 @@ class LexiconAutomaton:
                 return 1
             if not self.sets[state]:
                 return 0
-        return 2 if self.fuzzy[state] else 0
+        return 1 if self.whole[state] else 2 if self.fuzzy[state] else 0
 
 
 class Scorer:
-    def __init__(self, terms: list[str], weights: list[float] | None = None) -> None:
-        self.automaton = LexiconAutomaton(terms)
+    def __init__(self, terms: list[str], weights: list[float] | None = None, words: list[str] = ()) -> None:
+        self.automaton = LexiconAutomaton(terms, words=words)
         self.weights = weights
         self.ready: dict[str, int] = {}
 
     def _code(self, run: str) -> int:
-        code = 0
-        for word in _LETTERS.findall(run.lower()):
-            code |= self.automaton.match(word)
+        code, run_ = 0, run.lower()
+        parts = [m.span() for m in _LETTERS.finditer(run_)]
+        for a, b in parts:
+            code |= self.automaton.match(run_[a:b])
+        if not code & 1:
+            # A word one edit from a term, which is all letters, has one other character at most.
+            for (a, b), (c, d) in zip(parts, parts[1:]):
+                if c == b + 1:
+                    code |= self.automaton.match(run_[a:d])
         if len(self.ready) >= READY:
             self.ready.clear()
         self.ready[run] = code
@@ -153,18 +163,19 @@ class Scorer:
 
 
 def _beginnings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, toxic, n): documents of each label that hold a word or beginning."""
+    """(term, whole, toxic, n): documents of each label that hold a whole word or a beginning."""
     counts: Counter = Counter()
 
     def out():
         rows = list(counts.items())
         counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in rows], pa.string()), pa.array([r[0][1] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64())], names=["term", "toxic", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in rows], pa.string()), pa.array([r[0][1] for r in rows], pa.bool_()), pa.array([r[0][2] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64())], names=["term", "whole", "toxic", "n"])
 
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
             words = set(_LETTERS.findall((text.as_py() or "").lower()))
-            counts.update((t, toxic) for t in {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)})
+            counts.update((t, False, toxic) for t in {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)})
+            counts.update((w, True, toxic) for w in words)
             if len(counts) > READY:
                 yield out()
     yield out()
@@ -201,8 +212,8 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[list[str], list[float]]:
-    """(terms, weights) from at most ``sample`` labelled rows that aren't held out."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[list[str], list[float], list[str]]:
+    """(beginnings, weights, whole words) from at most ``sample`` labelled rows that aren't held out."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     chosen = usable.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_toxic")).distinct().orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(sample)
     rows = [(r[0], int(r[1] != 0)) for r in chosen.collect()]
@@ -216,34 +227,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     parted = texts.agg(F.sum("_toxic"), F.count(F.lit(1))).first()
     toxic, clean = parted[0] or 0, parted[1] - (parted[0] or 0)
     if not toxic or not clean:
-        return [], [0.0] * FEATURES + [-30.0 if not toxic else 30.0]
-    counted = texts.mapInArrow(_beginnings, "term string, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
+        return [], [0.0] * FEATURES + [-30.0 if not toxic else 30.0], []
+    counted = texts.mapInArrow(_beginnings, "term string, whole boolean, toxic int, n long").groupBy("term", "whole").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (clean + 1))
     share = toxic / (toxic + clean)
     evidence = F.col("a") * F.log(F.col("a") / (F.col("a") + F.col("b")) / share) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (F.col("a") + F.col("b")) / (1 - share))).otherwise(0.0)
-    best = counted.where((F.col("a") > 0) & (odds > 2) & (evidence >= EVIDENCE)).orderBy((F.col("a") * odds).desc(), F.length("term").desc(), "term").limit(20 * TERMS)
-    terms = choose_terms([(r[0], r[1], r[2]) for r in best.collect()], toxic, clean)
+    strong = tables.keep(counted.where((F.col("a") > 0) & (odds > 2) & (evidence >= EVIDENCE)))
+    order = [(F.col("a") * odds).desc(), F.length("term").desc(), "term"]
+    best = strong.where("NOT whole").orderBy(*order).limit(20 * TERMS)
+    terms = choose_terms([(r.term, r.a, r.b) for r in best.collect()], toxic, clean)
+    # Whole words that a beginning covers are kept: only the whole is one edit from its misspellings.
+    words = [r.term for r in strong.where("whole").orderBy(*order).limit(TERMS).collect()]
+    tables.drop(strong)
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(terms)
+        scorer = Scorer(terms, words=words)
         for batch in batches:
             x = [scorer.features(t.as_py() or "") for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
     measured = texts.mapInArrow(measure, "x array<double>, y int").collect()
     tables.drop(texts)
-    return terms, fit_weights(np.array([r[0] for r in measured]), np.array([float(r[1] != 0) for r in measured]))
+    return terms, fit_weights(np.array([r[0] for r in measured]), np.array([float(r[1] != 0) for r in measured])), words
 
 
-def score_texts(docs: DataFrame, model: tuple[list[str], list[float]], text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, model: tuple[list[str], list[float], list[str]], text_col: str = "text") -> DataFrame:
     """``docs`` with a last column ``__toxicity_score``: one pass, no shuffle. Null texts are empty."""
-    terms, weights = model
+    terms, weights, words = model
     columns = docs.columns
     at = columns.index(text_col)
     form = StructType([*docs.schema.fields, StructField("__toxicity_score", DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(terms, weights)
+        scorer = Scorer(terms, weights, words)
         for batch in batches:
             scores = pa.array([scorer.score(t.as_py() or "") for t in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*columns, "__toxicity_score"])
@@ -265,10 +281,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def _scores_only(cut: DataFrame, model) -> DataFrame:
     """(id, score): the texts don't come back from Python."""
-    terms, weights = model
+    terms, weights, words = model
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(terms, weights)
+        scorer = Scorer(terms, weights, words)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.score(t.as_py() or "") for t in batch.column(1)], pa.float64())], names=["id", "score"])
 

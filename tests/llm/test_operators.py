@@ -174,6 +174,26 @@ def test_toxic_words_are_learned(spark, no_docs):
     assert toxicity.toxicity_scores(d, l.limit(0)).agg(F.max("predicted")).first()[0] == 0
 
 
+def test_disguised_words_are_scored():
+    weights = [1.0] * toxicity.FEATURES + [0.0]
+    scorer = toxicity.Scorer(["idiot", "worthl"], weights, ["trash", "stupid", "worthlessness"])
+    clean = scorer.score("you are here")
+    for word in ("idi0t", "tr4sh", "st*pid", "so,idi0t!", "(STUP1D)", "worth.lessness", "worthlessness", "worhlessness", "w0rthlessness", "worth1essness"):
+        assert scorer.score(f"you are {word}") > clean, word
+    for word in ("trashcan", "tr44sh", "some-thing", "idio"[:3], "in/out"):
+        assert scorer.score(f"you are {word}") == clean, word
+
+
+def test_long_words_are_learned_whole(spark):
+    docs = [(i, f"plain words here and there {'what a slimeballishness' if i % 4 == 0 else 'all is well'} number{i}") for i in range(400)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    l = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in docs], "doc_id long, quality int, toxic int")
+    terms, weights, words = toxicity.fit(d, l)
+    assert "slimeballishness" in words
+    scorer = toxicity.Scorer(terms, weights, words)
+    assert scorer._code("s1imeballishness") == scorer._code("slmeballishness") == 2 and scorer._code("slimeballishness") == 1
+
+
 def test_quotation_is_told_apart():
     assert toxicity.Scorer._quoted('he said “you idiot” and left'.split(), 3)
     assert not toxicity.Scorer._quoted("you are an idiot and a fool".split(), 3)
