@@ -1,8 +1,8 @@
 """Frames: slots, facets and fillers as one long table, with relations, inverse links and inheritance.
 
 fillers(frame, slot, facet, pos, value) holds ordered values without repeats; relations(slot, inverse) pairs slots.
-Inheritance walks parents level by level: a round joins the frontier of all asked frames with the parent links at
-once and drops what it has seen, so the depth of the hierarchy bounds the rounds and no recursion runs on the driver.
+Inheritance walks from branching to branching: a round joins the frontier of all asked frames with the parent links at
+once and drops what it has seen. Chains of single links are shortened and closures doubled, so neither is limited in depth.
 """
 
 from __future__ import annotations
@@ -94,22 +94,21 @@ def all_slots(fillers: DataFrame) -> DataFrame:
     return fillers.select("frame", "slot", "facet").distinct()
 
 
-def closure(edges: DataFrame, most: int = 100) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(child, ancestor, depth): everything reachable along (child, parent), at its least depth; cycles end by themselves.
 
-    Rounds run until nothing new is reached; each is materialised, so plans stay short.
+    A round doubles the depth that is covered: what is reached from the farthest ancestors so far is added. Each is materialised, so plans stay short.
     """
     reached = edges.select("child", F.col("parent").alias("ancestor")).distinct().withColumn("depth", F.lit(1)).checkpoint()
-    frontier, depth = reached, 1
-    up = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("next")).distinct()
-    while depth < most:
-        depth += 1
-        new = frontier.join(up, "ancestor").select("child", F.col("next").alias("ancestor")).distinct()
-        frontier = new.join(reached, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
-        if frontier.isEmpty():
-            return reached
-        reached = reached.unionByName(frontier)
-    return reached
+    covered = 1
+    while True:
+        farthest = reached.where((F.col("depth") == covered) & F.col("ancestor").isNotNull()).select(F.col("child").alias("from"), F.col("ancestor").alias("via"))
+        new = farthest.join(reached, farthest["via"] == reached["child"]).select(F.col("from").alias("child"), "ancestor", (F.col("depth") + covered).alias("depth"))
+        both = reached.unionByName(new).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")).checkpoint()
+        covered *= 2
+        if both.where(F.col("depth") == covered).isEmpty():
+            return both
+        reached = both
 
 
 def is_a(fillers: DataFrame, pairs: DataFrame, slots=(ISA,), first=(INSTANCE_OF,)) -> DataFrame:
@@ -136,7 +135,7 @@ def _edges(fillers: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
     return first, isa
 
 
-def inherit(fillers: DataFrame, slot: str, facet: str = VALUE, mode: str = "dfs", frames: DataFrame | None = None, most: int = 100) -> DataFrame:
+def inherit(fillers: DataFrame, slot: str, facet: str = VALUE, mode: str = "dfs", frames: DataFrame | None = None) -> DataFrame:
     """(frame, source, pos, value): fillers of the slot, its own or those of the first ancestor that has any.
 
     bfs takes the nearest ancestor, ties in order of the links; dfs the first in pre-order; local modes look along the slot's
@@ -147,47 +146,72 @@ def inherit(fillers: DataFrame, slot: str, facet: str = VALUE, mode: str = "dfs"
     have = fillers.where((F.col("slot") == slot) & (F.col("facet") == facet)).select(F.col("frame").alias("source"), "pos", "value")
     asked = (frames if frames is not None else fillers).select("frame").distinct()
     holders = have.select("source").distinct()
-    start = asked.select("frame", F.col("frame").alias("node"), F.array().cast("array<long>").alias("path"))
-    found = start.join(holders, start["node"] == holders["source"]).select("frame", "source", "path", F.lit(0).alias("stage"))
+    start = asked.select("frame", F.col("frame").alias("node"), F.struct(F.lit(0).cast("long").alias("depth"), F.array().cast("array<long>").alias("path")).alias("rank"))
+    found = start.join(holders, start["node"] == holders["source"]).select("frame", "source", "rank", F.lit(0).alias("stage"))
     if mode != "none":
+        start = start.join(holders, start["node"] == holders["source"], "left_anti")
         if mode.startswith("local"):
             local = fillers.where((F.col("slot") == slot) & (F.col("facet") == INHERITS)).select(F.col("frame").alias("child"), F.col("value").alias("parent"), "pos")
-            found = found.unionByName(_walk(start, local, local, holders, most, depth_first=mode.endswith("dfs")).withColumn("stage", F.lit(1)))
+            found = found.unionByName(_walk(start, local, local, holders, depth_first=mode.endswith("dfs")).withColumn("stage", F.lit(1)))
         first, later = _edges(fillers, mode)
-        found = found.unionByName(_walk(start, first, later, holders, most, depth_first=mode.endswith("dfs")).withColumn("stage", F.lit(2)))
-    breadth = not mode.endswith("dfs")
-    order = [F.col("stage"), F.size("path") if breadth else F.lit(0), F.col("path")]
-    best = found.groupBy("frame").agg(F.min_by("source", F.struct(*order)).alias("source"))
+        # Frames whose first links aren't their later ones; in the part modes all links are alike.
+        kept = None if mode.startswith("part") else parents(fillers, INSTANCE_OF).select(F.col("child").alias("frame")).join(asked, "frame").distinct()
+        found = found.unionByName(_walk(start, first, later, holders, depth_first=mode.endswith("dfs"), kept=kept).withColumn("stage", F.lit(2)))
+    best = found.groupBy("frame").agg(F.min_by("source", F.struct("stage", "rank")).alias("source"))
     return best.join(have, "source").select("frame", "source", "pos", "value")
 
 
-def _walk(start: DataFrame, first: DataFrame, later: DataFrame, holders: DataFrame, most: int, depth_first: bool) -> DataFrame:
-    """(frame, source, path) for holders met on the way up; path has the positions of the links taken.
+def _jumps(later: DataFrame, holders: DataFrame, kept: DataFrame | None) -> DataFrame:
+    """(node, to, steps, endless): where the only link of a node leads past all other nodes with one link that aren't holders or ``kept``.
 
-    Breadth first, a node is kept once for each frame by its first path and the walk ends at the nearest holder. Depth first,
-    paths are compared as wholes, so a node is walked on again only along a path that comes earlier than the one known.
+    A round doubles the steps, so a chain takes the logarithm of its length; what leads into a ring of such nodes is endless.
     """
-    hits, step, seen, depth = [], start, start.select("frame", "node", "path"), 0
-    edges = first
-    while depth < most:
-        depth += 1
-        grown = step.join(edges, step["node"] == edges["child"]).select("frame", F.col("parent").alias("node"), F.concat("path", F.array("pos")).alias("path"))
-        grown = grown.groupBy("frame", "node").agg(F.min("path").alias("path"))
-        known = seen.groupBy("frame", "node").agg(F.min("path").alias("_known"))
-        grown = grown.join(known, ["frame", "node"], "left")
-        grown = grown.where(F.col("_known").isNull() | (F.lit(depth_first) & (F.col("path") < F.col("_known")))).drop("_known").checkpoint()
+    single = later.groupBy("child").agg(F.count(F.lit(1)).alias("n"), F.first("parent").alias("to")).where((F.col("n") == 1) & F.col("to").isNotNull())
+    for no in (holders.toDF("node"), *([] if kept is None else [kept.toDF("node")])):
+        single = single.join(no, single["child"] == no["node"], "left_anti")
+    jumps = single.select(F.col("child").alias("node"), "to", F.lit(1).cast("long").alias("steps"), F.lit(True).alias("endless")).checkpoint()
+    nodes, covered = jumps.count(), 1
+    while True:
+        on = jumps.select(F.col("node").alias("at"), F.col("to").alias("on"), F.col("steps").alias("more"))
+        # Not endless: the node led to is none to be passed.
+        jumps = jumps.join(on, F.col("to") == F.col("at"), "left").select("node", F.coalesce("on", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("at").isNotNull().alias("endless")).checkpoint()
+        covered *= 2
+        # A way of more steps than there are nodes is a ring.
+        if covered > 2 * nodes or jumps.where("endless").isEmpty():
+            return jumps
+
+
+def _walk(start: DataFrame, first: DataFrame, later: DataFrame, holders: DataFrame, depth_first: bool, kept: DataFrame | None = None) -> DataFrame:
+    """(frame, source, rank) for holders met on the way up; rank has the links walked (0 if depth first) and the positions of the links chosen.
+
+    Nodes with a single link are passed at once (``_jumps``): paths from one frame only part where there are several, so their order stays.
+    A node is walked on again only with a rank that comes before the one known, until there is none.
+    """
+    jumps = _jumps(later, holders, kept)
+
+    def jumped(edges: DataFrame) -> DataFrame:
+        far = edges.join(jumps, edges["parent"] == jumps["node"], "left").where(~F.coalesce("endless", F.lit(False)))
+        return far.select("child", F.coalesce("to", "parent").alias("parent"), "pos", F.lit(0).cast("long").alias("links") if depth_first else (1 + F.coalesce("steps", F.lit(0))).alias("links")).checkpoint()
+
+    edges, later = jumped(first), jumped(later)
+    step, seen, rounds = start, start, 0
+    hits = start.select("frame", F.col("node").alias("source"), "rank").where(F.lit(False))
+    while True:
+        rank = F.struct((F.col("rank.depth") + F.col("links")).alias("depth"), F.concat("rank.path", F.array("pos")).alias("path"))
+        grown = step.join(edges, step["node"] == edges["child"]).select("frame", F.col("parent").alias("node"), rank.alias("rank"))
+        grown = grown.groupBy("frame", "node").agg(F.min("rank").alias("rank"))
+        known = seen.groupBy("frame", "node").agg(F.min("rank").alias("_known"))
+        grown = grown.join(known, ["frame", "node"], "left").where(F.col("_known").isNull() | (F.col("rank") < F.col("_known"))).drop("_known").checkpoint()
         if grown.isEmpty():
-            break
-        met = grown.join(holders, grown["node"] == holders["source"]).select("frame", "source", "path")
-        hits.append(met)
+            return hits
+        hits = hits.unionByName(grown.join(holders, grown["node"] == holders["source"]).select("frame", "source", "rank"))
         # Nothing behind a holder is asked for.
         step = grown.join(holders, grown["node"] == holders["source"], "left_anti")
         seen = seen.unionByName(grown)
-        edges = later
-    out = start.select("frame", F.col("node").alias("source"), "path").where(F.lit(False))
-    for h in hits:
-        out = out.unionByName(h)
-    return out
+        edges, rounds = later, rounds + 1
+        if rounds % 8 == 0:
+            seen = seen.groupBy("frame", "node").agg(F.min("rank").alias("rank")).checkpoint()
+            hits = hits.groupBy("frame", "source").agg(F.min("rank").alias("rank")).checkpoint()
 
 
 def collect_slots(fillers: DataFrame) -> DataFrame:

@@ -151,6 +151,24 @@ def test_inheritance_modes(spark):
     assert got == {"none": [], "simple": ["deep"], "dfs": ["deep"], "bfs": ["near"], "part_bfs": ["whole"], "part_dfs": ["whole"], "local_dfs": ["isa"], "local_bfs": ["isa"], "whatever": ["deep"]}
 
 
+def test_long_chains_are_walked_to_the_top(spark):
+    from tessera.plans.session import ensure_checkpoints
+
+    ensure_checkpoints(spark)
+    n = 300
+    links = [(f"{k}", slot, "VALUE", 0, f"{k + 1}") for k in range(n) for slot in ("IS-A", "PART-OF")]
+    # A ring that leads nowhere, and one passed on the way.
+    links += [("r", "IS-A", "VALUE", 0, "t"), ("t", "IS-A", "VALUE", 0, "r"), ("250", "IS-A", "VALUE", 1, "249")]
+    f = fillers(spark, links + [(f"{n}", "S", "VALUE", 0, "top")])
+    asked = spark.createDataFrame([("0",), ("r",), ("150",)], "frame string")
+    for mode in ("simple", "dfs", "bfs", "part_bfs"):
+        assert sorted((r.frame, r.source, r.value) for r in frames.inherit(f, "S", mode=mode, frames=asked).collect()) == [("0", f"{n}", "top"), ("150", f"{n}", "top")]
+    chain = frames.closure(f.where("slot = 'PART-OF'").select(F.col("frame").alias("child"), F.col("value").alias("parent")))
+    assert chain.count() == n * (n + 1) // 2 and chain.where("depth != int(ancestor) - int(child)").isEmpty()
+    assert frames.part_of(f, spark.createDataFrame([("0", f"{n}")], "frame string, ancestor string")).first().part_of
+    assert frames.collect_slots(f).where("frame = '0' AND slot = 'S'").first().source == f"{n}"
+
+
 def test_frame_edits(spark):
     rel = frames.relations(spark)
     f = fillers(spark, [("a", "IS-A", "VALUE", 0, "b")])
