@@ -15,7 +15,7 @@ VALUE, INHERITS = "VALUE", "INHERITS"
 FILLERS = "frame string, slot string, facet string, pos long, value string"
 #: Predefined pairs of slots.
 RELATIONS = [(ISA, SUBCLASSES), (SUBCLASSES, ISA), (INSTANCE_OF, INSTANCES), (INSTANCES, INSTANCE_OF), (PART_OF, HAS_PARTS), (HAS_PARTS, PART_OF)]
-MODES = ("none", "simple", "dfs", "bfs", "part_dfs", "part_bfs", "local_dfs", "local_bfs", "user")
+MODES = ("none", "simple", "dfs", "bfs", "part_dfs", "part_bfs", "local_dfs", "local_bfs")
 
 
 def relations(spark: SparkSession, more: list[tuple[str, str]] = ()) -> DataFrame:

@@ -137,6 +137,10 @@ def fillers(spark, rows):
     return spark.createDataFrame([(f, s, c, p, v) for f, s, c, p, v in rows], frames.FILLERS)
 
 
+def test_no_mode_without_code():
+    assert "user" not in frames.MODES and len(frames.MODES) == 8
+
+
 def test_inheritance_modes(spark):
     from tessera.plans.session import ensure_checkpoints
 
