@@ -73,7 +73,8 @@ def diversity_sample(vectors: DataFrame, n: int, seed: int = 0, id_col: str = "i
     """n vectors by hash, ordered by how little they resemble the others: the sum of squared similarities, ascending."""
     from ..functions.scalars import sample_rows
 
-    rows = [(str(r[0]), r[1]) for r in sample_rows(vectors.select(id_col, F.col("v").cast("array<double>")), id_col, min(n, MOST_CENTROIDS), seed).collect()]
+    rows = [(str(r[0]), r[1]) for r in sample_rows(vectors.select(id_col, F.col("v").cast("array<double>")), id_col, min(n, MOST_CENTROIDS + 1), seed).collect()]
+    _checked(rows, MOST_CENTROIDS, "rows")
     spark = vectors.sparkSession
     import numpy as np
 
@@ -168,7 +169,8 @@ def multipass(vectors: DataFrame, threshold: float, clusters: int, id_col: str =
     """A pass at nine tenths of the threshold gives the clusters, a second one starts from their sums."""
     first = incremental(vectors, 0.9 * threshold, clusters, id_col=id_col)
     sums = centroids(vectors.withColumnRenamed(id_col, "id").join(first, "id"))
-    return incremental(vectors, threshold, clusters, state=[(r[0], r[1]) for r in sums.orderBy("cluster").limit(MOST_CENTROIDS).collect()], id_col=id_col)
+    state = [(r[0], r[1]) for r in sums.orderBy("cluster").limit(MOST_CENTROIDS + 1).collect()]
+    return incremental(vectors, threshold, clusters, state=_checked(state, MOST_CENTROIDS, "clusters"), id_col=id_col)
 
 
 def hierarchical_seeds(vectors: DataFrame, clusters: int, seed: int = 0, id_col: str = "id") -> list[tuple[str, list[float]]]:

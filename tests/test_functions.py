@@ -137,6 +137,17 @@ def fillers(spark, rows):
     return spark.createDataFrame([(f, s, c, p, v) for f, s, c, p, v in rows], frames.FILLERS)
 
 
+def test_clusters_beyond_the_bound_raise(spark, monkeypatch):
+    from tessera.operators import clustering
+
+    monkeypatch.setattr(clustering, "MOST_CENTROIDS", 3)
+    v = spark.createDataFrame([(k, [float(k == j) for j in range(5)]) for k in range(5)], "id long, v array<double>")
+    assert clustering.diversity_sample(v, 3).count() == 3
+    for act in (lambda: clustering.diversity_sample(v, 4), lambda: clustering.multipass(v, 0.9, 5).collect()):
+        with pytest.raises(ValueError):
+            act()
+
+
 def test_no_mode_without_code():
     assert "user" not in frames.MODES and len(frames.MODES) == 8
 
