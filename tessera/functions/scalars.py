@@ -156,14 +156,14 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 def sniff_encoding(content: Column) -> Column:
     """utf-16be, utf-16le and utf-8 by byte-order mark, ascii, else a guess by where zero bytes stand."""
-    head = F.hex(F.substring(content, 1, 64))
+    head = F.hex(F.substring(content, 1, 3))
     text = F.decode(content, "ISO-8859-1")
-    pairs = F.regexp_extract_all(head, F.lit("(..)(..)"), F.lit(1))
-    odds = F.regexp_extract_all(head, F.lit("(..)(..)"), F.lit(2))
-    zero = lambda a: F.size(F.filter(a, lambda x: x == "00"))
+    # The first and the second bytes of all pairs.
+    pairs, odds = F.regexp_replace(text, "(?s)(.).?", "$1"), F.regexp_replace(text, "(?s).(.?)", "$1")
+    zero = lambda a: F.length(F.regexp_replace(a, "[^\\x00]", ""))
     return (
         F.when(head.startswith("FEFF"), "utf-16be").when(head.startswith("FFFE"), "utf-16le").when(head.startswith("EFBBBF"), "utf-8")
-        .when(zero(pairs) > zero(odds), "utf-16be").when(zero(odds) > zero(pairs), "utf-16le").when(~text.rlike("[^\\x00-\\x7F]"), "ascii").otherwise("latin-1")
+        .when(text.rlike("\\x00") & (zero(pairs) > zero(odds)), "utf-16be").when(text.rlike("\\x00") & (zero(odds) > zero(pairs)), "utf-16le").when(~text.rlike("[^\\x00-\\x7F]"), "ascii").otherwise("latin-1")
     )
 
 

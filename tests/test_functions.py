@@ -137,6 +137,13 @@ def fillers(spark, rows):
     return spark.createDataFrame([(f, s, c, p, v) for f, s, c, p, v in rows], frames.FILLERS)
 
 
+def test_zero_bytes_are_counted_to_the_end(spark):
+    for kind in ("utf-16-le", "utf-16-be"):
+        late = ("\u4e01" * 100 + "late").encode(kind)
+        assert one(spark, scalars.sniff_encoding(F.col("b")), b=("binary", late)) == kind.replace("16-", "16")
+    assert one(spark, scalars.sniff_encoding(F.col("b")), b=("binary", b"x" * 100 + b"\n")) == "ascii"
+
+
 def test_clusters_beyond_the_bound_raise(spark, monkeypatch):
     from tessera.operators import clustering
 
