@@ -1,14 +1,15 @@
 """MinHash near-dedup by an inverted join on signature coordinates.
 
-Documents with the same shingle set are one class. Each class is posted under the first ``PREFIX``
-(coordinate, value) pairs of its signature: classes that agree in at least ``MATCHES`` of all
-coordinates share one of them but for a chance below 1e-8 at the similarity asked for. Posting lists
-come sorted; members are compared on their whole signatures, skipping those that are already connected, and
-only links of a spanning forest leave a list. What the lists connect is confirmed on the full shingle sets: the texts of a
-candidate component meet in blocks, intersections are counted through an inverted list, and again a spanning forest of the
-true links leaves each block pair, so no group gives rise to all its pairs.
-
-Long posting lists and large components are dealt out as pairs of blocks; copies never travel more than once.
+Documents with the same shingle set are one class. Each class is posted under (coordinate, value) pairs of its
+signature. Two classes that agree in at least ``SHARED`` of the ``POSTED`` coordinates share one of the
+``PREFIX`` rarest pairs of each, in one order of all pairs by the length of their lists; so lists of pairs that many unrelated
+documents hold are mostly skipped. In a list, collisions over all coordinates are counted on one byte each, skipping pairs that are
+connected already, and links of a spanning forest of those with at least ``MATCHES`` leave it. What the lists connect is
+confirmed on the full shingle sets, where again a spanning forest of the true links leaves each group.
+
+A long list, or a large component of candidates, is first linked to one head: every member of a list is compared with the member
+that collides most, every link within a component is confirmed. What is connected then is the core. Only pairs with a member
+outside the core are left, and these meet in pairs of blocks; a group that is all core is done. Copies never travel more than once.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType, ArrayType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from ..plans.session import spread
 from .graph import components
@@ -29,11 +30,13 @@ from .words import Words, binary_column, group_bounds, key_groups, list_column,
 SHINGLE = 5
 #: 100 * intersection >= PERCENT * union links two documents.
 PERCENT = 85
-COORDINATES = 64
-PREFIX = 10
-MATCHES = 36
+#: Coordinates of a signature, and least collisions of a link: a similarity of 0.85 has fewer with a chance of 1.3e-9.
+COORDINATES, MATCHES = 128, 82
+#: Coordinates that are posted, and least collisions among them: fewer with a chance of 1.5e-9. So many of the rarest hold a shared one.
+POSTED, SHARED = 64, 35
+PREFIX = POSTED - SHARED + 1
 #: Members of a posting list, and classes and shingles of a component, that meet in one block.
-LIST_BLOCK, TEXT_BLOCK, SHINGLE_BLOCK = 512, 1000, 400_000
+LIST_BLOCK, TEXT_BLOCK, SHINGLE_BLOCK = 2048, 1000, 400_000
 _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -80,36 +83,43 @@ def _set_names(sets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return h1.view(np.int64), h2.view(np.int64)
 
 
+def signatures(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The signature of each set; zeros for empty ones."""
+    out = np.zeros((len(counts), COORDINATES), np.uint32)
+    some = np.flatnonzero(counts)
+    if len(some):
+        at = (np.cumsum(counts) - counts)[some]
+        for k in range(COORDINATES):
+            out[some, k] = np.minimum.reduceat((sets ^ _B[k]) * _A[k], at) >> np.uint64(32)
+    return out
+
+
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, 1):
-        sets, counts = shingle_sets(batch.column(1))
+    """(id, t1, t2, text) to the row's names, those of its set, its posted values, and one byte of each coordinate."""
+    for batch in pieces(batches, 3, 1 << 21):
+        sets, counts = shingle_sets(batch.column(3))
         h1, h2 = _set_names(sets, counts)
-        signature = np.zeros((batch.num_rows, COORDINATES), np.uint32)
-        some = np.flatnonzero(counts)
-        if len(some):
-            at = (np.cumsum(counts) - counts)[some]
-            for k in range(COORDINATES):
-                signature[some, k] = np.minimum.reduceat((sets ^ _B[k]) * _A[k], at) >> np.uint64(32)
-        keys = (np.arange(PREFIX, dtype=np.int64) << 32) | signature[:, :PREFIX].astype(np.int64)
+        signature = signatures(sets, counts)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(counts, pa.int64()), pa.array(h1), pa.array(h2), binary_column(signature), list_column(keys.ravel(), np.full(batch.num_rows, PREFIX), pa.int64())],
-            names=["id", "n_shingles", "h1", "h2", "signature", "keys"],
+            [*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(h1), pa.array(h2), list_column(signature[:, :POSTED].ravel().view(np.int32), np.full(batch.num_rows, POSTED), pa.int32()), binary_column(signature.astype(np.uint8))],
+            names=["id", "t1", "t2", "n_shingles", "h1", "h2", "tokens", "sketch"],
         )
 
 
-def _forest(n: int, neighbours) -> list[tuple[int, int]]:
-    """Links of a spanning forest of 0..n-1; neighbours(x, rest) gives those of ``rest`` that x is linked with."""
-    rest, out = np.arange(n), []
+def _forest(core: np.ndarray, neighbours) -> list[tuple[int, int]]:
+    """Links of a spanning forest; neighbours(x, rest) gives those of ``rest`` that x is linked with, members of the core are connected already."""
+    queue, rest, out = np.flatnonzero(core).tolist(), np.flatnonzero(~core), []
     while len(rest):
-        queue, rest = [int(rest[0])], rest[1:]
-        root = queue[0]
-        while queue and len(rest):
-            linked = neighbours(queue.pop(), rest)
-            if linked.any():
-                found = rest[linked]
-                rest = rest[~linked]
-                out += [(root, int(y)) for y in found]
-                queue += found.tolist()
+        if not queue:
+            queue, rest = [int(rest[0])], rest[1:]
+            continue
+        x = queue.pop()
+        linked = neighbours(x, rest)
+        if linked.any():
+            found = rest[linked].tolist()
+            rest = rest[~linked]
+            out += [(x, y) for y in found]
+            queue += found
     return out
 
 
@@ -117,49 +127,84 @@ def _links(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _bytes_of(column: pa.ChunkedArray) -> list[bytes]:
+    return column.to_pylist()
+
+
+def _to_head(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, cid, sketch, head, head_sketch) to (key, cid, sketch, head, core): whether a member is linked with the head of its list."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own, head = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in (2, 4))
+        core = ((own == head).sum(1) >= MATCHES) | (batch.column(1).to_numpy() == batch.column(3).to_numpy())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(core)], names=["key", "cid", "sketch", "head", "core"])
+
+
 def _collide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted postings (key, i, j, cid, signature) to links of pairs above the match threshold."""
+    """Sorted postings (key, i, j, cid, core, sketch) to links of pairs with enough collisions."""
     for t in key_groups(batches, 3):
-        cols = [t.column(k).to_numpy() for k in range(4)]
-        signature = t.column(4).combine_chunks()
-        signature = signature if isinstance(signature, pa.Array) else signature.chunk(0)
-        data = np.frombuffer(b"".join(signature.to_pylist()), np.uint32).reshape(len(t), COORDINATES)
+        cols = [t.column(k).to_numpy() for k in range(5)]
+        data = np.frombuffer(b"".join(_bytes_of(t.column(5))), np.uint8).reshape(len(t), COORDINATES)
         bounds = group_bounds(cols[:3])
         a, b = [], []
         for low, high in zip(bounds[:-1], bounds[1:]):
             if high - low < 2:
                 continue
             s, cid = data[low:high], cols[3][low:high]
-            for x, y in _forest(high - low, lambda x, rest, s=s: (s[rest] == s[x]).sum(1) >= MATCHES):
+            for x, y in _forest(cols[4][low:high], lambda x, rest, s=s: (s[rest] == s[x]).sum(1) >= MATCHES):
                 a.append(int(cid[x]))
                 b.append(int(cid[y]))
         yield _links(a, b)
 
 
+def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(component, cid, members, shingles, text) to (component, cid, members, shingles, set); a class that comes again in a row is left out."""
+    last = None
+    for batch in pieces(batches, 4, 1 << 21):
+        cid = batch.column(1).to_numpy()
+        new = np.ones(len(cid), bool)
+        new[1:] = cid[1:] != cid[:-1]
+        new[:1] = cid[:1] != last
+        last = cid[-1]
+        part = batch.filter(pa.array(new))
+        if not part.num_rows:
+            continue
+        sets, counts = shingle_sets(part.column(4))
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64) * 8
+        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(sets)]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([*part.columns[:4], packed], names=["component", "cid", "members", "shingles", "set"])
+
+
+def _similar(both, x, y):
+    return 100 * both >= PERCENT * (x + y - both)
+
+
+def _confirm_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, set of a, set of b) to the links (a, b) that hold on the full sets."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            keep.append(bool(_similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (component, i, j, cid, h1, h2, text) to links of a forest of pairs that are similar enough on their full sets."""
+    """Sorted (component, i, j, cid, core, set) to links of a forest of pairs that are similar enough on their full sets."""
     for t in key_groups(batches, 3):
-        cols = [t.column(k).to_numpy() for k in range(6)]
-        texts = t.column(6).combine_chunks()
-        texts = texts if isinstance(texts, pa.Array) else texts.chunk(0)
+        cols = [t.column(k).to_numpy() for k in range(5)]
+        data = _bytes_of(t.column(5))
         bounds = group_bounds(cols[:3])
         a, b = [], []
         for low, high in zip(bounds[:-1], bounds[1:]):
-            if high - low < 2:
-                continue
-            sets, counts = shingle_sets(texts.slice(low, high - low))
-            h1, h2 = _set_names(sets, counts)
-            # An id may stand on other rows too; only the class's own text counts, once.
-            own = (h1 == cols[4][low:high]) & (h2 == cols[5][low:high])
-            cid = cols[3][low:high]
-            own[1:] &= ~((cid[1:] == cid[:-1]) & own[:-1])
-            use = np.flatnonzero(own)
+            # A class that two tasks met twice counts once.
+            use = low + np.flatnonzero(np.append(True, np.diff(cols[3][low:high]) != 0))
             if len(use) < 2:
                 continue
-            text = np.repeat(np.arange(high - low), counts)
-            keep = own[text]
-            sets, text = sets[keep], (np.cumsum(own) - 1)[text[keep]]
-            cid, counts = cid[use], counts[use]
+            cid, own = cols[3][use], [data[k] for k in use]
+            counts = np.array([len(x) // 8 for x in own])
+            sets, text = np.frombuffer(b"".join(own), np.uint64), np.repeat(np.arange(len(use)), counts)
             order = np.argsort(sets, kind="stable")
             values, owner = sets[order], text[order]
             begin = np.searchsorted(values, sets, "left")
@@ -171,66 +216,123 @@ def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = length[s]
                 at = np.repeat(begin[s] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 both = np.bincount(owner[at], minlength=len(cid))[rest]
-                return 100 * both >= PERCENT * (counts[x] + counts[rest] - both)
+                return _similar(both, counts[x], counts[rest])
 
-            for x, y in _forest(len(cid), similar):
+            for x, y in _forest(cols[4][use], similar):
                 a.append(int(cid[x]))
                 b.append(int(cid[y]))
         yield _links(a, b)
 
 
-def _block_pairs(df: DataFrame, blocks, of) -> DataFrame:
-    """A row for every pair of blocks (i <= j) that a row's block takes part in; one row where there is one block."""
-    df = df.withColumn("_n", blocks).withColumn("_own", F.pmod(F.xxhash64(of), F.col("_n")).cast("int"))
-    df = df.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)))
-    # With several blocks, pairs of different ones hold the members of both; a block meets itself in each of them.
-    df = df.where((F.col("_n") == 1) | (F.col("_with") != F.col("_own")))
-    return df.withColumn("i", F.least("_own", "_with")).withColumn("j", F.greatest("_own", "_with")).drop("_n", "_own", "_with")
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row.
+def _deal(df: DataFrame, of: str, cores: Column, others: Column) -> DataFrame:
+    """A row for every pair of blocks (i <= j) that a row's block takes part in, for rows of groups with ``cores`` and ``others`` blocks.
 
-    Texts without words are linked with nothing, other empty ones included. Rows that share an id count as one document
-    of several texts; the smallest id reachable names the component, null ids are named by other members (null if there is none).
-    Other columns are ignored; no rows give no rows.
+    Members of the core are in the first blocks and meet those of the others only; no core block meets another one, and a group without others has no rows.
     """
+    df = df.withColumn("_c", cores.cast("int")).withColumn("_all", F.col("_c") + others.cast("int")).where("_all > _c")
+    own = F.when(F.col("core"), F.pmod(F.xxhash64(of), F.col("_c"))).otherwise(F.col("_c") + F.pmod(F.xxhash64(of), F.col("_all") - F.col("_c")))
+    df = df.withColumn("_own", own.cast("int"))
+    df = df.withColumn("_with", F.explode(F.sequence(F.when(F.col("core"), F.col("_c")).otherwise(0), F.col("_all") - 1)))
+    # Pairs of different blocks hold the members of both; a block meets itself in each of them.
+    df = df.where((F.col("_all") == 1) | (F.col("_with") != F.col("_own")))
+    return df.withColumn("i", F.least("_own", "_with")).withColumn("j", F.greatest("_own", "_with")).drop("_c", "_all", "_own", "_with")
+
+
+def _candidates(classes: DataFrame, tables: Tables) -> DataFrame:
+    """Links (a, b) of a spanning forest of the pairs of classes with enough collisions in each list."""
+    posts = classes.select("cid", F.posexplode("tokens").alias("k", "v")).select("cid", (F.col("k").cast("long") * (1 << 32) + F.col("v")).alias("key"))
+    met = posts.join(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+    # A class has POSTED pairs at most. Those that it alone holds are the rarest; the prefix goes on with the shortest lists.
+    own = met.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("own"))
+    own = own.withColumn("weight", F.aggregate("own", F.lit(0).cast("long"), lambda s, x: s + x["n"]))
+    prefix = F.slice("own", 1, F.greatest(F.size("own") - (POSTED - PREFIX), F.lit(0)))
+    posted = tables.keep(own.select("cid", "weight", F.explode(F.transform(prefix, lambda x: x["key"])).alias("key")))
+    lists = tables.keep(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", "cid")).alias("head")).where("n > 1").select("key", "n", F.col("head.cid").alias("head")))
+    sketches = classes.select("cid", "sketch")
+    short = posted.join(lists.where(F.col("n") <= LIST_BLOCK), "key").join(sketches, "cid")
+    dealt = short.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "cid", F.lit(False).alias("core"), "sketch")
+    found, long = None, lists.where(F.col("n") > LIST_BLOCK)
+    if long.limit(1).count():
+        heads = long.join(sketches.withColumnRenamed("sketch", "head_sketch"), F.col("head") == F.col("cid")).select("key", "head", "head_sketch")
+        compared = posted.join(heads, "key").join(sketches, "cid").select("key", "cid", "sketch", "head", "head_sketch").mapInArrow(_to_head, "key long, cid long, sketch binary, head long, core boolean")
+        compared = tables.keep(compared)
+        found = compared.where("core").select(F.col("cid").alias("a"), F.col("head").alias("b"))
+        blocks = compared.groupBy("key").agg(F.ceil(F.sum(F.col("core").cast("long")) / LIST_BLOCK).alias("cores"), F.ceil(F.sum((~F.col("core")).cast("long")) / LIST_BLOCK).alias("others"))
+        dealt = dealt.unionByName(_deal(compared.join(blocks, "key"), "cid", F.col("cores"), F.col("others")).select(*dealt.columns))
+    links = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cid").mapInArrow(_collide, "a long, b long")
+    return tables.keep((links if found is None else links.unionByName(found)).where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+
+def _true_links(classes: DataFrame, found: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
+    """Links (a, b) that hold on the full sets and connect what all such links within the candidates' components connect."""
+    candidates = components(found, tables).withColumnRenamed("node", "cid").join(classes.select("cid", "at", "n_shingles"), "cid")
+    candidates = tables.keep(candidates)
+    sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
+    sized = candidates.join(sizes, "component").select("component", "cid", "members", "shingles", "at")
+    # By content: an id may stand on rows with other texts too.
+    met = sized.join(texts, (F.col("at.t1") == F.col("t1")) & (F.col("at.t2") == F.col("t2")) & F.col("at.id").eqNullSafe(F.col("id"))).select("component", "cid", "members", "shingles", "text")
+    sets = tables.keep(met.mapInArrow(_sets, "component long, cid long, members long, shingles long, set binary"))
+    large = (F.col("members") > TEXT_BLOCK) | (F.col("shingles") > SHINGLE_BLOCK)
+    dealt = sets.where(~large).select("component", F.lit(0).alias("i"), F.lit(0).alias("j"), "cid", F.lit(False).alias("core"), "set")
+    first, big = None, sets.where(large)
+    if candidates.join(sizes.where(large), "component").limit(1).count():
+        own = big.select("cid", "set")
+        pairs = found.join(own.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
+        first = tables.keep(pairs.select("a", "b", "x", "y").mapInArrow(_confirm_links, "a long, b long"))
+        named = components(first, tables).select(F.col("node").alias("cid"), F.col("component").alias("label"))
+        names = tables.keep(candidates.join(sizes.where(large), "component").join(named, "cid", "left").select("component", "cid", "n_shingles", F.coalesce("label", "cid").alias("label")))
+        core = names.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max(F.struct("n", "label")).alias("most")).select("component", F.col("most.label").alias("most"))
+        names = tables.keep(names.join(core, "component").select("component", "cid", "n_shingles", (F.col("label") == F.col("most")).alias("core")))
+        need = lambda those: F.greatest(F.ceil(F.sum(those.cast("long")) / TEXT_BLOCK), F.ceil(F.sum(F.when(those, F.col("n_shingles")).otherwise(0)) / SHINGLE_BLOCK))
+        blocks = names.groupBy("component").agg(need(F.col("core")).alias("cores"), need(~F.col("core")).alias("others"))
+        left = _deal(names.select("component", "cid", "core").join(blocks, "component"), "cid", F.col("cores"), F.col("others"))
+        dealt = dealt.unionByName(left.join(own, "cid").select(*dealt.columns))
+    links = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "cid").mapInArrow(_confirm, "a long, b long")
+    return links if first is None else links.unionByName(first)
+
+
+def _names(text: Column) -> list[Column]:
+    """128 bits that name a text."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2")]
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t1, t2, n_shingles, component_id) for every row."""
     tables = Tables(docs.sparkSession, "near")
     kind = docs.schema[id_col].dataType
-    form = StructType([StructField("id", kind), StructField("n_shingles", LongType()), StructField("h1", LongType()), StructField("h2", LongType()), StructField("signature", BinaryType()), StructField("keys", ArrayType(LongType()))])
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    whole = ["n_shingles", "h1", "h2"]
+    form = StructType([StructField("id", kind), *(StructField(c, LongType()) for c in ("t1", "t2", *whole)), StructField("tokens", ArrayType(IntegerType())), StructField("sketch", BinaryType())])
+    texts = docs.select(F.col(id_col).alias("id"), *_names(F.col(text_col)), F.col(text_col).alias("text"))
     signed = tables.keep(texts.mapInArrow(_sign, form))
-    classes = signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("keys").alias("keys"))
+    # The smallest id names a class; ``at`` is one row that holds it.
+    classes = signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first(F.struct("id", "t1", "t2")).alias("at"), F.max("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     classes = tables.keep(classes.withColumn("cid", F.monotonically_increasing_id()))
-    posts = classes.select("cid", F.explode("keys").alias("key"))
-    # Only keys that several classes have go on, then signatures travel.
-    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = posts.join(shared, "key").join(classes.select("cid", "signature"), "cid")
-    blocks = F.when(F.col("n") <= LIST_BLOCK, 1).otherwise(F.ceil(F.col("n") / LIST_BLOCK) + 1)
-    dealt = _block_pairs(met, blocks, "cid").select("key", "i", "j", "cid", "signature")
-    found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cid").mapInArrow(_collide, "a long, b long")
-    candidates = tables.keep(components(found, tables))
-    sized = candidates.join(classes.select(F.col("cid").alias("node"), "rep", "n_shingles", "h1", "h2"), "node")
-    sizes = sized.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
-    need = F.greatest(F.ceil(F.col("members") / TEXT_BLOCK), F.ceil(F.col("shingles") / SHINGLE_BLOCK))
-    need = F.when(need <= 1, 1).otherwise(F.least(need + 1, F.col("members")))
-    members = _block_pairs(sized.join(sizes, "component"), need, "node").select("component", "i", "j", "node", "h1", "h2", "rep")
-    gathered = members.join(texts, members["rep"].eqNullSafe(texts["id"])).select("component", "i", "j", "node", "h1", "h2", "text")
-    true = gathered.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node").mapInArrow(_confirm, "a long, b long")
-    joined = components(true, tables)
+    joined = components(_true_links(classes, _candidates(classes, tables), texts, tables), tables)
     named = classes.select("cid", "rep", "h1", "h2").join(joined, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = tables.keep(named.join(least, "component").select("h1", "h2", "component_id"))
-    tables.drop(candidates)
-    rows = signed.select("id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return rows.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    rows = signed.select("id", "t1", "t2", *whole).join(named, ["h1", "h2"], "left")
+    return rows.select("id", "t1", "t2", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row.
+
+    Texts without words are linked with nothing, other empty ones included; very long texts are compared whole. Rows that share an id count as
+    one document of several texts; the smallest id reachable names the component, null ids are named by other members (null if there is
+    none). Other columns are ignored, whatever their names; no rows give no rows.
+    """
+    out = _grouped(docs, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id (all rows of that id)."""
-    staying = near_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(staying, docs[id_col].eqNullSafe(staying["_id"]), "left_semi")
+    """``docs`` with one document of each component: the one with the smallest id (all rows of that id whose texts are in the component)."""
+    p = "__near_"
+    staying = _grouped(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id"))).select(*[F.col(c).alias(p + c) for c in ("id", "t1", "t2")]).distinct()
+    marked = docs.select("*", *[c.alias(f"{p}own{k}") for k, c in enumerate(_names(F.col(text_col)))])
+    match = marked[id_col].eqNullSafe(staying[p + "id"]) & (marked[p + "own0"] == staying[p + "t1"]) & (marked[p + "own1"] == staying[p + "t2"])
+    return marked.join(staying, match, "left_semi").select(*[docs[c] for c in docs.columns])
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:

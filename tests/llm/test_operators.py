@@ -299,6 +299,44 @@ def test_near_copies_against_brute_force(spark, sf_dir, odd_docs, no_docs, monke
     assert kept.columns == odd_docs.columns
 
 
+@pytest.mark.parametrize("block", [5000, 60])
+def test_large_groups_against_brute_force(spark, monkeypatch, block):
+    """Near copies of a few texts, a drifting chain of them, and texts that share one passage only."""
+    import random
+
+    monkeypatch.setattr(near_dedup, "LIST_BLOCK", block)
+    monkeypatch.setattr(near_dedup, "TEXT_BLOCK", block)
+    rng = random.Random(8)
+    make = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, passage = [], make(60)
+    for base in (make(80), make(50)):
+        for _ in range(350):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10_000)}"
+            rows.append(" ".join(copy))
+    drift = make(70)
+    for k in range(120):
+        drift = drift[: k % 70] + [f"y{k}"] + drift[k % 70 + 1 :]
+        rows.append(" ".join(drift))
+    rows += [" ".join(make(rng.randrange(5, 80)) + passage) for _ in range(250)]
+    docs = [(k, t) for k, t in enumerate(rows)]
+    rng.shuffle(docs)
+    got = sorted((str(r[0]), r[1], str(r[2]), r[3]) for r in near_dedup.near_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)).collect())
+    assert got == brute_near(docs)
+
+
+def test_many_texts_under_one_id(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    longer = base + " " + " ".join(f"more{k}" for k in range(40))
+    rows = [(3, longer), (5, longer + " end"), (5, "something else that is not like the others at all")] + [(None, f"{longer} {k}") for k in range(20)] + [(7, base)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id) for r in near_dedup.near_groups(docs).collect())
+    assert got == {(3, 3): 1, (5, 3): 1, (5, 5): 1, (None, 3): 20, (7, 7): 30}
+    kept = Counter((r.doc_id, r.text[:3]) for r in near_dedup.drop_near_copies(docs.withColumn("__near_id", F.lit(1))).collect())
+    assert kept == {(3, "one"): 1, (5, "som"): 1, (7, "one"): 30}
+
+
 # 8
 
 @pytest.mark.parametrize("route", [F.xxhash64, lambda b: F.pmod(F.xxhash64(b), F.lit(3))])
