@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .store import Tables
@@ -11,25 +11,26 @@ from .store import Tables
 def components(links: DataFrame, tables: Tables) -> DataFrame:
     """(node, component) for each node of links (a, b): the smallest node it can reach.
 
-    Large-star and small-star rounds in turn: each node's neighbours are linked to its smallest one, until
-    only stars remain. Minima are pre-aggregated and a hub's links are split by the join, so no task needs a hub's neighbourhood.
+    Each node points to its smallest neighbour so far, and the smaller neighbours besides it are linked to that one instead. Then every
+    pointer is replaced by the pointer of the node that it leads to, so paths halve. Rounds go on until each node has one
+    pointer, to a node without any. Only a node's smaller neighbours meet in a task, and one by one. Links that come as stars around
+    their smallest node, as the operators make them, give a node few of these, and a centre none; the replacement is a plain join
+    with a table of one row for each node, whose hubs can be split.
     """
-    edges = tables.keep(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+    edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    along, before = Window.partitionBy("u").orderBy("v"), None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Minima are tables of their own, so that the joins with them are plain ones, whose hubs can be split.
-        least = tables.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = tables.keep(large)
-        low = tables.keep(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u")
-        small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        after = tables.keep(small)
-        tables.drop(edges, large, least, low)
-        state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = after
-        if tuple(state) == seen:
+        several, moved = Observation(), Observation()
+        ranked = edges.select("u", "v", F.first("v").over(along).alias("m"), F.row_number().over(along).alias("k"))
+        home = F.col("k") == 1
+        stars = ranked.where(home | (F.col("v") != F.col("m"))).select(F.when(home, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), home.alias("home"))
+        stars = tables.keep(stars.observe(several, F.count(F.when(~F.col("home"), 1)).alias("n")))
+        pointers = stars.where("home").select(F.col("u").alias("v"), F.col("v").alias("to"))
+        after = stars.join(pointers, "v", "left").select("u", F.coalesce("to", "v").alias("v"), F.col("to").isNotNull().alias("moved")).where("u != v")
+        after = tables.keep(after.observe(moved, F.count(F.when(F.col("moved"), 1)).alias("n")))
+        tables.drop(stars, *([before] if before is not None else []))
+        edges, before = after.select("u", "v"), after
+        if not several.get["n"] and not moved.get["n"]:
             break
-        seen = tuple(state)
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

@@ -7,9 +7,9 @@ documents hold are mostly skipped. In a list, collisions over all coordinates ar
 connected already, and links of a spanning forest of those with at least ``MATCHES`` leave it. What the lists connect is
 confirmed on the full shingle sets, where again a spanning forest of the true links leaves each group.
 
-A long list, or a large component of candidates, is first linked to one head: every member of a list is compared with the member
-that collides most, every link within a component is confirmed. What is connected then is the core. Only pairs with a member
-outside the core are left, and these meet in pairs of blocks; a group that is all core is done. Copies never travel more than once.
+In a long list, or a large component of candidates, every member is first compared with one head, the member that collides most. Those
+linked with it are the core. Only pairs with a member outside the core are left, and these meet in pairs of blocks; a
+group that is all core is done. Copies never travel more than once.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ COORDINATES, MATCHES = 128, 82
 POSTED, SHARED = 64, 35
 PREFIX = POSTED - SHARED + 1
 #: Members of a posting list, and classes and shingles of a component, that meet in one block.
-LIST_BLOCK, TEXT_BLOCK, SHINGLE_BLOCK = 2048, 1000, 400_000
+LIST_BLOCK, TEXT_BLOCK, SHINGLE_BLOCK = 2048, 2000, 800_000
 _rng = np.random.default_rng(77)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -107,18 +107,19 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _forest(core: np.ndarray, neighbours) -> list[tuple[int, int]]:
-    """Links of a spanning forest; neighbours(x, rest) gives those of ``rest`` that x is linked with, members of the core are connected already."""
+    """Links of 0..n-1, as stars: neighbours(x, rest) gives those of ``rest`` that x is linked with; members of the core are connected already."""
     queue, rest, out = np.flatnonzero(core).tolist(), np.flatnonzero(~core), []
+    root = queue[0] if queue else 0
     while len(rest):
         if not queue:
-            queue, rest = [int(rest[0])], rest[1:]
+            root, rest = int(rest[0]), rest[1:]
+            queue = [root]
             continue
-        x = queue.pop()
-        linked = neighbours(x, rest)
+        linked = neighbours(queue.pop(), rest)
         if linked.any():
             found = rest[linked].tolist()
             rest = rest[~linked]
-            out += [(x, y) for y in found]
+            out += [(root, y) for y in found]
             queue += found
     return out
 
@@ -127,25 +128,18 @@ def _links(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _bytes_of(column: pa.ChunkedArray) -> list[bytes]:
-    return column.to_pylist()
-
-
 def _to_head(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, cid, sketch, head, head_sketch) to (key, cid, sketch, head, core): whether a member is linked with the head of its list."""
+    """(key, cid, sketch, head) to (key, cid, core): whether a member's sketch has enough collisions with that of the head of its list."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        own, head = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in (2, 4))
-        core = ((own == head).sum(1) >= MATCHES) | (batch.column(1).to_numpy() == batch.column(3).to_numpy())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(core)], names=["key", "cid", "sketch", "head", "core"])
+        own, head = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in (2, 3))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array((own == head).sum(1) >= MATCHES)], names=["key", "cid", "core"])
 
 
 def _collide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted postings (key, i, j, cid, core, sketch) to links of pairs with enough collisions."""
     for t in key_groups(batches, 3):
         cols = [t.column(k).to_numpy() for k in range(5)]
-        data = np.frombuffer(b"".join(_bytes_of(t.column(5))), np.uint8).reshape(len(t), COORDINATES)
+        data = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(len(t), COORDINATES)
         bounds = group_bounds(cols[:3])
         a, b = [], []
         for low, high in zip(bounds[:-1], bounds[1:]):
@@ -159,9 +153,9 @@ def _collide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(component, cid, members, shingles, text) to (component, cid, members, shingles, set); a class that comes again in a row is left out."""
+    """(component, cid, members, shingles, head, text) to (component, cid, members, shingles, head, n, set); a class that comes again in a row is left out."""
     last = None
-    for batch in pieces(batches, 4, 1 << 21):
+    for batch in pieces(batches, 5, 1 << 21):
         cid = batch.column(1).to_numpy()
         new = np.ones(len(cid), bool)
         new[1:] = cid[1:] != cid[:-1]
@@ -170,31 +164,31 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = batch.filter(pa.array(new))
         if not part.num_rows:
             continue
-        sets, counts = shingle_sets(part.column(4))
+        sets, counts = shingle_sets(part.column(5))
         ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64) * 8
         packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(sets)]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([*part.columns[:4], packed], names=["component", "cid", "members", "shingles", "set"])
+        yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(counts, pa.int64()), packed], names=["component", "cid", "members", "shingles", "head", "n", "set"])
 
 
 def _similar(both, x, y):
     return 100 * both >= PERCENT * (x + y - both)
 
 
-def _confirm_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, set of a, set of b) to the links (a, b) that hold on the full sets."""
+def _to_head_set(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(component, cid, set, set of the head) to (component, cid, core): whether a member is linked with the head of its component."""
     for batch in batches:
-        keep = []
+        core = []
         for x, y in zip(batch.column(2), batch.column(3)):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            keep.append(bool(_similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            core.append(bool(_similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(core, pa.bool_())], names=["component", "cid", "core"])
 
 
 def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (component, i, j, cid, core, set) to links of a forest of pairs that are similar enough on their full sets."""
     for t in key_groups(batches, 3):
         cols = [t.column(k).to_numpy() for k in range(5)]
-        data = _bytes_of(t.column(5))
+        data = t.column(5).to_pylist()
         bounds = group_bounds(cols[:3])
         a, b = [], []
         for low, high in zip(bounds[:-1], bounds[1:]):
@@ -224,69 +218,65 @@ def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _links(a, b)
 
 
-def _deal(df: DataFrame, of: str, cores: Column, others: Column) -> DataFrame:
-    """A row for every pair of blocks (i <= j) that a row's block takes part in, for rows of groups with ``cores`` and ``others`` blocks.
+def _core_and_left(compared: DataFrame, group: str, blocks) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that connect the core of each group, and (group, cid, core, i, j) for the pairs of blocks that are left to compare.
 
-    Members of the core are in the first blocks and meet those of the others only; no core block meets another one, and a group without others has no rows.
+    compared: (group, cid, core) with the head in the core; blocks: the number of blocks of those that a condition holds for. Members of
+    the core are in the first blocks and meet those of the others only; no core block meets another one, and a group without others has no rows.
     """
-    df = df.withColumn("_c", cores.cast("int")).withColumn("_all", F.col("_c") + others.cast("int")).where("_all > _c")
-    own = F.when(F.col("core"), F.pmod(F.xxhash64(of), F.col("_c"))).otherwise(F.col("_c") + F.pmod(F.xxhash64(of), F.col("_all") - F.col("_c")))
-    df = df.withColumn("_own", own.cast("int"))
-    df = df.withColumn("_with", F.explode(F.sequence(F.when(F.col("core"), F.col("_c")).otherwise(0), F.col("_all") - 1)))
+    sizes = compared.groupBy(group).agg(F.min(F.when(F.col("core"), F.col("cid"))).alias("least"), blocks(F.col("core")).cast("int").alias("c"), blocks(~F.col("core")).cast("int").alias("o"))
+    met = compared.join(sizes, group)
+    links = met.where("core").select(F.col("cid").alias("a"), F.col("least").alias("b"))
+    left = met.where("o > 0").withColumn("all", F.col("c") + F.col("o"))
+    own = F.when(F.col("core"), F.pmod(F.xxhash64("cid"), F.col("c"))).otherwise(F.col("c") + F.pmod(F.xxhash64("cid"), F.col("o")))
+    left = left.withColumn("own", own.cast("int")).withColumn("with", F.explode(F.sequence(F.when(F.col("core"), F.col("c")).otherwise(0), F.col("all") - 1)))
     # Pairs of different blocks hold the members of both; a block meets itself in each of them.
-    df = df.where((F.col("_all") == 1) | (F.col("_with") != F.col("_own")))
-    return df.withColumn("i", F.least("_own", "_with")).withColumn("j", F.greatest("_own", "_with")).drop("_c", "_all", "_own", "_with")
+    left = left.where((F.col("all") == 1) | (F.col("with") != F.col("own")))
+    return links, left.select(group, "cid", "core", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
 
 
-def _candidates(classes: DataFrame, tables: Tables) -> DataFrame:
-    """Links (a, b) of a spanning forest of the pairs of classes with enough collisions in each list."""
+def _candidates(classes: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that connect the pairs of classes with enough collisions in each list, and (cid, weight): the lengths of a class's lists added up."""
     posts = classes.select("cid", F.posexplode("tokens").alias("k", "v")).select("cid", (F.col("k").cast("long") * (1 << 32) + F.col("v")).alias("key"))
-    met = posts.join(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+    met = posts.hint("merge").join(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
     # A class has POSTED pairs at most. Those that it alone holds are the rarest; the prefix goes on with the shortest lists.
     own = met.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("own"))
     own = own.withColumn("weight", F.aggregate("own", F.lit(0).cast("long"), lambda s, x: s + x["n"]))
     prefix = F.slice("own", 1, F.greatest(F.size("own") - (POSTED - PREFIX), F.lit(0)))
-    posted = tables.keep(own.select("cid", "weight", F.explode(F.transform(prefix, lambda x: x["key"])).alias("key")))
+    own = tables.keep(own.select("cid", "weight", F.transform(prefix, lambda x: x["key"]).alias("keys")))
+    posted = own.select("cid", "weight", F.explode("keys").alias("key"))
     lists = tables.keep(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", "cid")).alias("head")).where("n > 1").select("key", "n", F.col("head.cid").alias("head")))
     sketches = classes.select("cid", "sketch")
     short = posted.join(lists.where(F.col("n") <= LIST_BLOCK), "key").join(sketches, "cid")
     dealt = short.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "cid", F.lit(False).alias("core"), "sketch")
     found, long = None, lists.where(F.col("n") > LIST_BLOCK)
     if long.limit(1).count():
-        heads = long.join(sketches.withColumnRenamed("sketch", "head_sketch"), F.col("head") == F.col("cid")).select("key", "head", "head_sketch")
-        compared = posted.join(heads, "key").join(sketches, "cid").select("key", "cid", "sketch", "head", "head_sketch").mapInArrow(_to_head, "key long, cid long, sketch binary, head long, core boolean")
-        compared = tables.keep(compared)
-        found = compared.where("core").select(F.col("cid").alias("a"), F.col("head").alias("b"))
-        blocks = compared.groupBy("key").agg(F.ceil(F.sum(F.col("core").cast("long")) / LIST_BLOCK).alias("cores"), F.ceil(F.sum((~F.col("core")).cast("long")) / LIST_BLOCK).alias("others"))
-        dealt = dealt.unionByName(_deal(compared.join(blocks, "key"), "cid", F.col("cores"), F.col("others")).select(*dealt.columns))
+        heads = long.join(sketches.withColumnRenamed("sketch", "of_head"), F.col("head") == F.col("cid")).select("key", "of_head")
+        compared = tables.keep(posted.join(heads, "key").join(sketches, "cid").select("key", "cid", "sketch", "of_head").mapInArrow(_to_head, "key long, cid long, core boolean"))
+        found, left = _core_and_left(compared, "key", lambda those: F.ceil(F.sum(those.cast("long")) / LIST_BLOCK))
+        dealt = dealt.unionByName(left.join(sketches, "cid").select(*dealt.columns))
     links = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cid").mapInArrow(_collide, "a long, b long")
-    return tables.keep((links if found is None else links.unionByName(found)).where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    return links if found is None else links.unionByName(found), own.select("cid", "weight")
 
 
-def _true_links(classes: DataFrame, found: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
+def _true_links(classes: DataFrame, found: DataFrame, weights: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame:
     """Links (a, b) that hold on the full sets and connect what all such links within the candidates' components connect."""
-    candidates = components(found, tables).withColumnRenamed("node", "cid").join(classes.select("cid", "at", "n_shingles"), "cid")
-    candidates = tables.keep(candidates)
-    sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
-    sized = candidates.join(sizes, "component").select("component", "cid", "members", "shingles", "at")
-    # By content: an id may stand on rows with other texts too.
-    met = sized.join(texts, (F.col("at.t1") == F.col("t1")) & (F.col("at.t2") == F.col("t2")) & F.col("at.id").eqNullSafe(F.col("id"))).select("component", "cid", "members", "shingles", "text")
-    sets = tables.keep(met.mapInArrow(_sets, "component long, cid long, members long, shingles long, set binary"))
+    candidates = tables.keep(components(found, tables).withColumnRenamed("node", "cid").join(classes.select("cid", "at", "n_shingles"), "cid").join(weights, "cid"))
+    sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"), F.max(F.struct("weight", "cid")).alias("head"))
+    sized = candidates.join(sizes, "component").select("component", "cid", "members", "shingles", F.col("head.cid").alias("head"), "at")
+    # By content: an id may stand on rows with other texts too. Both sides grow with the corpus, so neither is sent to all machines.
+    met = sized.join(texts.hint("merge"), (F.col("at.t1") == F.col("t1")) & (F.col("at.t2") == F.col("t2")) & F.col("at.id").eqNullSafe(F.col("id"))).select("component", "cid", "members", "shingles", "head", "text")
+    sets = tables.keep(met.mapInArrow(_sets, "component long, cid long, members long, shingles long, head long, n long, set binary"))
     large = (F.col("members") > TEXT_BLOCK) | (F.col("shingles") > SHINGLE_BLOCK)
     dealt = sets.where(~large).select("component", F.lit(0).alias("i"), F.lit(0).alias("j"), "cid", F.lit(False).alias("core"), "set")
     first, big = None, sets.where(large)
-    if candidates.join(sizes.where(large), "component").limit(1).count():
-        own = big.select("cid", "set")
-        pairs = found.join(own.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b")
-        first = tables.keep(pairs.select("a", "b", "x", "y").mapInArrow(_confirm_links, "a long, b long"))
-        named = components(first, tables).select(F.col("node").alias("cid"), F.col("component").alias("label"))
-        names = tables.keep(candidates.join(sizes.where(large), "component").join(named, "cid", "left").select("component", "cid", "n_shingles", F.coalesce("label", "cid").alias("label")))
-        core = names.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max(F.struct("n", "label")).alias("most")).select("component", F.col("most.label").alias("most"))
-        names = tables.keep(names.join(core, "component").select("component", "cid", "n_shingles", (F.col("label") == F.col("most")).alias("core")))
-        need = lambda those: F.greatest(F.ceil(F.sum(those.cast("long")) / TEXT_BLOCK), F.ceil(F.sum(F.when(those, F.col("n_shingles")).otherwise(0)) / SHINGLE_BLOCK))
-        blocks = names.groupBy("component").agg(need(F.col("core")).alias("cores"), need(~F.col("core")).alias("others"))
-        left = _deal(names.select("component", "cid", "core").join(blocks, "component"), "cid", F.col("cores"), F.col("others"))
-        dealt = dealt.unionByName(left.join(own, "cid").select(*dealt.columns))
+    if big.limit(1).count():
+        heads = big.where("cid = head").groupBy("component").agg(F.first("set").alias("of_head"))
+        compared = big.join(heads, "component").select("component", "cid", "set", "of_head").mapInArrow(_to_head_set, "component long, cid long, core boolean")
+        compared = tables.keep(compared.join(big.select("cid", "n"), "cid").distinct())
+        blocks = lambda those: F.greatest(F.ceil(F.sum(those.cast("long")) / TEXT_BLOCK), F.ceil(F.sum(F.when(those, F.col("n")).otherwise(0)) / SHINGLE_BLOCK))
+        first, left = _core_and_left(compared, "component", blocks)
+        dealt = dealt.unionByName(left.join(big.select("cid", "set"), "cid").select(*dealt.columns))
     links = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "cid").mapInArrow(_confirm, "a long, b long")
     return links if first is None else links.unionByName(first)
 
@@ -307,7 +297,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # The smallest id names a class; ``at`` is one row that holds it.
     classes = signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first(F.struct("id", "t1", "t2")).alias("at"), F.max("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     classes = tables.keep(classes.withColumn("cid", F.monotonically_increasing_id()))
-    joined = components(_true_links(classes, _candidates(classes, tables), texts, tables), tables)
+    joined = components(_true_links(classes, *_candidates(classes, tables), texts, tables), tables)
     named = classes.select("cid", "rep", "h1", "h2").join(joined, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = tables.keep(named.join(least, "component").select("h1", "h2", "component_id"))
