@@ -107,20 +107,23 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _forest(core: np.ndarray, neighbours) -> list[tuple[int, int]]:
-    """Links of 0..n-1, as stars: neighbours(x, rest) gives those of ``rest`` that x is linked with; members of the core are connected already."""
+    """Links of 0..n-1, as stars around their least numbers: neighbours(x, rest) gives those of ``rest`` that x is linked with; members of the core are connected already."""
     queue, rest, out = np.flatnonzero(core).tolist(), np.flatnonzero(~core), []
-    root = queue[0] if queue else 0
-    while len(rest):
+    tree = queue[:1]
+    while len(rest) and (queue or not len(tree)):
         if not queue:
-            root, rest = int(rest[0]), rest[1:]
-            queue = [root]
-            continue
-        linked = neighbours(queue.pop(), rest)
-        if linked.any():
-            found = rest[linked].tolist()
-            rest = rest[~linked]
-            out += [(root, y) for y in found]
-            queue += found
+            queue, rest = [int(rest[0])], rest[1:]
+            tree = queue[:]
+        while queue and len(rest):
+            linked = neighbours(queue.pop(), rest)
+            if linked.any():
+                found = rest[linked].tolist()
+                rest = rest[~linked]
+                tree += found
+                queue += found
+        least = min(tree)
+        out += [(least, y) for y in tree if y != least]
+        queue, tree = [], []
     return out
 
 
