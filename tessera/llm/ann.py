@@ -2,7 +2,8 @@
 
 Centroids come from a bounded sample by balanced splitting (every cut halves its part) and a few mean steps. A vector
 is filed under its nearest centroid and, near a boundary, under further ones whose distance is within a ratio of the
-least. A query reads the lists whose centroids are within a wider ratio of its nearest one. Nearest
+least. A query reads the lists whose centroids are within a wider ratio of its nearest one; the ratio is the one at which queries
+of the sample reach the recall asked for among the sample. Nearest
 centroids, for filing and for queries, are found by a best-first walk over a graph of the centroids held in memory.
 
 Lists stay on the executors: queries travel to the lists they read, each list hands back its best few, and these are merged.
@@ -22,13 +23,13 @@ from .store import Tables
 from .words import group_bounds, key_groups
 
 #: Vectors that centroids are fitted on at most (lowest hashes first).
-SAMPLE = 20_000
-#: Vectors for each centroid, and centroids at most: they bound what each worker holds.
-LIST_SIZE, CENTROIDS = 200, 1024
+SAMPLE = 40_000
+#: Centroids: one for so many vectors, up to so many times the square root of their number, and at most what each worker is to hold.
+LIST_SIZE, ROOTS, CENTROIDS = 60, 4, 4096
 #: Lists that a vector is filed under at most, and the ratio of distances up to which it is.
-REPLICAS, FILED = 4, 1.08
-#: The ratio of distances up to which a query reads lists.
-READ = 1.17
+REPLICAS, FILED = 4, 1.1
+#: The recall within the sample that the reading ratio is fitted to, and the queries of the sample that it is fitted on.
+RECALL, FITTED = 0.95, 300
 LIST_BLOCK = 4000
 NEIGHBOURS, BEAM = 24, 48
 
@@ -164,21 +165,29 @@ def _best(width: int, k: int):
                     continue
                 x, x_ids = vectors[cut:high], ids[cut:high]
                 norms = (x**2).sum(1)
+                # Ids are sorted; each counts once, with its nearest vector.
+                begin = np.flatnonzero(np.append(True, x_ids[1:] != x_ids[:-1]))
+                names, several = x_ids[begin], len(begin) < len(x_ids)
                 for at in range(low, cut, 256):
                     q = vectors[at : min(at + 256, cut)]
                     rough = norms - 2 * q @ x.T + (q**2).sum(1)[:, None]
+                    if several:
+                        rough = np.minimum.reduceat(rough, begin, axis=1)
                     for r in range(len(q)):
-                        d = np.where(x_ids == ids[at + r], np.inf, rough[r])
-                        # All that may be among the best k after rounding are measured exactly; k + 1 leaves room for nothing but ties.
+                        d = np.where(names == ids[at + r], np.inf, rough[r])
+                        # All that may be among the best k after rounding are measured exactly.
                         limit = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
                         near = np.flatnonzero((d <= limit + 1e-9 * (norms.max() + (q[r] ** 2).sum())) & np.isfinite(d))
-                        exact = np.sqrt(((x[near] - q[r]) ** 2).sum(1))
-                        order = np.lexsort((x_ids[near], exact))
-                        near, exact = near[order], exact[order]
-                        _, first = np.unique(x_ids[near], return_index=True)
-                        first = np.sort(first)[:k]
+                        if not len(near):
+                            continue
+                        if several:
+                            ends = np.append(begin[1:], len(x_ids))
+                            exact = np.array([np.sqrt(((x[begin[j] : ends[j]] - q[r]) ** 2).sum(1)).min() for j in near])
+                        else:
+                            exact = np.sqrt(((x[near] - q[r]) ** 2).sum(1))
+                        first = np.lexsort((names[near], exact))[:k]
                         q_out.append(np.full(len(first), ids[at + r]))
-                        v_out.append(x_ids[near[first]])
+                        v_out.append(names[near[first]])
                         s_out.append(exact[first])
             join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
             yield pa.RecordBatch.from_arrays([pa.array(join(q_out, np.int64), pa.int64()), pa.array(join(v_out, np.int64), pa.int64()), pa.array(join(s_out, np.float64), pa.float64())], names=["query_id", "vec_id", "score"])
@@ -186,11 +195,32 @@ def _best(width: int, k: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", read: float = READ) -> DataFrame:
+def reading_ratio(graph: CentroidGraph, sample: np.ndarray, k: int, recall: float = RECALL) -> float:
+    """The ratio up to which queries of the sample must read lists to meet a share ``recall`` of their k nearest others in it."""
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return 1.0
+    x = sample.astype(np.float32)
+    asked = x[:FITTED]
+    d = (x**2).sum(1) - 2 * asked @ x.T
+    d[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+    near = np.argpartition(d, k - 1, axis=1)[:, :k].ravel()
+    rows, lists = graph.search(x[near], FILED, REPLICAS)
+    whole = graph._distances(asked)
+    need = np.full(len(near), np.inf)
+    np.minimum.at(need, rows, whole[rows // k, lists])
+    base = np.repeat(np.maximum(whole.min(1), graph.floor), k)
+    # Where all vectors are equal there is nothing to prune.
+    ratio = np.divide(need, base, out=np.ones_like(need), where=base > 0)
+    return float(min(max(1.0, np.quantile(ratio, recall)), 1e6))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", read: float | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k nearest found among ``vectors``, without itself, by Euclidean distance.
 
-    Ids are integers and name vectors: repeated rows are found once, rows with a null id take no part. Vectors that aren't ``usable``, or whose
-    length isn't the commonest one, take no part either, as queries or candidates. With no more lists than a query reads, the result is exact. No rows give no rows.
+    Ids are integers and name vectors: repeated rows are found once (rows that share an id but not the vector by the nearest of them), rows with a null id take no part. Vectors that aren't ``usable``, or whose
+    length isn't the commonest one, take no part either, as queries or candidates. Ties go to the smaller id. Other columns are ignored, whatever their names. ``read`` sets
+    the reading ratio; without it, it is fitted (``reading_ratio``). With no more lists than a query reads, the result is exact. No rows give no rows.
     """
     spark = vectors.sparkSession
     tables = Tables(spark, "nearest")
@@ -205,24 +235,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         return spark.createDataFrame([], form)
     width, total = shape[0]["width"], shape[0]["n"]
     base = base.where(F.size("vector") == width)
+    if base.groupBy("id").count().where("count > 1").limit(1).count():
+        base = base.dropDuplicates(["id", "vector"])
     asked = clean(queries).where(F.size("vector") == width)
     sample = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow()
     sample = _matrix(sample.column(0), width).astype(np.float64)
-    graph = CentroidGraph(balanced_centroids(sample, max(1, min(CENTROIDS, total // LIST_SIZE, len(sample) // 8))))
+    graph = CentroidGraph(balanced_centroids(sample, max(1, min(CENTROIDS, int(ROOTS * total**0.5), total // LIST_SIZE, len(sample) // 8))))
     some = sample[:2000].astype(np.float32)
     graph.floor = 0.95 * float(np.median(graph._distances(some).min(1)))
+    ratio = reading_ratio(graph, sample, k) if read is None else read
     kind = base.schema["vector"].dataType.simpleString()
     entry = f"list int, kind int, id long, vector {kind}"
     filed = tables.keep(base.mapInArrow(_file(graph, width, FILED, REPLICAS, 1), entry))
     # A row for each list: the number of centroids bounds it.
-    sizes = {r[0]: r[1] for r in filed.groupBy("list").count().collect()}
+    sizes = {r[0]: r[1] for r in filed.groupBy("list").agg(F.countDistinct("id")).collect()}
     blocks = {i: -(-n // LIST_BLOCK) for i, n in sizes.items() if n > LIST_BLOCK}
     # So many lists hold more than k different vectors even if they are the shortest ones.
     held = np.cumsum(sorted(sizes.get(i, 0) for i in range(len(graph.centroids)))) / REPLICAS
     least = int(min(np.searchsorted(held, 2 * k + 1) + 1, len(graph.centroids)))
     many = F.lit(1) if not blocks else F.coalesce(F.get(F.array(*[F.lit(blocks.get(i, 1)) for i in range(len(graph.centroids))]), F.col("list")), F.lit(1))
     entries = filed.withColumn("block", F.pmod(F.xxhash64("id"), many).cast("int"))
-    asking = asked.mapInArrow(_file(graph, width, read, None, 0, least), entry).withColumn("block", F.explode(F.sequence(F.lit(0), many.cast("int") - 1)))
+    asking = asked.mapInArrow(_file(graph, width, ratio, None, 0, least), entry).withColumn("block", F.explode(F.sequence(F.lit(0), many.cast("int") - 1)))
     dealt = entries.unionByName(asking).select("list", "block", "kind", "id", "vector").repartition("list", "block").sortWithinPartitions("list", "block", "kind", "id")
     found = dealt.mapInArrow(_best(width, k), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
