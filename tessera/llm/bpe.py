@@ -5,17 +5,15 @@ pre-tokenizer) and the whole words of the vocabulary are compiled, sorted, into
 whose states are shared by equal suffixes. Each transition stores how many words precede it, so the path of a
 word adds up to its number, and the number's slice of a table holds the word's ids. The automaton is one
 buffer of bounded size, broadcast, written once by each worker and memory-mapped. Words outside it
-are merged exactly, lowest rank first.
+are merged exactly, lowest rank first; long ones by a heap, so that a word of any length takes little more than its length.
 """
 
 from __future__ import annotations
 
-import contextlib
-import glob
 import hashlib
+import heapq
 import json
 import mmap
-import os
 import re
 import tempfile
 from array import array
@@ -32,9 +30,11 @@ from .store import Tables
 
 #: So many of the corpus's most frequent words go into the automaton; it bounds the broadcast and has no effect on results.
 FREQUENT = 50_000
-#: Words kept ready by a worker, and words counted before counts are passed on.
+#: Words counted before counts are passed on, words kept ready by a worker, and the longest kept, in bytes: they bound what is held.
 COUNTED = 300_000
-READY = 500_000
+READY, READY_BYTES = 500_000, 64
+#: Bytes from which a word is merged by a heap.
+LONG = 48
 #: Letters besides a-z that need no normalizing once lower-cased: one code point each, composed, in every Unicode version.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+\Z")
 _PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -125,23 +125,11 @@ def compile_words(words: dict[bytes, list[int]]) -> bytes:
 
 
 def mapped(buffer: bytes):
-    """The buffer as a read-only mapping of a file that the workers of a machine share."""
-    path = os.path.join(tempfile.gettempdir(), f"tessera-words-{hashlib.sha256(buffer).hexdigest()[:24]}.bin")
-    if not os.path.exists(path):
-        # Earlier lexicons go; a worker that still maps one keeps it until it ends.
-        for old in glob.glob(os.path.join(tempfile.gettempdir(), "tessera-words-*.bin")):
-            with contextlib.suppress(OSError):
-                os.remove(old)
-        handle, new = tempfile.mkstemp(dir=tempfile.gettempdir())
-        with os.fdopen(handle, "wb") as out:
-            out.write(buffer)
-        os.replace(new, path)
-    try:
-        with open(path, "rb") as f:
-            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-    except FileNotFoundError:
-        # A worker with another lexicon was quicker.
-        return buffer
+    """The buffer as a read-only mapping of a file without a name: it takes no Python memory and goes with the worker."""
+    with tempfile.TemporaryFile() as f:
+        f.write(buffer)
+        f.flush()
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
 
 
 class Encoder:
@@ -195,6 +183,8 @@ class Encoder:
         """Exact merges: the pair of lowest rank first, leftmost first."""
         ids = [self.inner[b] for b in word]
         ids[-1] = self.last[word[-1]]
+        if len(ids) >= LONG:
+            return self._merge_long(ids)
         rank, none = self.pair.get, len(self.made)
         ranks = [rank(p, none) for p in zip(ids, ids[1:])]
         while ranks:
@@ -210,6 +200,28 @@ class Encoder:
                 ranks[at] = rank((ids[at], ids[at + 1]), none)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same merges from a heap of rank * length + place; places are linked with those before and after them that still hold a piece."""
+        n, rank = len(ids), self.pair.get
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [r * n + k for k, p in enumerate(zip(ids, ids[1:])) if (r := rank(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            best, at = divmod(heapq.heappop(heap), n)
+            next_ = after[at]
+            # An entry is stale where a piece went or changed since.
+            if ids[at] < 0 or next_ >= n or rank((ids[at], ids[next_])) != best:
+                continue
+            ids[at], ids[next_] = self.made[best], -1
+            after[at] = beyond = after[next_]
+            if beyond < n:
+                before[beyond] = at
+                if (r := rank((ids[at], ids[beyond]))) is not None:
+                    heapq.heappush(heap, r * n + at)
+            if (prior := before[at]) >= 0 and (r := rank((ids[prior], ids[at]))) is not None:
+                heapq.heappush(heap, r * n + prior)
+        return [i for i in ids if i >= 0]
+
     def word(self, word: bytes) -> bytes:
         """Ids of one pre-tokenized word; those that don't make up a run by themselves are kept ready too."""
         found = self.transducer.get(word) if self.transducer else None
@@ -217,6 +229,8 @@ class Encoder:
 
     def _known(self, word: bytes) -> bytes:
         known = self.known
+        if len(word) > READY_BYTES:
+            return self.word(word)
         if word not in known:
             if len(known) >= READY // 4:
                 known.clear()
@@ -227,6 +241,8 @@ class Encoder:
         ready = self.ready
         if len(ready) >= READY:
             ready.clear()
+        if len(chunk) > READY_BYTES:
+            return b"".join([array("I", [w]).tobytes() if isinstance(w, int) else self._known(w) for w in self.words(chunk)])
         # Most runs are one word of small letters, perhaps with a stop behind it.
         bare = chunk[:-1] if chunk[-1:] in (b",", b".") else chunk
         if self.plain_form and bare.isalpha() and bare.islower():
@@ -314,7 +330,7 @@ def _encoder(spec, lexicon) -> Encoder:
 def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, ids: bool = True) -> DataFrame:
     """(id, n_tokens, ids) for each row; with ``digests`` also ids_sha256 and decoded_sha256.
 
-    Null and empty texts have no tokens; repeated rows are encoded each; other columns are ignored; no rows give no rows.
+    Null and empty texts have no tokens; texts and words of any length are encoded whole; repeated rows are encoded each; other columns are ignored; no rows give no rows.
     ``tokenizer_file`` is read on the driver only.
     """
     sc = docs.sparkSession.sparkContext
