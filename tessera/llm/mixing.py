@@ -81,7 +81,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     taken; repeated rows are taken one by one; equal hashes go by id; no rows give no rows.
     """
     tables = Tables(docs.sparkSession, "mixing")
-    hashed = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    # Rows that share an id, or have none, are told apart by their texts, so they spread over the ranges too.
+    hashed = F.md5(F.concat_ws(" ", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     sized = tables.keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hashed.alias("hash")))
     sized = sized.withColumn("range", F.substring("hash", 1, RANGE_DIGITS))
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("words"))
@@ -141,7 +142,7 @@ def _sql() -> str:
         cases.append(f"WHEN k = {k} THEN CASE {' '.join(branches)} END")
     weights = " ".join(f"WHEN k = {k} THEN {w}" for k, w in enumerate(WEIGHTS))
     return rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ' ' || md5(coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 k AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} AS k, sum(source_size) OVER () AS total FROM s),
 w AS (SELECT *, CASE {weights} END AS weight FROM k),

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import Tables
+from .store import Tables, exists
 
 _ANY_CASE = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 #: (kind, pattern, group whose length counts, least length), in the order in which kinds are listed; "base" ones first.
@@ -68,7 +68,7 @@ def scan_versions(versions: DataFrame, content_col: str = "text", key_col: str =
 
     versions: a row for each historical version of each path; ``key_col`` tells rows apart cheaply (rows
     that share it and their content are scanned together). ledger: (blob, rule_version, findings) of earlier scans.
-    Null contents are empty; repeated rows each get the findings; no rows give no rows. The ledger returned holds what
+    Null contents are empty; very long ones are scanned whole; other columns are ignored, whatever their names; repeated rows each get the findings; no rows give no rows. The ledger returned holds what
     this scan added, blobs without findings too; append it to the earlier one.
     """
     tables = Tables(versions.sparkSession, "secrets")
@@ -77,8 +77,8 @@ def scan_versions(versions: DataFrame, content_col: str = "text", key_col: str =
     unseen = addressed.groupBy("blob").agg(F.min("key").alias("key"))
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    texts = versions.select(F.col(key_col).alias("at"), content.alias("content"))
-    todo = texts.join(unseen.select("key", F.col("blob").alias("want")), F.col("at").eqNullSafe(F.col("key"))).withColumn("blob", F.sha2("content", 256)).where("blob = want")
+    texts = versions.select(F.col(key_col).alias("at"), F.sha2(content, 256).alias("blob"), content.alias("content"))
+    todo = texts.join(unseen.select("key", F.col("blob").alias("want")), F.col("at").eqNullSafe(F.col("key")) & (F.col("blob") == F.col("want")))
     scanned = scan_texts(todo, rules)
     fresh = tables.keep(scanned.groupBy("blob").agg(F.first("findings").alias("findings")).select("blob", F.lit(rule_version).alias("rule_version"), "findings"))
     known = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("rule_version") == rule_version).select(*fresh.columns))
@@ -89,9 +89,20 @@ def scan_versions(versions: DataFrame, content_col: str = "text", key_col: str =
     return by_path, fresh
 
 
+def scan_with_ledger(versions: DataFrame, path: str, **settings) -> DataFrame:
+    """Findings by path as of ``scan_versions``, with the ledger at ``path``: read if there is one, and what this scan added appended."""
+    spark = versions.sparkSession
+    ledger = spark.read.parquet(path) if exists(spark, path) else None
+    found, fresh = scan_versions(versions, ledger=ledger, **settings)
+    fresh.write.mode("append").parquet(path)
+    return found
+
+
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
+    """The ledger is kept between runs where the setting tessera.secrets.ledger names a folder for it; else each run starts a new one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found, _ = scan_versions(docs)
+    path = spark.conf.get("tessera.secrets.ledger", None)
+    found = scan_with_ledger(docs, path) if path else scan_versions(docs)[0]
     base = F.filter("findings", lambda s: s["rank"] < len(BASE_RULES))
 
     def count(kind):

@@ -13,10 +13,14 @@ from ..plans.session import ship
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (local tests) a new one of this process."""
+    """The folder in spark.checkpoint.dir or given by setCheckpointDir; only where there is none and all runs on this machine, a new one of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and (given := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        found = given.get()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     made = tempfile.mkdtemp(prefix="tessera-shared-")
     atexit.register(shutil.rmtree, made, True)
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")
@@ -24,10 +28,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, files = _place(spark, path)
+    return files.exists(where)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    where, files = _place(spark, path)
+    files.delete(where, True)
 
 
 class Tables:

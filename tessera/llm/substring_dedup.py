@@ -31,8 +31,8 @@ WINDOW = 35
 MINIMISER = 4
 #: Windows in one super-k-mer at most.
 LONGEST = 512
-#: Super-k-mers that a task remembers.
-REMEMBERED = 100_000
+#: Bytes of super-k-mers that a task remembers.
+REMEMBERED = 64 << 20
 #: Bytes of super-k-mers that a task gathers before it packs them, and that a bucket sorts at once.
 GATHERED, SORTED = 8 << 20, 4 << 20
 _MULTIPLIERS = np.random.default_rng(35).integers(1, 1 << 63, MINIMISER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,7 +105,7 @@ def _deal(keys: list[int]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         gathered: dict[int, list[tuple]] = defaultdict(list)
-        size = spread = 0
+        size = spread = held = 0
 
         def out():
             done = pa.RecordBatch.from_arrays([pa.array([keys[b] for b in gathered], pa.int32()), pa.array([payload(r) for r in gathered.values()], pa.binary())], names=["bucket", "payload"])
@@ -119,8 +119,11 @@ def _deal(keys: list[int]):
                 words = joined[low:high]
                 times = seen.get(words, 0)
                 if times < 2:
-                    if len(seen) >= REMEMBERED:
+                    if held > REMEMBERED:
                         seen.clear()
+                        held = 0
+                    if not times:
+                        held += len(words) + 100
                     seen[words] = times + 1
                     size += high - low
                     gathered[key % buckets].append((key >> 32, h1[text], h2[text], start, windows, words))
@@ -255,7 +258,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(*_names(id_col, text), text.alias("text")).mapInArrow(_deal(_even_keys(partitions)), "bucket int, payload binary")
     spans = dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, "h1 long, h2 long, low int, high int")
-    spans = tables.keep(spans.groupBy("h1", "h2").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")))
+    # A text repeated a million times has each of its intervals once.
+    spans = tables.keep(spans.distinct().groupBy("h1", "h2").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")))
     rows = docs.select(*_names(id_col, text), F.col(id_col).alias("id"), text.alias("text"))
     met = rows.join(spans, ["h1", "h2"], "left").select("id", "text", "lows", "highs")
     form = StructType([StructField("id", docs.schema[id_col].dataType), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])

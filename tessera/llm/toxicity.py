@@ -36,8 +36,8 @@ SHORTEST, LONGEST = 4, 10
 WINDOW = 8
 #: A document is rejected from this score on.
 THRESHOLD = 0.3
-#: Words kept ready by a worker.
-READY = 200_000
+#: Words kept ready by a worker, and the longest kept: they bound what is held.
+READY, READY_LETTERS = 200_000, 64
 _LETTERS = re.compile(r"[^\W\d_]+")
 _QUOTES = frozenset("\"“”«»„‟")
 #: Words of saying; a hit after one of them and a quotation mark is reported speech.
@@ -129,9 +129,10 @@ class Scorer:
             for (a, b), (c, d) in zip(parts, parts[1:]):
                 if c == b + 1:
                     code |= self.automaton.match(run_[a:d])
-        if len(self.ready) >= READY:
-            self.ready.clear()
-        self.ready[run] = code
+        if len(run) <= READY_LETTERS:
+            if len(self.ready) >= READY:
+                self.ready.clear()
+            self.ready[run] = code
         return code
 
     def features(self, text: str) -> list[float]:
