@@ -27,6 +27,8 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
         stars = tables.keep(stars.observe(several, F.count(F.when(~F.col("home"), 1)).alias("n")))
         pointers = stars.where("home").select(F.col("u").alias("v"), F.col("v").alias("to"))
         after = stars.join(pointers, "v", "left").select("u", F.coalesce("to", "v").alias("v"), F.col("to").isNotNull().alias("moved")).where("u != v")
+        # Many nodes may link the same two others; each link goes on once.
+        after = after.groupBy("u", "v").agg(F.max("moved").alias("moved"))
         after = tables.keep(after.observe(moved, F.count(F.when(F.col("moved"), 1)).alias("n")))
         tables.drop(stars, *([before] if before is not None else []))
         edges, before = after.select("u", "v"), after
