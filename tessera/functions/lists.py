@@ -165,6 +165,7 @@ QUERIES = {
     "set_union": _list_query(lambda: dict(d=union(F.col("a"), F.col("b")))),
     "set_distinct": _list_query(lambda: dict(d=F.array_distinct("a"))),
     "set_subset_equiv": _list_query(lambda: dict(sub=subset_of(F.col("a"), F.col("b")), eq=equivalent(F.col("a"), F.reverse("a")), over=F.coalesce(F.arrays_overlap("a", "b"), F.lit(False)), run=contains_run(F.col("a"), F.slice("a", 2, 3)))),
+    "set_equivalence": _list_query(lambda: dict(eq=equivalent(F.transform("a", lambda x: x % 3), F.transform("b", lambda x: x % 3)), run=contains_run(F.transform("a", lambda x: x % 3), F.array(F.lit(0), F.lit(1), F.lit(2)).cast("array<bigint>")))),
     "list_position": _list_query(lambda: dict(p=F.when(F.size("b") > 0, position(F.col("a"), F.get("b", F.lit(0)))).otherwise(-1), sub=subsequence(F.col("a"), F.lit(1), F.lit(3)), without=elide(F.col("a"), F.lit(0), F.lit(1)), rest=pop(F.col("a")), rev=F.reverse("a"))),
     "bit_and_count": q_bits(bit_and),
     "bit_or_count": q_bits(bit_or),
@@ -177,6 +178,7 @@ SQL = {
     "set_union": f"{_LISTS} SELECT s, list_concat(list_filter(b, lambda x: NOT list_contains(a, x)), a) AS d FROM l",
     "set_distinct": f"{_LISTS} SELECT s, list_sort(list_distinct(a)) AS d FROM l",
     "set_subset_equiv": f"{_LISTS} SELECT s, list_has_all(b, a) AS sub, true AS eq, list_has_any(a, b) AS over, true AS run FROM l",
+    "set_equivalence": f"{_LISTS}, m AS (SELECT s, list_transform(a, lambda x: x % 3) AS a, list_transform(b, lambda x: x % 3) AS b FROM l) SELECT s, len(a) = len(b) AND list_has_all(a, b) AND list_has_all(b, a) AS eq, len(list_filter(range(1, len(a) - 1), lambda i: a[i] = 0 AND a[i + 1] = 1 AND a[i + 2] = 2)) > 0 AS run FROM m",
     "list_position": f"{_LISTS} SELECT s, CASE WHEN len(b) > 0 THEN (coalesce(list_position(a, b[1]), 0) - 1)::INT ELSE -1 END AS p, a[2:4] AS sub, a[3:] AS without, a[2:] AS rest, list_reverse(a) AS rev FROM l",
     "bit_and_count": f"{_BITS} SELECT s, least(lr, lk)::INT AS length, len(list_filter(r, lambda x: list_contains(k, x)))::INT AS n FROM m",
     "bit_or_count": f"{_BITS} SELECT s, greatest(lr, lk)::INT AS length, len(list_distinct(list_concat(r, k)))::INT AS n FROM m",

@@ -6,10 +6,11 @@ its nearest one is a projection without join or shuffle. New centroids are sums
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import MEASURES, _NAMES, _dense_statistic, dense_similarity
+from ..plans.config import ClusterParameters
 
 #: Seeds or centroids in one literal, and vectors that are clustered agglomeratively, at most.
 MOST_CENTROIDS, MOST_AGGLOMERATIVE = 2000, 3000
@@ -189,6 +190,75 @@ def representative_similarity(pairs: DataFrame, rep: str, group: list[str], simi
     return pairs.groupBy(*group).agg(how.alias("similarity"))
 
 
+def knn(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, id_col: str = "id", vector: str = "v") -> DataFrame:
+    """(query, rank, id, similarity): the k vectors most like each query by cosine, without itself; ties to the smaller id.
+
+    The queries are few (``MOST_CENTROIDS``) and go to all tasks; each task hands on its best k of each query, so the vectors are read once and never shuffled.
+    """
+    import pyarrow as pa
+
+    asked = _checked(list(queries), MOST_CENTROIDS, "queries")
+
+    def run(batches):
+        import numpy as np
+
+        if not asked:
+            return
+        names = np.array([q for q, _ in asked])
+        x = np.array([v for _, v in asked], float)
+        x /= np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-300)
+        best = [(np.empty(0), np.empty(0, np.int64)) for _ in asked]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            y = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)
+            s = x @ (y / np.maximum(np.sqrt((y**2).sum(1, keepdims=True)), 1e-300)).T
+            s[names[:, None] == ids[None, :]] = -np.inf
+            for q in range(len(asked)):
+                part = np.argpartition(-s[q], min(k, len(ids)) - 1)[:k]
+                # What ties with the last of them may have a smaller id.
+                near = np.flatnonzero((s[q] >= s[q][part].min()) & np.isfinite(s[q]))
+                both, own = np.concatenate([best[q][0], s[q][near]]), np.concatenate([best[q][1], ids[near]])
+                order = np.lexsort((own, -both))[:k]
+                best[q] = both[order], own[order]
+        sizes = [len(b[0]) for b in best]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes), pa.int64()), pa.array(np.concatenate([b[1] for b in best]), pa.int64()), pa.array(np.concatenate([b[0] for b in best]), pa.float64())], names=["query", "id", "similarity"])
+
+    usable = vectors.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
+    return usable.mapInArrow(run, "query long, id long, similarity double").withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "similarity")
+
+
+def cluster(vectors: DataFrame, parameters: ClusterParameters | str, seeds: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """(id, cluster) by the method that the parameters name.
+
+    seeds: (key, v), asked for by grow-seeds; k-means takes them too, else as many vectors as it makes clusters, the least alike of a sample.
+    """
+    p = ClusterParameters.parse(parameters) if isinstance(parameters, str) else parameters
+    if p.rep != "centroid":
+        raise NotImplementedError(f"representative {p.rep} within clustering; representative_similarity judges finished clusters by it")
+    if p.method in ("gac", "multipass_gac", "agglomerative", "kmeans_hclust") and p.measure != "cosine":
+        raise NotImplementedError(f"{p.method} with measure {p.measure}")
+    known = None if seeds is None else [(r[0], r[1]) for r in seeds.select(F.col("key").cast("string"), F.col("v").cast("array<double>")).limit(MOST_CENTROIDS + 1).collect()]
+    if p.method == "growseed":
+        if known is None:
+            raise ValueError("grow-seeds needs seeds")
+        near = nearest_of(vectors, known, p.measure)
+        return near.select("id", F.when(F.col("similarity") >= p.threshold, F.col("cluster")).alias("cluster"))
+    if p.method == "gac":
+        return incremental(vectors, p.threshold, p.clusters, p.hard_limit)
+    if p.method == "multipass_gac":
+        return multipass(vectors, p.threshold, p.clusters)
+    if p.method == "agglomerative":
+        return agglomerative(vectors, p.clusters, p.threshold)
+    if p.method == "kmeans_hclust":
+        known = hierarchical_seeds(vectors, p.clusters, seed)
+    elif known is None:
+        known = [(f"<CL_{k}>", r[0]) for k, r in enumerate(diversity_sample(vectors, 4 * p.clusters, seed).select("v").limit(p.clusters).collect())]
+    return k_means(vectors, known, p.iterations, p.measure).select("id", "cluster")
+
+
 def merge_equivalent(assigned: DataFrame, names: DataFrame) -> DataFrame:
     """Clusters that share a seed name become one. names: (cluster, seed)."""
     return assigned.join(names, "cluster", "left").withColumn("cluster", F.coalesce("seed", "cluster")).drop("seed")
@@ -238,6 +308,22 @@ def q_kmeans(rounds):
     return run
 
 
+def q_knn(k):
+    """The neighbours of every vector whose id is divisible by 100; an error if those are more than ``MOST_CENTROIDS``."""
+
+    def run(spark, sf_dir):
+        v = _vectors(spark, sf_dir)
+        queries = [(r[0], r[1]) for r in v.where("id % 100 = 0").limit(MOST_CENTROIDS + 1).select("id", "v").collect()]
+        return knn(v, queries, k).select("query", "rank", "id", F.round("similarity", 6).alias("similarity"))
+
+    return run
+
+
+def q_entry(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return cluster(v, "method=grow,threshold=0.1", _seeds(v))
+
+
 def q_agglomerative(spark, sf_dir):
     """The centroids of the labels, merged to four clusters."""
     c = centroids(_vectors(spark, sf_dir).withColumn("cluster", F.col("label").cast("string")))
@@ -256,8 +342,12 @@ def q_representatives(spark, sf_dir):
 _S = "WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT label::VARCHAR AS key, arg_min(v, id) AS v FROM v GROUP BY label)"
 _NEAREST = "a{n} AS (SELECT v.id, v.v, c.key, list_cosine_similarity(v.v, c.v) AS sim FROM v, {c} c QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY sim DESC, c.key) = 1)"
 _SUMS = "m{n} AS (SELECT key, list(w ORDER BY i) AS v FROM (SELECT key, i, sum(w) AS w FROM (SELECT key, unnest(v) AS w, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY key, i) GROUP BY key), c{n} AS (SELECT * FROM m{n} UNION ALL SELECT * FROM {c} WHERE key NOT IN (SELECT key FROM m{n}))"
+_KNN = "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM v WHERE id % 100 = 0), s AS (SELECT q.id AS query, v.id, list_cosine_similarity(q.v, v.v) AS s FROM q JOIN v ON q.id <> v.id) SELECT query, row_number() OVER w AS rank, id, round(s, 6) AS similarity FROM s WINDOW w AS (PARTITION BY query ORDER BY s DESC, id) QUALIFY rank <= {k}"
 QUERIES = {
     "growseed": q_growseed,
+    "cluster_entry": q_entry,
+    "knn_topk": q_knn(10),
+    "nearest_neighbor": q_knn(1),
     "kmeans_assign_step": q_kmeans(1),
     "kmeans_3_rounds": q_kmeans(3),
     "agglomerative": q_agglomerative,
@@ -269,6 +359,9 @@ QUERIES = {
 }
 SQL = {
     "growseed": f"{_S}, {_NEAREST.format(n=0, c='s')} SELECT id, CASE WHEN sim >= 0.1 THEN key END AS cluster, round(sim, 6) AS similarity FROM a0",
+    "cluster_entry": f"{_S}, {_NEAREST.format(n=0, c='s')} SELECT id, CASE WHEN sim >= 0.1 THEN key END AS cluster FROM a0",
+    "knn_topk": _KNN.format(k=10),
+    "nearest_neighbor": _KNN.format(k=1),
     "kmeans_assign_step": f"{_S}, {_NEAREST.format(n=0, c='s')} SELECT id, key AS cluster FROM a0",
     "kmeans_3_rounds": f"{_S}, {_NEAREST.format(n=0, c='s')}, {_SUMS.format(n=0, c='s')}, {_NEAREST.format(n=1, c='c0')}, {_SUMS.format(n=1, c='c0')}, {_NEAREST.format(n=2, c='c1')} SELECT id, key AS cluster FROM a2",
     "diversity_sample": "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings ORDER BY md5('3:' || vec_id), vec_id LIMIT 60) SELECT a.id::VARCHAR AS id, round(sum(list_cosine_similarity(a.v, b.v) ** 2), 6) AS crowding FROM v a JOIN v b ON a.id <> b.id GROUP BY a.id",

@@ -33,18 +33,23 @@ def undefine(rel: DataFrame, slot: str) -> DataFrame:
     return rel.where((F.col("slot") != slot) & (F.col("inverse") != slot))
 
 
+#: The position of an inverse link before it is put in front of what a slot had.
+_FRONT = -1
+
+
 def _deduplicated(fillers: DataFrame) -> DataFrame:
-    """The first of repeated values, positions counted anew from 0."""
+    """The first of repeated values, positions counted anew from 0; inverse links come first, the last frame's in front."""
     kept = fillers.groupBy("frame", "slot", "facet", "value").agg(F.min("pos").alias("pos"))
-    order = Window.partitionBy("frame", "slot", "facet").orderBy("pos", "value")
+    order = Window.partitionBy("frame", "slot", "facet").orderBy("pos", F.when(F.col("pos") == _FRONT, F.col("value")).desc(), "value")
     return kept.select("frame", "slot", "facet", (F.row_number().over(order) - 1).cast("long").alias("pos"), "value")
 
 
 def with_inverses(fillers: DataFrame, rel: DataFrame) -> DataFrame:
-    """Fillers with the other side of every relation: inverse links stand before the values a slot had."""
+    """Fillers with the other side of every relation: inverse links are put in front of the values a slot had, frame by frame in order of their names."""
     links = fillers.where(F.col("facet") == VALUE).join(rel, "slot")
-    inverse = links.select(F.col("value").alias("frame"), F.col("inverse").alias("slot"), F.lit(VALUE).alias("facet"), (F.lit(-1) - F.xxhash64("frame").bitwiseAND(0x3FFFFFFF)).alias("pos"), F.col("frame").alias("value"))
-    return _deduplicated(fillers.unionByName(inverse))
+    inverse = links.select(F.col("value").alias("frame"), F.col("inverse").alias("slot"), F.lit(VALUE).alias("facet"), F.lit(_FRONT).cast("long").alias("pos"), F.col("frame").alias("value"))
+    new = inverse.join(fillers.select("frame", "slot", "facet", "value"), ["frame", "slot", "facet", "value"], "left_anti")
+    return _deduplicated(fillers.unionByName(new.select(*fillers.columns)))
 
 
 def add_fillers(fillers: DataFrame, more: DataFrame, rel: DataFrame | None = None, front: bool = False) -> DataFrame:
@@ -60,29 +65,67 @@ def add_fillers(fillers: DataFrame, more: DataFrame, rel: DataFrame | None = Non
 
 
 def erase(fillers: DataFrame, what: DataFrame, rel: DataFrame | None = None) -> DataFrame:
-    """Without the rows of ``what`` (any of frame, slot, facet, value), and the inverse links of those that go."""
+    """Without the rows of ``what`` (any of frame, slot, facet, value), and the inverse links of those that go; positions close up."""
     keys = [c for c in ("frame", "slot", "facet", "value") if c in what.columns]
     left = fillers.join(what.select(*keys).distinct(), keys, "left_anti")
-    if rel is None:
-        return left
-    gone = fillers.join(what.select(*keys).distinct(), keys, "left_semi").where(F.col("facet") == VALUE).join(rel, "slot")
-    back = gone.select(F.col("value").alias("frame"), F.col("inverse").alias("slot"), "facet", F.col("frame").alias("value"))
-    return left.join(back, ["frame", "slot", "facet", "value"], "left_anti")
+    if rel is not None:
+        gone = fillers.join(what.select(*keys).distinct(), keys, "left_semi").where(F.col("facet") == VALUE).join(rel, "slot")
+        back = gone.select(F.col("value").alias("frame"), F.col("inverse").alias("slot"), "facet", F.col("frame").alias("value"))
+        left = left.join(back, ["frame", "slot", "facet", "value"], "left_anti")
+    return _deduplicated(left.select(*fillers.columns))
+
+
+def pop_fillers(fillers: DataFrame, of: DataFrame, rel: DataFrame | None = None) -> DataFrame:
+    """Without the first value of each of ``of`` (frame, slot, facet)."""
+    keys = ["frame", "slot", "facet"]
+    first = fillers.join(of.select(*keys).distinct(), keys).groupBy(*keys).agg(F.min_by("value", "pos").alias("value"))
+    return erase(fillers, first, rel)
+
+
+def erase_frame(fillers: DataFrame, frame: str, rel: DataFrame) -> DataFrame:
+    """Without a frame's fillers and the links of other frames to it."""
+    left = fillers.where(F.col("frame") != frame)
+    links = left.where((F.col("value") == frame) & (F.col("facet") == VALUE)).join(rel.select("slot"), "slot", "left_semi")
+    return _deduplicated(left.join(links.select("frame", "slot", "facet", "value"), ["frame", "slot", "facet", "value"], "left_anti").select(*fillers.columns))
 
 
-def replace_filler(fillers: DataFrame, frame: str, slot: str, facet: str, old: str, new: str) -> DataFrame:
+def replace_filler(fillers: DataFrame, frame: str, slot: str, facet: str, old: str, new: str, rel: DataFrame | None = None) -> DataFrame:
+    """One value in place of another, at its position, with the inverse links of both if ``rel`` is given."""
     hit = (F.col("frame") == frame) & (F.col("slot") == slot) & (F.col("facet") == facet) & (F.col("value") == old)
-    return _deduplicated(fillers.withColumn("value", F.when(hit, new).otherwise(F.col("value"))))
+    out = _deduplicated(fillers.withColumn("value", F.when(hit, new).otherwise(F.col("value"))))
+    if rel is None or facet != VALUE:
+        return out
+    back = rel.where(F.col("slot") == slot).select(F.lit(old).alias("frame"), F.col("inverse").alias("slot"), F.lit(VALUE).alias("facet"), F.lit(frame).alias("value"))
+    return with_inverses(erase(out, back), rel)
 
 
-def rename_frame(fillers: DataFrame, old: str, new: str) -> DataFrame:
-    """The frame under its new name, in links to it too."""
-    swap = lambda c: F.when(F.col(c) == old, new).otherwise(F.col(c))
-    return fillers.withColumns({"frame": swap("frame"), "value": swap("value")})
+def replace_facet(fillers: DataFrame, frame: str, slot: str, facet: str, values: list[str], rel: DataFrame | None = None) -> DataFrame:
+    """All values of a facet replaced by others, with the inverse links of both if ``rel`` is given."""
+    spark = fillers.sparkSession
+    out = erase(fillers, spark.createDataFrame([(frame, slot, facet)], "frame string, slot string, facet string"), rel)
+    new = spark.createDataFrame([(frame, slot, facet, k, v) for k, v in enumerate(values)], FILLERS)
+    return add_fillers(out, new, rel)
 
 
-def copy_frame(fillers: DataFrame, old: str, new: str) -> DataFrame:
-    return fillers.unionByName(fillers.where(F.col("frame") == old).withColumn("frame", F.lit(new)))
+def rename_frame(fillers: DataFrame, old: str, new: str, rel: DataFrame | None = None) -> DataFrame:
+    """The frame under its new name, in links of relations to it too (the predefined ones, if ``rel`` is not given); other values stay."""
+    link = F.col("slot").isin([a for a, _ in RELATIONS]) & (F.col("facet") == VALUE)
+    if rel is not None:
+        marked = fillers.join(rel.select("slot", F.lit(True).alias("_link")), "slot", "left").select(*fillers.columns, "_link")
+        fillers, link = marked, F.coalesce("_link", F.lit(False)) & (F.col("facet") == VALUE)
+    out = fillers.withColumns({"frame": F.when(F.col("frame") == old, new).otherwise(F.col("frame")), "value": F.when(link & (F.col("value") == old), new).otherwise(F.col("value"))})
+    return out.drop("_link")
+
+
+def copy_frame(fillers: DataFrame, old: str, new: str, rel: DataFrame | None = None) -> DataFrame:
+    """The frame's fillers under a second name too, with the copy's inverse links if ``rel`` is given."""
+    both = fillers.unionByName(fillers.where(F.col("frame") == old).withColumn("frame", F.lit(new)))
+    return both if rel is None else with_inverses(both, rel)
+
+
+def frames_with_prefix(fillers: DataFrame, prefix: str) -> DataFrame:
+    """(frame) whose names begin with ``prefix``, upper and lower case alike."""
+    return fillers.where(F.lower("frame").startswith(prefix.lower())).select("frame").distinct()
 
 
 def parents(fillers: DataFrame, slot: str) -> DataFrame:
@@ -131,7 +174,8 @@ def _edges(fillers: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
     # INSTANCE-OF parents if a frame has any, else IS-A; after that IS-A.
     first = inst.unionByName(isa.join(inst.select("child").distinct(), "child", "left_anti"))
     if mode == "simple":
-        return first.where("pos = 0"), isa.where("pos = 0")
+        least = lambda up: up.groupBy("child").agg(F.min_by("parent", "pos").alias("parent"), F.min("pos").alias("pos"))
+        return least(first), least(isa)
     return first, isa
 
 
@@ -294,7 +338,56 @@ def _pairs(f, prefix):
     return f.where(F.col("frame").startswith(prefix)).select("frame").distinct().withColumn("ancestor", F.lit("R1"))
 
 
+def _chain(spark, sf_dir):
+    """Every fiftieth customer of a chain of all customers inherits from its top."""
+    key = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    named = lambda k: F.concat(F.lit("K"), k.cast("string"))
+    links = key.where("k > 0").select(named(F.col("k")).alias("frame"), F.lit(ISA).alias("slot"), F.lit(VALUE).alias("facet"), F.lit(0).cast("long").alias("pos"), named(F.col("k") - 1).alias("value"))
+    return links.unionByName(key.where("k = 0").select(F.lit("K0").alias("frame"), F.lit("TEST").alias("slot"), F.lit(VALUE).alias("facet"), F.lit(0).cast("long").alias("pos"), F.lit("top").alias("value"))), key.where("k % 50 = 49").select(named(F.col("k")).alias("frame"))
+
+
+def q_chain(spark, sf_dir):
+    from ..plans.session import ensure_checkpoints
+
+    ensure_checkpoints(spark)
+    fillers, asked = _chain(spark, sf_dir)
+    return inherit(fillers, "TEST", mode="bfs", frames=asked).select("frame", "source", "value")
+
+
+#: (frame, slot, facet, pos, value) for each nation k, where links branch, meet again and run in a circle, and odd nations have an INHERITS facet.
+_LATTICE = (("N", ISA, VALUE, 0, "A"), ("N", ISA, VALUE, 1, "B"), ("A", ISA, VALUE, 0, "C"), ("C", ISA, VALUE, 0, "N"), ("B", ISA, VALUE, 0, "C"), ("C", "NAME", VALUE, 0, "c"), ("B", "NAME", VALUE, 0, "b"), ("N", PART_OF, VALUE, 0, "P"), ("N", PART_OF, VALUE, 1, "Q"), ("P", PART_OF, VALUE, 0, "R"), ("R", "NAME", VALUE, 0, "r"), ("Q", "NAME", VALUE, 0, "q"), ("D", "NAME", VALUE, 0, "d"), ("N", "NAME", INHERITS, 0, "D"))
+
+
+def q_modes(spark, sf_dir):
+    """What each nation inherits in every mode over a lattice in which the modes differ."""
+    from ..plans.session import ensure_checkpoints
+
+    ensure_checkpoints(spark)
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("k"))
+    shape = F.array(*[F.struct(F.lit(f).alias("frame"), F.lit(s).alias("slot"), F.lit(c).alias("facet"), F.lit(p).cast("long").alias("pos"), F.lit(v).alias("value")) for f, s, c, p, v in _LATTICE])
+    rows = nation.select("k", F.inline(shape)).where((F.col("facet") == VALUE) | (F.col("k") % 2 == 1))
+    at = lambda c: F.concat(F.col(c), F.col("k").cast("string"))
+    fillers = rows.select(at("frame").alias("frame"), "slot", "facet", "pos", F.when(F.col("slot").isin(ISA, PART_OF) | (F.col("facet") == INHERITS), at("value")).otherwise(F.col("value")).alias("value"))
+    asked, out = nation.select(F.concat(F.lit("N"), F.col("k").cast("string")).alias("frame")), None
+    for mode in MODES:
+        part = inherit(fillers, "NAME", mode=mode, frames=asked).select(F.lit(mode).alias("mode"), "frame", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q_edits(spark, sf_dir):
+    """Nations' first links erased, suppliers' popped, a region renamed and one erased: what is left, and where it stands."""
+    f, rel = nations(spark, sf_dir), relations(spark)
+    f = with_inverses(f, rel)
+    f = pop_fillers(f, f.where(F.col("frame").startswith("R") & (F.col("slot") == SUBCLASSES)).select("frame", "slot", "facet"), rel)
+    f = erase_frame(rename_frame(f, "R1", "AMERICAS", rel), "R0", rel)
+    return f.where(F.col("slot").isin(SUBCLASSES, ISA) & ~F.col("frame").startswith("C")).select("frame", "slot", "pos", "value")
+
+
 QUERIES = {
+    "inherit_chain": q_chain,
+    "inherit_modes": q_modes,
+    "frame_edits": q_edits,
     "isa_closure": _with_checkpoints(lambda s, f: closure(f.where(F.col("slot").isin(ISA, INSTANCE_OF)).select(F.col("frame").alias("child"), F.col("value").alias("parent")))),
     "isa_p": _with_checkpoints(lambda s, f: is_a(f, _pairs(f, "C"))),
     "partof_p": _with_checkpoints(lambda s, f: part_of(f, _pairs(f, "S"))),
@@ -315,6 +408,9 @@ def _inherit_sql(base, prefix):
 
 
 SQL = {
+    "inherit_chain": "SELECT 'K' || c_custkey AS frame, 'K0' AS source, 'top' AS value FROM customer WHERE c_custkey % 50 = 49",
+    "inherit_modes": "SELECT mode, 'N' || n_nationkey AS frame, CASE WHEN mode LIKE 'local%' AND n_nationkey % 2 = 1 THEN 'd' WHEN mode IN ('bfs', 'local_bfs') THEN 'b' WHEN mode = 'part_bfs' THEN 'q' WHEN mode = 'part_dfs' THEN 'r' ELSE 'c' END AS value FROM nation, (VALUES ('simple'), ('dfs'), ('bfs'), ('part_dfs'), ('part_bfs'), ('local_dfs'), ('local_bfs')) m(mode)",
+    "frame_edits": f"{_F}, l AS (SELECT frame, value FROM f WHERE slot = '{ISA}'), o AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY frame DESC) AS k FROM l), k AS (SELECT replace(frame, 'R1', 'AMERICAS') AS a, CASE WHEN value = 'R1' THEN 'AMERICAS' ELSE value END AS b, k FROM o WHERE 'R0' NOT IN (frame, value) AND NOT (value LIKE 'R%' AND k = 1)) SELECT a AS frame, '{ISA}' AS slot, 0::BIGINT AS pos, b AS value FROM k UNION ALL SELECT b, '{SUBCLASSES}', row_number() OVER (PARTITION BY b ORDER BY k) - 1, a FROM k",
     "isa_closure": f"{_ISA} SELECT frame AS child, ancestor, min(depth)::INT AS depth FROM c GROUP BY ALL",
     "isa_p": f"{_ISA} SELECT DISTINCT frame, 'R1' AS ancestor, frame IN (SELECT frame FROM c WHERE ancestor = 'R1') AS is_a FROM f WHERE frame LIKE 'C%'",
     "partof_p": f"{_PART} SELECT DISTINCT frame, 'R1' AS ancestor, frame IN (SELECT frame FROM c WHERE ancestor = 'R1') AS part_of FROM f WHERE frame LIKE 'S%'",

@@ -268,7 +268,9 @@ def _lm_sql(mode: str) -> str:
         e = f"(CASE WHEN p1 = 0 THEN 0 WHEN p2 = 0 THEN p1 * {w[0]} WHEN p3 = 0 THEN p1 * {w[0]} + p2 * {w[1]} ELSE p1 * {w[0]} + p2 * {w[1]} + p3 * {w[2]} END) / {sum(w)}.0"
     return f"""
 WITH {_W}, a AS (SELECT DISTINCT * FROM {_grams('q', 3)}), n AS (SELECT sum(len(w))::DOUBLE AS t FROM d),
-c1 AS (SELECT w1, count(*) AS c FROM {_grams('d', 1)} GROUP BY ALL), c2 AS (SELECT w1, w2, count(*) AS c FROM {_grams('d', 2)} GROUP BY ALL), c3 AS (SELECT w1, w2, w3, count(*) AS c FROM {_grams('d', 3)} GROUP BY ALL),
+t AS MATERIALIZED (SELECT w1, lead(w1, 1) OVER r AS w2, lead(w1, 2) OVER r AS w3 FROM (SELECT k, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM (SELECT row_number() OVER () AS k, w FROM d)) WINDOW r AS (PARTITION BY k ORDER BY i)),
+h AS (SELECT w1, w2 FROM a UNION SELECT w2, w3 FROM a),
+c1 AS (SELECT w1, count(*) AS c FROM t GROUP BY ALL), c2 AS (SELECT w1, w2, count(*) AS c FROM t SEMI JOIN h USING (w1, w2) GROUP BY ALL), c3 AS (SELECT w1, w2, w3, count(*) AS c FROM t SEMI JOIN a USING (w1, w2, w3) GROUP BY ALL),
 r AS (SELECT a.*, CASE WHEN u.c > 0 THEN u.c / (t * {r}) ELSE {d} END AS p1, coalesce(b.c / hb.c, 0) AS p2, coalesce(g.c / hg.c, 0) AS p3
   FROM a LEFT JOIN c1 u ON u.w1 = a.w3 LEFT JOIN c2 b ON b.w1 = a.w2 AND b.w2 = a.w3 LEFT JOIN c1 hb ON hb.w1 = a.w2
   LEFT JOIN c3 g ON g.w1 = a.w1 AND g.w2 = a.w2 AND g.w3 = a.w3 LEFT JOIN c2 hg ON hg.w1 = a.w1 AND hg.w2 = a.w2, n)

@@ -8,6 +8,7 @@ from .session import ship
 
 MODULES = (
     "tessera.functions.lists",
+    "tessera.functions.maps",
     "tessera.functions.scalars",
     "tessera.functions.text",
     "tessera.operators.term_vectors",

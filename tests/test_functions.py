@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.functions import lists, scalars, similarity, text
+from tessera.functions import lists, maps, scalars, similarity, text
 from tessera.operators import clustering, frames, ngrams, spans, spelling, term_vectors
 from tessera.plans.config import ClusterParameters, Settings
 from tessera.sources import files
@@ -206,6 +206,55 @@ def test_frame_edits(spark):
     assert frames.as_of(frames.abort(v, 2)).where("frame = 'b'").count() == 1
 
 
+def test_edits_keep_positions_and_inverses(spark):
+    rel = frames.relations(spark)
+    f = frames.with_inverses(fillers(spark, [("a", "IS-A", "VALUE", 0, "p"), ("a", "IS-A", "VALUE", 1, "q"), ("b", "IS-A", "VALUE", 0, "q"), ("q", "S", "VALUE", 0, "found"), ("a", "NOTE", "VALUE", 0, "q")]), rel)
+    look = lambda g, frame, slot: [r.value for r in g.where((F.col("frame") == frame) & (F.col("slot") == slot)).orderBy("pos").collect()]
+    # The link made last stands in front.
+    assert look(f, "q", "SUBCLASSES") == ["b", "a"]
+    asked = spark.createDataFrame([("a",)], "frame string")
+    assert frames.inherit(f, "S", mode="simple", frames=asked).count() == 0
+    for gone in (frames.erase(f, spark.createDataFrame([("a", "IS-A", "p")], "frame string, slot string, value string"), rel), frames.pop_fillers(f, spark.createDataFrame([("a", "IS-A", "VALUE")], "frame string, slot string, facet string"), rel)):
+        assert gone.where("frame = 'a' AND slot = 'IS-A'").first().pos == 0 and look(gone, "p", "SUBCLASSES") == []
+        assert frames.inherit(gone, "S", mode="simple", frames=asked).first().value == "found"
+    renamed = frames.rename_frame(f, "q", "z", rel)
+    assert look(renamed, "a", "IS-A") == ["p", "z"] and look(renamed, "a", "NOTE") == ["q"] and look(renamed, "z", "S") == ["found"]
+    swapped = frames.replace_filler(f, "a", "IS-A", "VALUE", "p", "r", rel)
+    assert look(swapped, "a", "IS-A") == ["r", "q"] and look(swapped, "p", "SUBCLASSES") == [] and look(swapped, "r", "SUBCLASSES") == ["a"]
+    other = frames.replace_facet(f, "a", "IS-A", "VALUE", ["x", "y"], rel)
+    assert look(other, "a", "IS-A") == ["x", "y"] and look(other, "q", "SUBCLASSES") == ["b"] and look(other, "y", "SUBCLASSES") == ["a"]
+    erased = frames.erase_frame(f, "q", rel)
+    assert look(erased, "a", "IS-A") == ["p"] and look(erased, "b", "IS-A") == [] and look(erased, "a", "NOTE") == ["q"] and erased.where("frame = 'q'").count() == 0
+    assert look(frames.copy_frame(f, "b", "c", rel), "q", "SUBCLASSES")[0] == "c"
+    assert {r.frame for r in frames.frames_with_prefix(f, "Q").collect()} == {"q"}
+
+
+def test_maps_and_vocabulary(spark):
+    m = F.create_map(F.lit("a"), F.lit(1))
+    assert one(spark, maps.get(maps.put_new(m, "a", F.lit(9)), "a")) == 1 and one(spark, maps.get(maps.put_new(m, "b", F.lit(9)), "b")) == 9
+    assert one(spark, maps.compare(F.lit(None).cast("int"), F.lit(1))) == -1 and one(spark, maps.compare(F.lit(2), F.lit(2))) == 0
+    assert one(spark, maps.set_range(F.array(F.lit(0)), 2, 3)) == [0, 0, 1, 1]
+    known = spark.createDataFrame([("b", 1), ("d", 2)], "word string, id long")
+    grown = maps.extend_vocabulary(known, spark.createDataFrame([("c",), ("a",), ("b",), ("c",)], "word string"))
+    assert {(r.word, r.id) for r in grown.collect()} == {("b", 1), ("d", 2), ("a", 3), ("c", 4)}
+    assert {(r.word, r.id) for r in maps.word_ids(spark.createDataFrame([("d",), ("x",)], "word string"), known).collect()} == {("d", 2), ("x", 0)}
+    assert [r.word for r in maps.words_of_ids(spark.createDataFrame([(0,), (2,)], "id long").orderBy("id"), known).orderBy("id").collect()] == [None, "d"]
+
+
+def test_clustering_entry(spark):
+    rows = [(k, [1.0, 0.01 * k]) for k in range(10)] + [(k, [0.01 * k, 1.0]) for k in range(10, 20)]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    for parameters in ("method=gac,threshold=0.8,clusters=5", "method=multi,threshold=0.8,clusters=5", "method=agglom,threshold=0.8,clusters=2", "method=kmeans,clusters=2,iterations=5", "method=kmeans_hclust,clusters=2"):
+        groups = {}
+        for r in clustering.cluster(v, parameters).collect():
+            groups.setdefault(r.cluster, set()).add(int(r.id) < 10)
+        assert len(groups) == 2 and all(len(g) == 1 for g in groups.values()), parameters
+    with pytest.raises(ValueError):
+        clustering.cluster(v, "method=growseed")
+    with pytest.raises(NotImplementedError):
+        clustering.cluster(v, "rep=nearest")
+
+
 def test_spelling_and_entities(spark):
     vocab = spark.createDataFrame([("the", 100), ("then", 10), ("he", 50), ("at", 5), ("cat", 7)], "word string, freq long")
     words = spark.createDataFrame([("teh",), ("thecat",)], "word string")
