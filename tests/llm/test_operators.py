@@ -309,6 +309,21 @@ def test_near_copies_against_brute_force(spark, sf_dir, odd_docs, no_docs, monke
     assert kept.columns == odd_docs.columns
 
 
+def test_components_against_brute_force(spark):
+    from tessera.llm.graph import components
+    from tessera.llm.store import Tables
+
+    rng = np.random.default_rng(1)
+    for links in ([(k, k + 1) for k in range(100)], [(0, k) for k in range(1, 80)] + [(900, k) for k in range(80, 200)] + [(199, 5)], [tuple(map(int, rng.integers(0, 200, 2))) for _ in range(150)], [(5, 5)], []):
+        least = {x: x for a, b in links if a != b for x in (a, b)}
+        for _ in least:
+            for a, b in links:
+                if a != b:
+                    least[a] = least[b] = min(least[a], least[b])
+        got = components(spark.createDataFrame(links, "a long, b long"), Tables(spark, "graph")).collect()
+        assert len(got) == len(least) and {r.node: r.component for r in got} == least
+
+
 @pytest.mark.parametrize("block", [5000, 60])
 def test_large_groups_against_brute_force(spark, monkeypatch, block):
     """Near copies of a few texts, a drifting chain of them, and texts that share one passage only."""
