@@ -214,17 +214,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[list[str], list[float], list[str]]:
-    """(beginnings, weights, whole words) from at most ``sample`` labelled rows that aren't held out."""
+    """(beginnings, weights, whole words) from at most ``sample`` labelled rows that aren't held out, and as many texts at most where ids repeat."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     chosen = usable.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_toxic")).distinct().orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(sample)
     rows = [(r[0], int(r[1] != 0)) for r in chosen.collect()]
     tables = Tables(docs.sparkSession, "toxicity")
     # At most ``sample`` pairs of numbers, so the broadcast is bounded; the texts of those rows alone are kept.
     wanted = docs.sparkSession.createDataFrame(rows, chosen.schema)
-    # Of sampled texts that are alike from the 9th to the 16th word (copies, mostly) one is fitted on, so that their words don't count as many documents.
+    # Of sampled texts that share the least hash of all their runs of five words (copies, mostly) one is fitted on, so that their words don't count as many documents.
     words = F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")
-    alike = F.when(F.size(words) >= 16, F.xxhash64(F.slice(words, 9, 8))).otherwise(F.xxhash64(words))
-    texts = tables.keep(docs.select(F.col(id_col).alias("_at"), F.col(text_col).alias("text")).join(F.broadcast(wanted), F.col("_at") == F.col("_id")).select("text", "_toxic", alike.alias("_same")).dropDuplicates(["_same", "_toxic"]).select("text", "_toxic"))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 5)))
+    # Within a lambda, the words are split once.
+    alike = F.get(F.transform(F.array(words), lambda w: F.array_min(runs(w))), F.lit(0))
+    texts = tables.keep(docs.select(F.col(id_col).alias("_at"), F.col(text_col).alias("text")).join(F.broadcast(wanted), F.col("_at") == F.col("_id")).select("text", "_toxic", alike.alias("_same")).dropDuplicates(["_same", "_toxic"]).orderBy("_same", "_toxic").limit(sample).select("text", "_toxic"))
     parted = texts.agg(F.sum("_toxic"), F.count(F.lit(1))).first()
     toxic, clean = parted[0] or 0, parted[1] - (parted[0] or 0)
     if not toxic or not clean:
@@ -271,7 +273,7 @@ def score_texts(docs: DataFrame, model: tuple[list[str], list[float], list[str]]
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) for every row of ``docs``.
 
-    Repeated rows are scored each; rows with a null id aren't used for fitting and aren't held out unless the empty text's remainder is 2;
+    Texts of any length are scored whole, repeated rows each; ties of equal evidence go to the longer term, then by code points; other columns are ignored, whatever their names; rows with a null id aren't used for fitting and aren't held out unless the empty text's remainder is 2;
     with no labels of both kinds the score is constant; no rows give no rows.
     """
     model = fit(docs, labels, id_col, text_col)
