@@ -221,11 +221,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     tables = Tables(docs.sparkSession, "toxicity")
     # At most ``sample`` pairs of numbers, so the broadcast is bounded; the texts of those rows alone are kept.
     wanted = docs.sparkSession.createDataFrame(rows, chosen.schema)
-    # Of sampled texts that share the least hash of all their runs of five words (copies, mostly) one is fitted on, so that their words don't count as many documents.
+    # Of sampled texts that share three least hashes of all their runs of five words (copies, mostly) one is fitted on, so that their words don't count as many documents.
     words = F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")
     runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 5)))
-    # Within a lambda, the words are split once.
-    alike = F.get(F.transform(F.array(words), lambda w: F.array_min(runs(w))), F.lit(0))
+    least = lambda r: F.concat_ws(":", *[F.array_min(F.transform(r, lambda h, k=k: F.xxhash64(h, F.lit(k)))).cast("string") for k in range(3)])
+    # Within lambdas, the words are split and hashed once.
+    alike = F.get(F.transform(F.transform(F.array(words), runs), least), F.lit(0))
     texts = tables.keep(docs.select(F.col(id_col).alias("_at"), F.col(text_col).alias("text")).join(F.broadcast(wanted), F.col("_at") == F.col("_id")).select("text", "_toxic", alike.alias("_same")).dropDuplicates(["_same", "_toxic"]).orderBy("_same", "_toxic").limit(sample).select("text", "_toxic"))
     parted = texts.agg(F.sum("_toxic"), F.count(F.lit(1))).first()
     toxic, clean = parted[0] or 0, parted[1] - (parted[0] or 0)
