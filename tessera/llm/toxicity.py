@@ -19,10 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..plans.session import spread
+from .near_dedup import shingle_sets
 from .store import Tables
+from .words import mix, pieces
 
 #: Labelled rows that the lexicon and the weights are fitted on at most (lowest hashes first); bounds what is broadcast and collected.
 SAMPLE = 16_000
@@ -30,6 +32,8 @@ SAMPLE = 16_000
 TERMS = 400
 #: A term needs so much evidence, documents times relative entropy against the share of toxic ones: about 1 in 20 that any of a million unrelated ones passes.
 EVIDENCE = 17.0
+#: Least hashes of runs of words that sampled texts must share to count as copies; texts as alike as 0.85 share them with a chance of 0.6.
+ALIKE = 3
 #: Code points of the beginnings that may become terms.
 SHORTEST, LONGEST = 4, 10
 #: Words on either side of a hit that are looked at for quotation.
@@ -163,6 +167,18 @@ class Scorer:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, toxic, text) with a mark that texts share whose ``ALIKE`` least hashes of runs of five words, over the whole text, are the same."""
+    for batch in pieces(batches, 2, 1 << 21):
+        sets, counts = shingle_sets(batch.column(2))
+        marks, some = np.zeros(len(counts), np.uint64), np.flatnonzero(counts)
+        if len(some):
+            at = (np.cumsum(counts) - counts)[some]
+            for k in range(1, ALIKE + 1):
+                marks[some] = mix(marks[some] + np.minimum.reduceat(mix(sets ^ np.uint64(k)), at))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks.view(np.int64))], names=["_id", "_toxic", "text", "_same"])
+
+
 def _beginnings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, whole, toxic, n): documents of each label that hold a whole word or a beginning."""
     counts: Counter = Counter()
@@ -214,17 +230,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[list[str], list[float], list[str]]:
-    """(beginnings, weights, whole words) from at most ``sample`` labelled rows that aren't held out, and as many texts at most where ids repeat."""
+    """(beginnings, weights, whole words) from at most ``sample`` labelled rows that aren't held out, with one text each."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     chosen = usable.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_toxic")).distinct().orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(sample)
     rows = [(r[0], int(r[1] != 0)) for r in chosen.collect()]
     tables = Tables(docs.sparkSession, "toxicity")
     # At most ``sample`` pairs of numbers, so the broadcast is bounded; the texts of those rows alone are kept.
     wanted = docs.sparkSession.createDataFrame(rows, chosen.schema)
-    # Of sampled texts that are alike from the 9th to the 16th word (copies, mostly) one is fitted on, so that their words don't count as many documents.
-    words = F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")
-    alike = F.when(F.size(words) >= 16, F.xxhash64(F.slice(words, 9, 8))).otherwise(F.xxhash64(words))
-    texts = tables.keep(docs.select(F.col(id_col).alias("_at"), F.col(text_col).alias("text")).join(F.broadcast(wanted), F.col("_at") == F.col("_id")).select("text", "_toxic", alike.alias("_same")).dropDuplicates(["_same", "_toxic"]).orderBy("_same", "_toxic").limit(sample).select("text", "_toxic"))
+    # Of sampled texts that share the least hashes of all their runs of five words (copies, mostly) one is fitted on, so that their words don't count as many documents; of texts of one id, one.
+    met = docs.select(F.col(id_col).alias("_at"), F.col(text_col).alias("text")).join(F.broadcast(wanted), F.col("_at") == F.col("_id")).select("_id", "_toxic", "text")
+    form = StructType([*met.schema.fields, StructField("_same", LongType())])
+    texts = met.mapInArrow(_marked, form).groupBy("_same", "_toxic").agg(F.min(F.struct("_id", "text")).alias("one")).select("_toxic", "one.*")
+    texts = tables.keep(texts.groupBy("_id", "_toxic").agg(F.min("text").alias("text")).select("text", "_toxic"))
     parted = texts.agg(F.sum("_toxic"), F.count(F.lit(1))).first()
     toxic, clean = parted[0] or 0, parted[1] - (parted[0] or 0)
     if not toxic or not clean:
