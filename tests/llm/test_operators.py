@@ -6,6 +6,7 @@ from array import array
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +205,19 @@ def test_long_words_are_learned_whole(spark):
     assert scorer._code("s1imeballishness") == scorer._code("slmeballishness") == 2 and scorer._code("slimeballishness") == 1
 
 
+def test_copies_in_the_sample_are_told_by_whole_texts():
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 10**6, n)]
+    base, head = words(3000), words(16)
+    late = base[:2999] + ["other"]
+    texts = [" ".join(base), " ".join(base).upper().replace(" ", "  "), " ".join(late), " ".join(head + words(300)), " ".join(head + words(300)), "", None, " \t", "one two", "One  two", "two one"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts, pa.string())], names=["_id", "_toxic", "text"])
+    marks = [m for b in toxicity._marked([batch]) for m in b.column(3).to_pylist()]
+    assert marks[0] == marks[1] == marks[2]
+    assert marks[3] != marks[4] and marks[8] == marks[9] != marks[10]
+    assert marks[5] == marks[6] == marks[7] and len(set(marks)) == 6
+
+
 def test_quotation_is_told_apart():
     assert toxicity.Scorer._quoted('he said “you idiot” and left'.split(), 3)
     assert not toxicity.Scorer._quoted("you are an idiot and a fool".split(), 3)
