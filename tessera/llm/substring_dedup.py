@@ -7,6 +7,10 @@ together. In the bucket all windows are sorted by a rolling hash and equal neigh
 
 A task sends at most two copies of any super-k-mer: from the third on it is known that its windows are repeated. So
 copies, however many, fill no bucket. What a task remembers of them is bounded; forgetting only sends more.
+
+A run of words that a large part of the texts hold would draw all windows around it into one bucket. Such runs are found
+first, by counts over one text in ``SAMPLED``, and are no minimisers: the least other run of a window is, or the window's own hash
+where it has no other. That, and the number of buckets, decide only where windows meet; every window of every text is counted.
 """
 
 from __future__ import annotations
@@ -35,28 +39,81 @@ LONGEST = 512
 REMEMBERED = 64 << 20
 #: Bytes of super-k-mers that a task gathers before it packs them, and that a bucket sorts at once.
 GATHERED, SORTED = 8 << 20, 4 << 20
+#: One text in so many is looked at for frequent runs; occurrences in all texts from which a run is one; and the most that are collected and sent to tasks (16 MB).
+SAMPLED, FREQUENT, MOST_FREQUENT = 64, 20_000, 2_000_000
+#: Bytes of texts for one partition of buckets, where the session's number of shuffle partitions would give more.
+PARTITION = 128 << 20
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MULTIPLIERS = np.random.default_rng(35).integers(1, 1 << 63, MINIMISER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROW = pa.schema([("key", pa.uint32()), ("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("words", pa.binary())])
 
 
-def _super_kmers(texts: pa.Array) -> tuple[Words, bytes, list[np.ndarray]]:
-    """Words, the texts with one blank after each word, and for each super-k-mer: minimiser, text, first word, windows, first and last byte."""
+def _runs(w: Words) -> np.ndarray:
+    """The hash of the run of ``MINIMISER`` words that starts at each word (at the end of a text it reaches into the next one)."""
+    out = np.zeros(max(len(w.hash) - MINIMISER + 1, 0), np.uint64)
+    for k in range(MINIMISER):
+        out = out + w.hash[k : k + len(out)] * _MULTIPLIERS[k]
+    return mix(out)
+
+
+def _starts(w: Words, size: int) -> np.ndarray:
+    """The words from which ``size`` words of the same text follow, themselves included."""
+    number = np.arange(max(len(w.hash) - size + 1, 0))
+    return np.flatnonzero(number - w.first[w.text[: len(number)]] < np.diff(w.first)[w.text[: len(number)]] - size + 1)
+
+
+def _rolled(w: Words, at: np.ndarray) -> np.ndarray:
+    """The hashes of the windows that start at the words ``at``."""
+    power, inverse = _power_tables(len(w.hash) + 1)
+    sums = np.zeros(len(w.hash) + 1, np.uint64)
+    np.cumsum(w.hash * power[: len(w.hash)], out=sums[1:])
+    return mix((sums[at + WINDOW] - sums[at]) * inverse[at])
+
+
+def _run_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) to (run, n, bytes): occurrences of runs of words, and a row without a run for all of them and the bytes of the texts."""
+    for batch in pieces(batches, 0, 2 * PIECE):
+        w = Words(batch.column(0))
+        values, n = np.unique(_runs(w)[_starts(w, MINIMISER)], return_counts=True)
+        runs = pa.concat_arrays([pa.array(values.view(np.int64)), pa.nulls(1, pa.int64())])
+        sizes = np.zeros(len(values) + 1, np.int64)
+        sizes[-1] = len(w.data)
+        yield pa.RecordBatch.from_arrays([runs, pa.array(np.append(n, n.sum()).astype(np.int64)), pa.array(sizes)], names=["run", "n", "bytes"])
+
+
+def frequent_runs(texts: DataFrame, tables: Tables, least: int = FREQUENT) -> tuple[np.ndarray, int]:
+    """Sorted hashes of the runs of words that occur ``least`` times or more, ``MOST_FREQUENT`` at most, and the bytes of all texts; both estimated."""
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+    counted = some.mapInArrow(_run_counts, "run long, n long, bytes long").groupBy("run").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    counted = tables.keep(counted.where(F.col("run").isNull() | (F.col("n") * SAMPLED >= least)))
+    whole = counted.where("run IS NULL").first()
+    if whole is None:
+        return np.empty(0, np.uint64), 0
+    # Runs with more than this part of all occurrences are fewer than MOST_FREQUENT.
+    found = counted.where(F.col("run").isNotNull() & (F.col("n") > whole.n / MOST_FREQUENT)).select("run").toArrow()["run"].to_numpy()
+    tables.drop(counted)
+    return np.sort(found.astype(np.int64).view(np.uint64)), whole.bytes * SAMPLED
+
+
+def _super_kmers(texts: pa.Array, frequent: np.ndarray = np.empty(0, np.uint64)) -> tuple[Words, bytes, list[np.ndarray]]:
+    """Words, the texts with one blank after each word, and for each super-k-mer: minimiser, text, first word, windows, first and last byte.
+
+    The runs with the (sorted) hashes ``frequent`` are no minimisers.
+    """
     w = Words(texts)
-    h, n = w.hash, len(w.hash) - WINDOW + 1
-    if n <= 0:
+    at = _starts(w, WINDOW)
+    if not len(at):
         return w, b"", [np.empty(0, np.int64)] * 6
-    least = np.zeros(len(h) - MINIMISER + 1, np.uint64)
-    for k in range(MINIMISER):
-        least = least + h[k : k + len(least)] * _MULTIPLIERS[k]
-    least, width = mix(least), 1
+    least, width = _runs(w), 1
+    if len(frequent):
+        least[frequent[np.minimum(np.searchsorted(frequent, least), len(frequent) - 1)] == least] = _NONE
     while width < WINDOW - MINIMISER + 1:
         step = min(width, WINDOW - MINIMISER + 1 - width)
         least, width = np.minimum(least[:-step], least[step:]), width + step
-    number = np.arange(n) - w.first[w.text[:n]]
-    at = np.flatnonzero(number < np.diff(w.first)[w.text[:n]] - WINDOW + 1)
-    if not len(at):
-        return w, b"", [np.empty(0, np.int64)] * 6
     keys = least[at]
+    bare = np.flatnonzero(keys == _NONE)
+    if len(bare):
+        keys[bare] = _rolled(w, at[bare])
     new = np.ones(len(at), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (np.diff(at) != 1)
     begin = np.flatnonzero(new)
@@ -91,8 +148,8 @@ def _even_keys(partitions: int, each: int = 2) -> list[int]:
     return [k for own in found for k in own]
 
 
-def _deal(keys: list[int]):
-    """(h1, h2, text) to (bucket, payload): each payload holds rows of ``_ROW``, compressed; ``keys`` are the buckets' numbers."""
+def _deal(keys: list[int], frequent: np.ndarray):
+    """(h1, h2, text) to (bucket, payload): each payload holds rows of ``_ROW``, compressed; ``keys`` are the buckets' numbers, ``frequent`` runs no minimisers."""
     buckets = len(keys)
 
     def payload(rows: list[tuple]) -> bytes:
@@ -114,7 +171,7 @@ def _deal(keys: list[int]):
 
         for batch in pieces(batches, 2, 2 * PIECE):
             h1, h2 = (batch.column(k).to_pylist() for k in (0, 1))
-            _, joined, found = _super_kmers(batch.column(2))
+            _, joined, found = _super_kmers(batch.column(2), frequent)
             for key, text, start, windows, low, high in zip(*(x.tolist() for x in found)):
                 words = joined[low:high]
                 times = seen.get(words, 0)
@@ -145,14 +202,10 @@ def _repeated(packed: pa.Array) -> tuple[Words, np.ndarray]:
     """The words of super-k-mers, and for each word whether a window that starts there has an equal one."""
     w = Words(packed)
     marks = np.zeros(len(w.hash), bool)
-    n = len(w.hash) - WINDOW + 1
-    if n <= 0:
+    at = _starts(w, WINDOW)
+    if not len(at):
         return w, marks
-    power, inverse = _power_tables(len(w.hash) + 1)
-    sums = np.zeros(len(w.hash) + 1, np.uint64)
-    np.cumsum(w.hash * power[: len(w.hash)], out=sums[1:])
-    at = np.flatnonzero(np.arange(n) - w.first[w.text[:n]] < np.diff(w.first)[w.text[:n]] - WINDOW + 1)
-    rolled = mix((sums[at + WINDOW] - sums[at]) * inverse[at])
+    rolled = _rolled(w, at)
     order = np.argsort(rolled, kind="stable")
     ranked = rolled[order]
     same = np.zeros(len(order) + 1, bool)
@@ -246,17 +299,18 @@ def _names(id_col: str, text: Column) -> list[Column]:
     return [F.xxhash64(F.col(id_col), text).alias("h1"), F.xxhash64(F.lit("second"), text, F.col(id_col)).alias("h2")]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, frequent: int = FREQUENT) -> DataFrame:
     """(id, n_words, n_removed, kept) for every row; kept is the text of the words that stay, joined by blanks, or with ``digests`` its SHA-256.
 
-    Null texts have no words; texts shorter than a window lose none; a repeated row's windows start elsewhere too, so it loses all of them.
+    Runs of words that occur ``frequent`` times or more are no minimisers, which changes no result. Null texts have no words; texts shorter than a window lose none; a repeated row's windows start elsewhere too, so it loses all of them.
     Other columns are ignored; no rows give no rows.
     """
     spark = docs.sparkSession
     tables = Tables(spark, "substrings")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(*_names(id_col, text), text.alias("text")).mapInArrow(_deal(_even_keys(partitions)), "bucket int, payload binary")
+    runs, size = frequent_runs(docs.select(text.alias("text")), tables, frequent)
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION))
+    dealt = docs.select(*_names(id_col, text), text.alias("text")).mapInArrow(_deal(_even_keys(partitions), runs), "bucket int, payload binary")
     spans = dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, "h1 long, h2 long, low int, high int")
     # A text repeated a million times has each of its intervals once.
     spans = tables.keep(spans.distinct().groupBy("h1", "h2").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")))

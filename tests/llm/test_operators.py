@@ -261,16 +261,35 @@ def brute_repeats(docs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("remembered", [64 << 20, 3000])
-def test_substrings_against_brute_force(spark, sf_dir, odd_docs, no_docs, monkeypatch, remembered):
+@pytest.mark.parametrize("remembered, frequent", [(64 << 20, 10**9), (3000, 10**9), (3000, 3), (64 << 20, 1)])
+def test_substrings_against_brute_force(spark, sf_dir, odd_docs, no_docs, monkeypatch, remembered, frequent):
     monkeypatch.setattr(substring_dedup, "REMEMBERED", remembered)
+    monkeypatch.setattr(substring_dedup, "SAMPLED", 1)
     for docs in (odd_docs, spark.read.parquet(f"{sf_dir}/documents.parquet")):
         pairs = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-        got = sorted((str(r[0]), *r[1:]) for r in substring_dedup.remove_repeats(docs, digests=True).collect())
+        got = sorted((str(r[0]), *r[1:]) for r in substring_dedup.remove_repeats(docs, digests=True, frequent=frequent).collect())
         assert got == brute_repeats(pairs)
     assert substring_dedup.remove_repeats(no_docs).count() == 0
 
 
+def test_frequent_runs_draw_no_windows():
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**6, n))
+    passage = words(50)
+    texts = pa.array([f"{words(60)} {passage} {words(60)}" for _ in range(50)])
+    w = substring_dedup.Words(texts)
+    values, n = np.unique(substring_dedup._runs(w)[substring_dedup._starts(w, substring_dedup.MINIMISER)], return_counts=True)
+    frequent = values[n >= 50]
+    assert len(frequent) == 47
+    before, after = (substring_dedup._super_kmers(texts, f)[2] for f in (frequent[:0], frequent))
+    # Windows in all, and the texts whose windows meet under one minimiser: copies of the passage's own windows only.
+    assert before[3].sum() == after[3].sum() == 50 * (170 - substring_dedup.WINDOW + 1)
+    outside = [set(k[(s + c + substring_dedup.WINDOW - 1 <= 60) | (s < 60) | (s >= 110 - substring_dedup.WINDOW + 1)].tolist()) for k, _, s, c, *_ in (before, after)]
+    most = [Counter(k.tolist()) for k in (before[0], after[0])]
+    assert max(most[0][k] for k in outside[0]) >= 50
+    assert max(most[1][k] for k in outside[1]) <= 3
+
+
 def test_words_are_hashed_by_content():
     import pyarrow as pa
 
