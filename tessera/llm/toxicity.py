@@ -42,6 +42,8 @@ WINDOW = 8
 THRESHOLD = 0.3
 #: Words kept ready by a worker, and the longest kept: they bound what is held.
 READY, READY_LETTERS = 200_000, 64
+#: Terms that a worker counts before it sends them on.
+COUNTED = 50_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _QUOTES = frozenset("\"“”«»„‟")
 #: Words of saying; a hit after one of them and a quotation mark is reported speech.
@@ -169,7 +171,7 @@ class Scorer:
 
 def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, toxic, text) with a mark that texts share whose ``ALIKE`` least hashes of runs of five words, over the whole text, are the same."""
-    for batch in pieces(batches, 2, 1 << 21):
+    for batch in pieces(batches, 2, 1 << 20):
         sets, counts = shingle_sets(batch.column(2))
         marks, some = np.zeros(len(counts), np.uint64), np.flatnonzero(counts)
         if len(some):
@@ -180,22 +182,23 @@ def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _beginnings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, whole, toxic, n): documents of each label that hold a whole word or a beginning."""
-    counts: Counter = Counter()
+    """(term, whole, toxic, n): documents of each label that hold a whole word or a beginning; ``COUNTED`` are held at once."""
+    counts: dict[tuple[bool, int], Counter] = {}
 
     def out():
-        rows = list(counts.items())
-        counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in rows], pa.string()), pa.array([r[0][1] for r in rows], pa.bool_()), pa.array([r[0][2] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64())], names=["term", "whole", "toxic", "n"])
+        for (whole, toxic), own in counts.items():
+            terms, numbers = pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())
+            own.clear()
+            yield pa.RecordBatch.from_arrays([terms, pa.array([whole] * len(terms), pa.bool_()), pa.array([toxic] * len(terms), pa.int32()), numbers], names=["term", "whole", "toxic", "n"])
 
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
             words = set(_LETTERS.findall((text.as_py() or "").lower()))
-            counts.update((t, False, toxic) for t in {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)})
-            counts.update((w, True, toxic) for w in words)
-            if len(counts) > READY:
-                yield out()
-    yield out()
+            counts.setdefault((False, toxic), Counter()).update({w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)})
+            counts.setdefault((True, toxic), Counter()).update(words)
+            if sum(map(len, counts.values())) > COUNTED:
+                yield from out()
+    yield from out()
 
 
 def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int, most: int = TERMS) -> list[str]:
