@@ -15,6 +15,8 @@ from ..plans.session import bounded, spread
 ALPHA = 0.4
 #: Mass kept for unseen words in the queries below.
 DISCOUNT = 0.1
+#: A word and the pair after it that the query of restricted matches looks for.
+CONTEXT = ["to", "thanedble", "the"]
 SMOOTHING = ("none", "backoff", "stupid_backoff", "max", "mean", "wtmean", "quadmean", "cubemean", "expmean", "simpkn")
 
 
@@ -84,6 +86,26 @@ def phrase_locations(tok: DataFrame, phrase: list[str], gaps: list[int] | None =
     return out
 
 
+def preceded_by(found: DataFrame, tok: DataFrame, words: list[str]) -> DataFrame:
+    """Of matches (rec, start, end), those with one of ``words`` right before them in the record."""
+    before = tok.where(F.col("word").isin(words)).select("rec", (F.col("pos") + 1).alias("start"))
+    return found.join(before, ["rec", "start"], "left_semi").select(*found.columns)
+
+
+def successors(arrays: DataFrame, n: int) -> DataFrame:
+    """(w1, w2, n): how often w2 is the ``n``-th word after w1 in a record."""
+    return ngram_counts(arrays, 2, gap=n - 1)
+
+
+def class_sizes(tok: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, words, n): different words of each class, and their occurrences; words that ``classes`` (word, class) lacks are in none.
+
+    Occurrences are counted by word before classes are joined, so a class that holds most words is summed from partial counts.
+    """
+    counts = tok.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(classes.select("word", "class").distinct(), "word").groupBy("class").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"))
+
+
 def longest_match(arrays: DataFrame, key: list[str]) -> DataFrame:
     """(length, n): the longest beginning of ``key`` that occurs, and how often; one row, length 0 if none does."""
     found = None
@@ -199,6 +221,23 @@ def q_locations(spark, sf_dir):
     return phrase_locations(tok, ["of", "the"])
 
 
+def q_preceded(spark, sf_dir):
+    """Where a frequent pair of words stands after one of a few words."""
+    tok = positions(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    return preceded_by(phrase_locations(tok, CONTEXT[1:]), tok, CONTEXT[:1])
+
+
+def q_successors(spark, sf_dir):
+    """Third words after those of the benchmark's texts."""
+    return successors(word_arrays(spark.read.parquet(f"{sf_dir}/benchmark.parquet")), 3)
+
+
+def q_classes(spark, sf_dir):
+    """Words by their length, as classes."""
+    tok = positions(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    return class_sizes(tok, tok.select("word", F.length("word").alias("class")).distinct())
+
+
 def q_vocabulary(spark, sf_dir):
     return vocabulary(positions(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id"))
 
@@ -285,6 +324,9 @@ QUERIES = {
     "phrase_freq": q_phrase,
     "gap_search": q_gap,
     "phrase_locations": q_locations,
+    "context_restriction": q_preceded,
+    "nth_successor": q_successors,
+    "class_sizes": q_classes,
     "vocabulary_ids": q_vocabulary,
     "running_cumsum": q_c_array,
     "history_lag": q_history,
@@ -298,6 +340,9 @@ SQL = {
     "phrase_freq": f"WITH {_W}, a AS (SELECT DISTINCT * FROM {_grams('q', 3)}), c AS (SELECT w1, w2, w3, count(*) AS n FROM {_grams('d', 3)} GROUP BY ALL) SELECT a.*, coalesce(n, 0) AS n FROM a LEFT JOIN c USING (w1, w2, w3)",
     "gap_search": f"WITH {_W}, a AS (SELECT DISTINCT * FROM {_grams('q', 2)}), c AS (SELECT w1, w2, count(*) AS n FROM {_grams('d', 2, 2)} GROUP BY ALL) SELECT a.*, coalesce(n, 0) AS n FROM a LEFT JOIN c USING (w1, w2)",
     "phrase_locations": f"WITH {_W} SELECT doc_id AS rec, (i - 1)::INT AS start, i::INT AS end FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d) WHERE w[i] = 'of' AND w[i + 1] = 'the'",
+    "context_restriction": f"WITH {_W} SELECT doc_id AS rec, (i - 1)::INT AS start, i::INT AS end FROM (SELECT doc_id, w, unnest(range(2, len(w))) AS i FROM d) WHERE w[i - 1] = '{CONTEXT[0]}' AND w[i] = '{CONTEXT[1]}' AND w[i + 1] = '{CONTEXT[2]}'",
+    "nth_successor": f"WITH {_W} SELECT w1, w2, count(*) AS n FROM {_grams('q', 2, 3)} GROUP BY w1, w2",
+    "class_sizes": f"WITH {_W} SELECT length(word)::INT AS class, count(DISTINCT word) AS words, count(*) AS n FROM (SELECT unnest(w) AS word FROM d) GROUP BY 1",
     "vocabulary_ids": f"WITH {_W} SELECT word, row_number() OVER (ORDER BY word) AS id FROM (SELECT DISTINCT unnest(w) AS word FROM d)",
     "running_cumsum": f"WITH {_W}, c AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM d) GROUP BY word) SELECT word, n, (sum(n) OVER (ORDER BY word) - n)::BIGINT AS c FROM c",
     "history_lag": "SELECT event_id, user_id, event_type, lag(event_type, 1) OVER w AS h1, lag(event_type, 2) OVER w AS h2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
