@@ -31,8 +31,8 @@ from .store import Tables
 #: So many of the corpus's most frequent words go into the automaton; it bounds the broadcast and has no effect on results.
 FREQUENT = 50_000
 #: Words counted before counts are passed on, words kept ready by a worker, and the longest kept, in bytes: they bound what is held.
-COUNTED = 150_000
-READY, READY_BYTES = 250_000, 64
+COUNTED = 300_000
+READY, READY_BYTES = 500_000, 64
 #: Bytes from which a word is merged by a heap.
 LONG = 48
 #: Letters besides a-z that need no normalizing once lower-cased: one code point each, composed, in every Unicode version.
