@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, bpe, chat, exact_dedup, mixing, near_dedup, secrets, substring_dedup, toxicity, url_filter
+from . import ann, bpe, chat, conversations, decontamination, exact_dedup, mixing, near_dedup, secrets, substring_dedup, toxicity, url_filter, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_nearest": ann.op9_nearest,
     "op10_bpe": bpe.op10_bpe,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_conversation_repair": conversations.op12_conversation_repair,
+    "op13_decontamination": decontamination.op13_decontamination,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -26,4 +29,6 @@ SQL = {
     "op3_url_filter": url_filter.SQL,
     "op5_chat": chat.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op12_conversation_repair": conversations.SQL,
+    "op13_decontamination": decontamination.SQL,
 }
