@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Tables
+from .store import Tables, named, row_columns, whole_row
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -72,8 +72,13 @@ def _invert(share: Column, schedule: Column, schedules) -> Column:
     return out
 
 
+def _order(id_: Column, text: Column) -> Column:
+    """The hash that orders a source. Rows that share an id, or have none, are told apart by their texts, so they spread over the ranges too."""
+    return F.md5(F.concat_ws(" ", F.coalesce(id_.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, schedules=SCHEDULES, most: int = MOST) -> DataFrame:
-    """One row per row of ``docs``: id, source, size, source_size, target, taken, copies.
+    """One row per row of ``docs``: id, source, size, source_size, target, taken, copies, hash.
 
     ``copies`` holds (copy, position, words) for each copy that the mix takes words of, ``position`` in 0..1.
     The last copy that a source gives is taken in part, so that its words meet the target (rounded).
@@ -81,9 +86,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     taken; repeated rows are taken one by one; equal hashes go by id; no rows give no rows.
     """
     tables = Tables(docs.sparkSession, "mixing")
-    # Rows that share an id, or have none, are told apart by their texts, so they spread over the ranges too.
-    hashed = F.md5(F.concat_ws(" ", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    sized = tables.keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hashed.alias("hash")))
+    sized = tables.keep(docs.select(named(id_col).alias("id"), named(source_col).alias("source"), word_count(named(text_col)).alias("size"), _order(named(id_col), named(text_col)).alias("hash")))
     sized = sized.withColumn("range", F.substring("hash", 1, RANGE_DIGITS))
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("words"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
@@ -103,24 +106,40 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     taken = F.filter(F.array(*[copy(e) for e in range(most)]), lambda c: c["words"] > 0)
     placed = placed.withColumn("copies", taken).withColumn("taken", F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"]))
-    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken", "copies")
+    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken", "copies", "hash")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
     """The rows of ``docs`` as the mix gives them: a whole row for each copy of which it takes at least half, range-sorted by position.
 
-    Rows with the same id, source and size take the plans made for such rows one each. Columns may have any names.
+    Rows with the same id, source and text take the plans made for such rows one each, those equal in all columns counted together, others by a
+    hash of their columns (maps left out). Columns may have any names.
     """
-    p = "__mix_"
-    plan = plan_mix(docs, id_col, text_col, source_col, **settings)
-    copies = plan.select(F.col(id_col).alias(p + "id"), F.col(source_col).alias(p + "source"), F.col("size").alias(p + "size"), F.expr("filter(copies, c -> 2 * c.words >= size)").alias(p + "copies"))
-    same = Window.partitionBy(p + "id", p + "source", p + "size").orderBy(F.size(p + "copies").desc())
-    copies = copies.withColumn(p + "k", F.row_number().over(same)).where(F.size(p + "copies") > 0)
-    rows = docs.select("*", word_count(F.col(text_col)).alias(p + "own_size"))
-    rows = rows.withColumn(p + "own_k", F.row_number().over(Window.partitionBy(id_col, source_col, p + "own_size").orderBy(F.lit(1))))
-    match = rows[id_col].eqNullSafe(copies[p + "id"]) & rows[source_col].eqNullSafe(copies[p + "source"]) & (rows[p + "own_size"] == copies[p + "size"]) & (rows[p + "own_k"] == copies[p + "k"])
-    met = rows.join(copies, match).select(*[rows[c] for c in docs.columns], F.explode(p + "copies").alias(p + "copy"))
-    return met.orderBy(F.col(p + "copy.position"), F.col(id_col)).drop(p + "copy")
+    tables = Tables(docs.sparkSession, "mixed")
+    bare = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), named(source_col).alias("source"))
+    whole = F.filter("copies", lambda c: F.lit(2) * c["words"] >= F.col("size"))
+    copies = plan_mix(bare, "id", "text", "source", **settings).select("id", "source", "hash", F.transform(whole, lambda c: c["position"]).alias("positions"))
+    # Most plans are their rows' only ones. Of others the plans with most copies come first.
+    copies = copies.groupBy("id", "source", "hash").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct(F.size("positions"), "positions")), asc=False).alias("plans"))
+    copies = copies.where(F.exists("plans", lambda p: F.size(p["positions"]) > 0)).select(F.col("id").alias("at"), F.col("source").alias("of"), F.col("hash").alias("known"), "n", F.transform("plans", lambda p: p["positions"]).alias("plans"))
+    copies = tables.keep(copies)
+    rows = docs.select(whole_row(docs), named(id_col).alias("id"), named(source_col).alias("source"), _order(named(id_col), named(text_col)).alias("hash"))
+    match = F.col("id").eqNullSafe(F.col("at")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("hash") == F.col("known"))
+    met = rows.join(copies, match)
+    out = met.where("n = 1").select("row", F.explode(F.get("plans", F.lit(0))).alias("position"), "id")
+    if copies.where("n > 1").limit(1).count():
+        out = out.unionByName(_shared(met.where("n > 1"), docs).select("row", "position", "id"))
+    return out.orderBy("position", "id").select(*row_columns(docs.columns))
+
+
+def _shared(met: DataFrame, docs: DataFrame) -> DataFrame:
+    """(row, position, id) of rows that share their plans: equal rows are counted before any meet, then each takes as many plans as it counts, one after the other."""
+    kinds = dict(docs.dtypes)
+    plain = [F.col("row").getField(c) for c in docs.columns if "map<" not in kinds[c] and "variant" not in kinds[c]]
+    counted = met.withColumn("order", F.xxhash64(*plain)).groupBy("at", "of", "known", "order").agg(F.first("row").alias("row"), F.first("id").alias("id"), F.first("plans").alias("plans"), F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.partitionBy("at", "of", "known").orderBy("order").rowsBetween(Window.unboundedPreceding, -1))
+    own = F.slice("plans", (F.coalesce(before, F.lit(0)) + 1).cast("int"), F.col("c").cast("int"))
+    return counted.withColumn("own", own).select("row", F.explode(F.flatten("own")).alias("position"), "id")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

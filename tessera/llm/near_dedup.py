@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 
 from ..plans.session import spread
 from .graph import components
-from .store import Tables
+from .store import Tables, named, row_columns, whole_row
 from .words import Words, binary_column, group_bounds, key_groups, list_column, mix, pieces
 
 SHINGLE = 5
@@ -320,12 +320,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id (all rows of that id whose texts are in the component)."""
-    p = "__near_"
-    staying = _grouped(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id"))).select(*[F.col(c).alias(p + c) for c in ("id", "t1", "t2")]).distinct()
-    marked = docs.select("*", *[c.alias(f"{p}own{k}") for k, c in enumerate(_names(F.col(text_col)))])
-    match = marked[id_col].eqNullSafe(staying[p + "id"]) & (marked[p + "own0"] == staying[p + "t1"]) & (marked[p + "own1"] == staying[p + "t2"])
-    return marked.join(staying, match, "left_semi").select(*[docs[c] for c in docs.columns])
+    """``docs`` with one document of each component: the one with the smallest id (all rows of that id whose texts are in the component). Columns may have any names."""
+    plain = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
+    staying = _grouped(plain, "id", "text").where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("at"), "t1", "t2").distinct()
+    marked = docs.select(whole_row(docs), named(id_col).alias("id"), *[c.alias(f"own{k}") for k, c in enumerate(_names(named(text_col)))])
+    match = F.col("id").eqNullSafe(F.col("at")) & (F.col("own0") == F.col("t1")) & (F.col("own1") == F.col("t2"))
+    return marked.join(staying, match, "left_semi").select(*row_columns(docs.columns))
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:

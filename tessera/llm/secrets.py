@@ -4,12 +4,12 @@ Every version of a text is addressed by its content (SHA-256). The ledger has a
 rule version that has been scanned, with the findings. A scan takes the blobs whose pair with the
 present rule version isn't in the ledger, each once however many paths hold it, and joins the findings
 back to all paths. Spans come from the matches and the gaps between them: the gaps' and matches' lengths
-in code points add up to offsets.
+in code points add up to offsets, in one running sum along each blob and rule.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import Tables, exists
@@ -33,24 +33,14 @@ RULES = BASE_RULES + MORE_RULES
 RULE_VERSION = "1"
 
 
-def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """array<struct<start, end, kind, rank>> of the leftmost non-overlapping matches, in code points."""
-    rank = [r[0] for r in RULES].index(kind)
-    form = "array<struct<start:bigint,end:bigint,rank:int,kind:string>>"
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m).cast("long"))
-    keeps = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m) >= least)
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
-    steps = F.arrays_zip(gaps.alias("g"), sizes.alias("m"), keeps.alias("k"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(form).alias("found"))
-
-    def step(acc, x):
-        start = acc["at"] + x["g"]
-        end = start + F.coalesce(x["m"], F.lit(0).cast("long"))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind")))
-        return F.struct(end.alias("at"), F.when(F.coalesce(x["k"], F.lit(False)), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
-
-    scanned = F.aggregate(F.transform(steps, lambda s: F.struct(s["g"].alias("g"), s["m"].alias("m"), s["k"].alias("k"))), zero, step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), scanned).otherwise(F.array().cast(form))
+def _pieces(text: Column, rank: int, pattern: str, group: int, least: int) -> Column:
+    """array<struct<rank, at, gap, size, keep>>: the leftmost non-overlapping matches in order, each with the code points between it and the one before; empty without a match."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    part = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("g"), whole.alias("m"), part.alias("k"))
+    # What follows the last match has no match of its own.
+    found = F.transform(zipped, lambda x, i: F.struct(F.lit(rank).alias("rank"), i.cast("long").alias("at"), F.length(x["g"]).cast("long").alias("gap"), F.length(x["m"]).cast("long").alias("size"), (F.length(x["k"]) >= least).alias("keep")))
+    return F.when(text.rlike(pattern), F.filter(found, lambda x: x["size"].isNotNull())).otherwise(F.array().cast("array<struct<rank:int,at:bigint,gap:bigint,size:bigint,keep:boolean>>"))
 
 
 def _listed(spans: Column) -> Column:
@@ -58,9 +48,18 @@ def _listed(spans: Column) -> Column:
 
 
 def scan_texts(blobs: DataFrame, rules=RULES) -> DataFrame:
-    """``findings`` (sorted array of spans) for each row of (blob, content)."""
-    every = F.array_sort(F.concat(*[spans_of(F.col("content"), *rule) for rule in rules]))
-    return blobs.select("blob", every.alias("findings"))
+    """(blob, findings): the sorted spans of each different blob of (blob, content), in time proportional to the matches.
+
+    Matches leave their texts as rows of numbers; the running sum of gaps and sizes along a blob and rule gives the spans. A blob that stands in several rows counts once.
+    """
+    every = F.flatten(F.array(*[_pieces(F.col("content"), k, *rule[1:]) for k, rule in enumerate(rules)]))
+    # One exchange, by blob; what follows needs no other. Blobs without a match keep a row of nulls.
+    found = blobs.select("blob", F.explode_outer(every).alias("p")).select("blob", "p.*").repartition("blob").dropDuplicates(["blob", "rank", "at"])
+    along = Window.partitionBy("blob", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.col("size")).over(along)
+    kind = F.element_at(F.array(*[F.lit(r[0]) for r in rules]), F.col("rank") + 1)
+    placed = found.withColumn("end", end).select("blob", F.when(F.col("keep"), F.struct((F.col("end") - F.col("size")).alias("start"), "end", "rank", kind.alias("kind"))).alias("span"))
+    return placed.groupBy("blob").agg(F.array_sort(F.collect_list("span")).alias("findings"))
 
 
 def scan_versions(versions: DataFrame, content_col: str = "text", key_col: str = "doc_id", ledger: DataFrame | None = None, rules=RULES, rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
@@ -68,7 +67,7 @@ def scan_versions(versions: DataFrame, content_col: str = "text", key_col: str =
 
     versions: a row for each historical version of each path; ``key_col`` tells rows apart cheaply (rows
     that share it and their content are scanned together). ledger: (blob, rule_version, findings) of earlier scans.
-    Null contents are empty; very long ones are scanned whole; other columns are ignored, whatever their names; repeated rows each get the findings; no rows give no rows. The ledger returned holds what
+    Null contents are empty; very long ones, with any number of matches, are scanned whole; spans that tie go by their end, then by the order of the rules; other columns are ignored, whatever their names; repeated rows each get the findings; no rows give no rows. The ledger returned holds what
     this scan added, blobs without findings too; append it to the earlier one.
     """
     tables = Tables(versions.sparkSession, "secrets")
@@ -79,8 +78,7 @@ def scan_versions(versions: DataFrame, content_col: str = "text", key_col: str =
         unseen = unseen.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
     texts = versions.select(F.col(key_col).alias("at"), F.sha2(content, 256).alias("blob"), content.alias("content"))
     todo = texts.join(unseen.select("key", F.col("blob").alias("want")), F.col("at").eqNullSafe(F.col("key")) & (F.col("blob") == F.col("want")))
-    scanned = scan_texts(todo, rules)
-    fresh = tables.keep(scanned.groupBy("blob").agg(F.first("findings").alias("findings")).select("blob", F.lit(rule_version).alias("rule_version"), "findings"))
+    fresh = tables.keep(scan_texts(todo, rules).select("blob", F.lit(rule_version).alias("rule_version"), "findings"))
     known = fresh if ledger is None else fresh.unionByName(ledger.where(F.col("rule_version") == rule_version).select(*fresh.columns))
     # Blobs without findings need no join: paths keep the empty list.
     found = known.where(F.size("findings") > 0).select("blob", "findings")

@@ -7,11 +7,27 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.session import ship
 
 
+def named(column: str) -> Column:
+    """The column of that very name, whatever characters are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one structure, so that columns beside it can't clash with theirs."""
+    return F.struct(*[named(c) for c in df.columns]).alias("row")
+
+
+def row_columns(columns: list[str], row: str = "row") -> list[Column]:
+    """The columns of such a structure again."""
+    return [F.col(row).getField(c).alias(c) for c in columns]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir or given by setCheckpointDir; only where there is none and all runs on this machine, a new one of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -23,7 +23,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..plans.session import spread
 from .near_dedup import shingle_sets
-from .store import Tables
+from .store import Tables, named
 from .words import mix, pieces
 
 #: Labelled rows that the lexicon and the weights are fitted on at most (lowest hashes first); bounds what is broadcast and collected.
@@ -272,20 +272,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return terms, fit_weights(np.array([r[0] for r in measured]), np.array([float(r[1] != 0) for r in measured])), words
 
 
-def score_texts(docs: DataFrame, model: tuple[list[str], list[float], list[str]], text_col: str = "text") -> DataFrame:
-    """``docs`` with a last column ``__toxicity_score``: one pass, no shuffle. Null texts are empty."""
+def scorer_of(model: tuple[list[str], list[float], list[str]]):
+    """A function of a text column that gives its scores: only texts go to Python, and only scores come back. Null texts are empty."""
     terms, weights, words = model
-    columns = docs.columns
-    at = columns.index(text_col)
-    form = StructType([*docs.schema.fields, StructField("__toxicity_score", DoubleType())])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(terms, weights, words)
         for batch in batches:
-            scores = pa.array([scorer.score(t.as_py() or "") for t in batch.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*columns, "__toxicity_score"])
+            yield pa.array([scorer.score(t.as_py() or "") for t in batch], pa.float64())
 
-    return docs.mapInArrow(run, form)
+    return F.arrow_udf(run, DoubleType())
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,27 +290,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Texts of any length are scored whole, repeated rows each; ties of equal evidence go to the longer term, then by code points; other columns are ignored, whatever their names; rows with a null id aren't used for fitting and aren't held out unless the empty text's remainder is 2;
     with no labels of both kinds the score is constant; no rows give no rows.
     """
-    model = fit(docs, labels, id_col, text_col)
-    cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    scored = _scores_only(cut, model)
+    bare = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
+    scored = bare.select("id", scorer_of(fit(bare, labels.select(named(id_col).alias("id"), "toxic"), "id"))("text").alias("score"))
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def _scores_only(cut: DataFrame, model) -> DataFrame:
-    """(id, score): the texts don't come back from Python."""
-    terms, weights, words = model
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(terms, weights, words)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([scorer.score(t.as_py() or "") for t in batch.column(1)], pa.float64())], names=["id", "score"])
-
-    return cut.mapInArrow(run, StructType([cut.schema["id"], StructField("score", DoubleType())]))
-
-
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose score reaches the threshold."""
-    return score_texts(docs, fit(docs, labels, id_col, text_col), text_col).where(F.col("__toxicity_score") < THRESHOLD).drop("__toxicity_score")
+    """``docs`` without the rows whose score reaches the threshold; columns may have any names."""
+    bare = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
+    score = scorer_of(fit(bare, labels.select(named(id_col).alias("id"), "toxic"), "id"))
+    return docs.where(score(named(text_col)) < THRESHOLD)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
