@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import time
+import zlib
 
 import pytest
 
@@ -73,6 +74,8 @@ def test_odd_rows_against_sql(spark, sf_dir, tmp_path):
     rows = [(None, None, None, None), (None, 1, "user", None), (None, 1, None, "Hi."), (1, None, "system", "Be good."), (1, None, "user", "Hi"), (1, 3, "", "Hello!"), (1, 9, "assistant", ""), (2, 5, "User", "Hi."), (3, 1, "user", "x" * 300_000 + "."), (3, 2, "assistant", " \t\n")]
     rows += [(c, t, rng.choice(["user", "assistant", "system", None, "tool"]), rng.choice(["Yes.", "No", "", None, "Why? ", "Yes."])) for c in range(10, 90) for t in range(rng.randint(0, 7))]
     rows += rows[-40:]  # repeated rows
+    gone = next(c for c in range(1000, 2000) if zlib.crc32(f"{c}:1".encode()) % 20 == 0)
+    rows.append((gone, 1, "user", "Hi."))
     path = str(tmp_path / "conversations.parquet")
     spark.createDataFrame(rows, FORM).repartition(3).write.parquet(path)
     df = conversations.op12_conversation_repair(spark, str(tmp_path))
@@ -80,14 +83,14 @@ def test_odd_rows_against_sql(spark, sf_dir, tmp_path):
     assert sorted(df.columns) == columns
     got = rows_of(df.columns, df.collect())
     assert got == want and len(got) == len({r[0] for r in rows})
-    assert any(r.audit == "" and r.cost == 0 for r in df.collect())
+    assert [(r.audit, r.cost) for r in df.where(f"conv_id = {gone}").collect()] == [("", 0)]
 
 
 def test_repaired_turns_and_other_columns(spark):
     rows = [(1, 1, "user", "Hi.", "x", 1), (1, 2, "user", "Still there?", "x", 1), (1, 3, "assistant", "Yes.", "x", 1), (1, 4, "assistant", "cut off", "x", 1)]
     df = spark.createDataFrame(rows, FORM + ", conv string, fault int")
     (r,) = conversations.repair_conversations(df).collect()
-    assert (r.audit, r.cost, r.gaps, r.truncated, r.illegal) == ("DKKD", 8, 0, 1, 2)
-    assert [tuple(t) for t in r.repaired] == [("user", "Still there?"), ("assistant", "Yes.")]
+    assert (r.audit, r.cost, r.gaps, r.truncated, r.illegal) == ("KIKKD", 7, 0, 1, 2)
+    assert [tuple(t) for t in r.repaired] == [("user", "Hi."), ("assistant", ""), ("user", "Still there?"), ("assistant", "Yes.")]
     assert conversations.repair_conversations(df.limit(0)).count() == 0
     assert PATTERN.fullmatch("".join(t.role[0] for t in r.repaired))

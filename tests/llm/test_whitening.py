@@ -37,7 +37,7 @@ def check(spark, rows, kind="float"):
                 assert (r.n, r.deviation) == (n, deviation[tuple(x)])
                 assert r.explained == pytest.approx(e / trace, rel=1e-6)
                 assert r.identity_error < 1e-9
-                want = sum((c - t / n) * w for c, t, w in zip(x, s, vector)) / math.sqrt(e)
+                want = sum(float(Fraction(n * c - t, n)) * w for c, t, w in zip(x, s, vector)) / math.sqrt(e)
                 if abs(want) > 1e-6:
                     sign = signs.setdefault(k, math.copysign(1, want * r.whitened))
                     assert r.whitened == pytest.approx(sign * want, rel=1e-6, abs=1e-8)
