@@ -233,11 +233,16 @@ def knn(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, id_c
 def cluster(vectors: DataFrame, parameters: ClusterParameters | str, seeds: DataFrame | None = None, seed: int = 0) -> DataFrame:
     """(id, cluster) by the method that the parameters name.
 
-    seeds: (key, v), asked for by grow-seeds; k-means takes them too, else as many vectors as it makes clusters, the least alike of a sample.
+    seeds: (key, v), asked for by grow-seeds; k-means takes them too, else as many vectors as it makes clusters, the least alike of a sample. With another representative
+    than the centroid these two methods go by all members (``member_clusters``); the others know centroids only and raise.
     """
     p = ClusterParameters.parse(parameters) if isinstance(parameters, str) else parameters
     if p.rep != "centroid":
-        raise NotImplementedError(f"representative {p.rep} within clustering; representative_similarity judges finished clusters by it")
+        from .member_clusters import cluster_by_members
+
+        if seeds is None:
+            raise ValueError(f"representative {p.rep} needs seeds: the first members")
+        return cluster_by_members(vectors, p, seeds)
     if p.method in ("gac", "multipass_gac", "agglomerative", "kmeans_hclust") and p.measure != "cosine":
         raise NotImplementedError(f"{p.method} with measure {p.measure}")
     known = None if seeds is None else [(r[0], r[1]) for r in seeds.select(F.col("key").cast("string"), F.col("v").cast("array<double>")).limit(MOST_CENTROIDS + 1).collect()]

@@ -14,10 +14,15 @@ MODULES = (
     "tessera.operators.term_vectors",
     "tessera.operators.similarity_queries",
     "tessera.operators.ngrams",
+    "tessera.operators.estimates",
+    "tessera.operators.intervals",
+    "tessera.operators.suffixes",
+    "tessera.operators.word_index",
     "tessera.operators.frames",
     "tessera.operators.spans",
     "tessera.operators.spelling",
     "tessera.operators.clustering",
+    "tessera.operators.member_clusters",
     "tessera.sources.files",
     "tessera.streaming.incremental",
 )
