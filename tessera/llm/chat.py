@@ -27,6 +27,8 @@ from ..plans.session import ship
 OPEN, MIDDLE, CLOSE = b"### ", b": ", b"</turn>\n"
 #: The role whose texts carry the loss.
 ASSISTANT = "assistant"
+#: Bytes of text that are formatted at once.
+PIECE = 1 << 26
 _TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.)*+)</turn>\n", re.S)
 _ESCAPE = re.compile(r"\\(.)", re.S)
 
@@ -72,7 +74,7 @@ def _assemble(conv: pa.Array, role: pa.Array, text: pa.Array) -> pa.RecordBatch:
     base = points[bounds[:-1]]
     begin, end = points[starts[:, 3]] - base[of_turn], points[ends[:, 3]] - base[of_turn]
     counts = np.append(0, np.cumsum(np.bincount(of_turn[loss], minlength=len(first))))
-    # Slices keep a column below 2 GB.
+    # A column stays below 2 GB unless one conversation is larger, which no cell could hold.
     formatted = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
     lists = [pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(x[loss], pa.int64())) for x in (begin, end)]
     turns = np.diff(np.append(first, n))
@@ -83,9 +85,17 @@ def _format(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     waiting: list[pa.Table] = []
 
     def whole(tables):
-        t = pa.concat_tables(tables).combine_chunks()
-        cols = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in t.columns]
-        return _assemble(*cols)
+        """Formatted conversations, so many at once that their texts have about ``PIECE`` bytes; a longer one comes alone."""
+        t = pa.concat_tables(tables)
+        keys = pa.chunked_array(t["conv"]).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        first = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(t))
+        sizes = np.concatenate([[0], np.cumsum(sum(pc.fill_null(pc.binary_length(t[c]), 0).to_numpy().astype(np.int64) for c in ("role", "text")))])[first]
+        low = 0
+        while low < len(first) - 1:
+            high = max(low + 1, int(np.searchsorted(sizes, sizes[low] + PIECE, "right")) - 1)
+            cols = [c.combine_chunks() for c in t.slice(first[low], first[high] - first[low]).columns]
+            yield _assemble(*[c if isinstance(c, pa.Array) else c.chunk(0) for c in cols])
+            low = high
 
     for batch in batches:
         if not batch.num_rows:
@@ -96,14 +106,14 @@ def _format(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = int(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[-1])
         held = waiting and waiting[-1]["conv"][-1].as_py() == t["conv"][0].as_py()
         if waiting and not held:
-            yield whole(waiting)
+            yield from whole(waiting)
             waiting = []
         if last:
-            yield whole([*waiting, t.slice(0, last)])
+            yield from whole([*waiting, t.slice(0, last)])
             waiting = []
         waiting.append(t.slice(last))
     if waiting:
-        yield whole(waiting)
+        yield from whole(waiting)
 
 
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -111,7 +121,7 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
     Turns go by number, null first, equal ones by role and text; repeated rows stay. Null texts and roles are
     empty; rows with a null conversation are one conversation. The loss spans (code points) hold the texts of assistant
-    turns. No rows give no rows; other columns are ignored. A conversation is one cell, so it must fit a task.
+    turns. No rows give no rows; other columns are ignored. A conversation is one cell, so it must fit a task; very long texts are formatted whole, and few conversations with long ones at once.
     """
     ship(turns.sparkSession)
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("_turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .exact_dedup import sorted_names
 from .store import Tables, named, row_columns, whole_row
 
 #: Weights of the sources in code point order, repeating.
@@ -25,6 +26,8 @@ SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0
 MOST = 3
 #: Hex digits of the hash that make a range: 4096 ranges of each source.
 RANGE_DIGITS = 3
+#: Sources that are added up in one window.
+PART = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -39,16 +42,26 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
     Water filling: sources are capped at ``most`` times their size in order of cap by weight; a source is
     capped when its cap is below its share of what the sources before it leave.
     """
-    rank = Window.orderBy(F.col("source").asc_nulls_last())
-    cap = F.lit(most) * F.col("source_size")
-    w = sizes.withColumn("k", (F.row_number().over(rank) - 1) % len(weights)).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.col("k") + 1))
-    filling = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    w = w.withColumn("total", F.sum("source_size").over(Window.partitionBy())).withColumn("rest", F.col("total") - F.coalesce(F.sum(cap).over(before), F.lit(0))).withColumn("weights", F.sum("weight").over(Window.partitionBy()) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    # Sources come in rising order of cap over weight, so the first that is not capped fixes the level for itself and all after it.
-    w = w.withColumn("level", F.col("rest").cast("double") / F.col("weights")).withColumn("open", cap >= F.col("level") * F.col("weight"))
-    w = w.withColumn("place", F.row_number().over(filling))
-    w = w.withColumn("at", F.min_by("level", F.when(F.col("open"), F.col("place"))).over(Window.partitionBy()))
+    tables = Tables(sizes.sparkSession, "targets")
+    cap, last = F.lit(most) * F.col("source_size"), F.col("source").isNull()
+    ranked = sorted_names(sizes.withColumn("last", last), ["last", "source"], ["source", "source_size", "last"], tables)
+    w = ranked.withColumn("k", (F.col("name") % len(weights)).cast("int")).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.col("k") + 1))
+    # Sources in rising order of cap over weight, with what those before them hold: ranges of them are added up first, so no task needs all.
+    order = ["ratio", "last", "source"]
+    placed = sorted_names(w.withColumn("ratio", F.col("source_size") / F.col("weight")), order, [*order, "source_size", "weight", "k"], tables)
+    placed = tables.keep(placed.withColumn("part", F.floor(F.col("name") / PART)))
+    parts = placed.groupBy("part").agg(F.sum(cap).alias("caps"), F.sum("weight").alias("part_weight"))
+    along = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("caps").over(along), F.lit(0)).alias("caps_before"), F.coalesce(F.sum("part_weight").over(along), F.lit(0)).alias("weight_before"))
+    inside = Window.partitionBy("part").orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("all_weight"))
+    w = placed.join(parts, "part").join(F.broadcast(sums), F.lit(True))
+    rest = F.col("total") - F.col("caps_before") - F.coalesce(F.sum(cap).over(inside), F.lit(0))
+    weighs = F.col("all_weight") - F.col("weight_before") - F.coalesce(F.sum("weight").over(inside), F.lit(0))
+    # The first source that is not capped fixes the level for itself and all after it.
+    w = w.withColumn("level", rest.cast("double") / weighs).withColumn("open", cap >= F.col("level") * F.col("weight"))
+    level = w.agg(F.min_by("level", F.when(F.col("open"), F.col("name"))).alias("at"))
+    w = w.join(F.broadcast(level), F.lit(True))
     target = F.when(cap.cast("double") <= F.coalesce(F.col("at"), F.lit(float("inf"))) * F.col("weight"), cap.cast("double")).otherwise(F.col("at") * F.col("weight"))
     return w.select("source", "source_size", "weight", F.col("k").alias("schedule"), target.alias("target"))
 

@@ -59,6 +59,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+#: Bytes of an Arrow batch between the JVM and Python, where the session leaves Spark's default of 64 MB: batches are held several times on both sides, off the heap too.
+BATCH = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it has set a size itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, str(BATCH))
+
+
 class Tables:
     """Intermediate tables of one run of an operator.
 
@@ -69,6 +80,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         ship(spark)
+        bound_batches(spark)
         self.spark, self.root, self.count = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
 
     def keep(self, df: DataFrame) -> DataFrame:
