@@ -57,6 +57,9 @@ def preceding(points: DataFrame, ranges: DataFrame, key: str, at: str = "at", bi
 
     Of ranges that start together the longest counts. Bins have 2 ** bits positions. Null keys and positions have no such range.
     """
+    known = F.col(key).isNotNull() & F.col(at).isNotNull()
+    unknown = points.where(~known).select(*points.columns, F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
+    points = points.where(known)
     point = F.struct(*[F.col(c) for c in points.columns])
     bin_of = lambda c: F.shiftright(F.col(c).cast("long"), bits)
     marks = ranges.where(F.col(key).isNotNull() & F.col("start").isNotNull()).groupBy(F.col(key).alias("_key"), F.col("start").cast("long").alias("_start")).agg(F.max(F.col("end").cast("long")).alias("_end"))
@@ -71,13 +74,13 @@ def preceding(points: DataFrame, ranges: DataFrame, key: str, at: str = "at", bi
     inside = Window.partitionBy("_key", "_bin").orderBy("_start").rangeBetween(Window.unboundedPreceding, -1)
     own = both.withColumn("_found", F.max("_range").over(inside)).where(F.col("_point").isNotNull())
     near = own.where(F.col("_found").isNotNull()).select("_point.*", F.col("_found._start").alias("start"), F.col("_found._end").alias("end"))
-    far = own.where(F.col("_found").isNull()).select("_point.*", "_bin").withColumn("_bin", F.coalesce("_bin", F.lit(-1)))
+    far = own.where(F.col("_found").isNull()).select("_point.*", "_bin")
     reach = lasts.select(F.col("_key").alias(key), F.col("_of.from").alias("start"), F.col("_of.to").alias("end"), "_last")
     # The stretches of bins between ranges are ranges themselves.
-    carried = containing(far.select(key, "_bin").where(F.col(key).isNotNull()).distinct(), reach.select(key, "start", "end"), key, "_bin")
+    carried = containing(far.select(key, "_bin").distinct(), reach.select(key, "start", "end"), key, "_bin")
     carried = carried.join(reach, [key, "start", "end"]).select(F.col(key).alias("_k"), F.col("_bin").alias("_b"), "_last")
     rest = far.join(carried, (F.col(key) == F.col("_k")) & (F.col("_bin") == F.col("_b")), "left")
-    return near.unionByName(rest.select(*points.columns, F.col("_last._start").alias("start"), F.col("_last._end").alias("end")))
+    return near.unionByName(rest.select(*points.columns, F.col("_last._start").alias("start"), F.col("_last._end").alias("end"))).unionByName(unknown)
 
 
 def insert_ranges(ranges: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -71,11 +71,12 @@ def entity_pattern(template: str, any_case: bool = False) -> str:
 
 
 def entities(text: Column, template: str, any_case: bool = False) -> Column:
-    """array<struct<text, type>> of a template's matches."""
+    """array<struct<text, type, confidence>> of a template's matches; what the template doesn't name is null."""
     pattern = entity_pattern(template, any_case)
     places = [p for p in re.findall(r"%[stc]", template)]
     take = lambda part: F.regexp_extract_all(text, F.lit(pattern), F.lit(places.index(part) + 1)) if part in places else F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.lit(None).cast("string"))
-    return F.zip_with(take("%s"), take("%t"), lambda s, t: F.struct(s.alias("text"), t.alias("type")))
+    zipped = F.arrays_zip(take("%s").alias("text"), take("%t").alias("type"), take("%c").alias("confidence"))
+    return F.transform(zipped, lambda x: F.struct(x["text"].alias("text"), x["type"].alias("type"), F.try_to_number(x["confidence"], F.lit("999999999.999999")).cast("double").alias("confidence")))
 
 
 def q_suggest(spark, sf_dir):

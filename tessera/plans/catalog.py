@@ -24,7 +24,9 @@ MODULES = (
     "tessera.operators.clustering",
     "tessera.operators.member_clusters",
     "tessera.sources.files",
+    "tessera.sources.transactions",
     "tessera.streaming.incremental",
+    "tessera.streaming.clusters",
 )
 
 

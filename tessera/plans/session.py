@@ -10,12 +10,14 @@ from pyspark.sql import SparkSession
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder in spark.checkpoint.dir; only where neither that nor one is set (local tests), to a new local one."""
+    """Checkpoints go to the folder in spark.checkpoint.dir; only where neither that nor one is set and all runs on this machine (tests), to a new local one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         where = tempfile.mkdtemp(prefix="tessera-checkpoints-")
         atexit.register(shutil.rmtree, where, True)
     sc.setCheckpointDir(where)

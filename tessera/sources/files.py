@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: An object as JSON: frames with slots, facets and values.
 FRAME_JSON = "struct<frame:string,slots:map<string,map<string,array<string>>>>"
+#: Lines of a threshold list at most.
+MOST_STEPS = 100_000
 
 
 def lines(spark: SparkSession, path: str, glob: str | None = None, delimiter: str | None = None) -> DataFrame:
@@ -45,9 +47,25 @@ def decode_lines(content: Column, encoding: str) -> Column:
     return F.split(F.decode(content, names.get(encoding.lower(), encoding)), r"\r?\n")
 
 
-def replace_table(df: DataFrame, path: str, codec: str = "snappy") -> None:
-    """The table in place of what is there; readers see the old or the new one, as the commit protocol moves files at its end."""
-    df.write.mode("overwrite").option("compression", codec).parquet(path)
+def replace_table(df: DataFrame, path: str, codec: str = "snappy") -> int:
+    """The table as a new version in place of what is there; gives the version's number. Readers (``read_table``) see the old or the new one, whole.
+
+    The rows are written beside the versions before and count from the entry in the log on (``manifest``), so a writer that dies changes nothing.
+    """
+    import uuid
+
+    from .manifest import Manifest
+
+    folder = f"data/{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(f"{path}/{folder}")
+    return Manifest(df.sparkSession, path).publish({"kind": "table", "folder": folder})
+
+
+def read_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of a table that ``replace_table`` wrote, the last one if none is named."""
+    from .manifest import Manifest
+
+    return spark.read.parquet(f"{path}/{Manifest(spark, path).entry(version)['folder']}")
 
 
 def valid(text: Column) -> Column:
@@ -95,9 +113,12 @@ def load_tfidf(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
 
 
 def load_steps(spark: SparkSession, path: str) -> list[tuple[int, float]]:
-    """(count, threshold) pairs, one in brackets on each line."""
+    """(count, threshold) pairs, one in brackets on each line. They are few by nature; more than ``MOST_STEPS`` lines raise."""
     found = spark.read.text(path).select(F.regexp_extract_all("value", F.lit(r"\(\s*(\d+)\s+[-0-9.eE+]+\s*\)"), F.lit(1)).alias("c"), F.regexp_extract_all("value", F.lit(r"\(\s*\d+\s+([-0-9.eE+]+)\s*\)"), F.lit(1)).alias("t"))
-    return sorted((int(c), float(t)) for r in found.limit(100_000).collect() for c, t in zip(r["c"], r["t"]))
+    rows = found.limit(MOST_STEPS + 1).collect()
+    if len(rows) > MOST_STEPS:
+        raise ValueError(f"more than {MOST_STEPS} lines of thresholds in {path}")
+    return sorted((int(c), float(t)) for r in rows for c, t in zip(r["c"], r["t"]))
 
 
 def load_words(spark: SparkSession, path: str) -> DataFrame:

@@ -252,7 +252,7 @@ def test_clustering_entry(spark):
     with pytest.raises(ValueError):
         clustering.cluster(v, "method=growseed")
     with pytest.raises(NotImplementedError):
-        clustering.cluster(v, "rep=nearest")
+        clustering.cluster(v, "rep=nearest,method=agglomerative", v.select(F.lit("a").alias("key"), "v"))
 
 
 def test_spelling_and_entities(spark):
