@@ -11,6 +11,7 @@ MODULES = (
     "tessera.functions.maps",
     "tessera.functions.scalars",
     "tessera.functions.text",
+    "tessera.functions.features",
     "tessera.operators.term_vectors",
     "tessera.operators.similarity_queries",
     "tessera.operators.ngrams",
@@ -18,12 +19,15 @@ MODULES = (
     "tessera.operators.intervals",
     "tessera.operators.suffixes",
     "tessera.operators.word_index",
+    "tessera.operators.phrases",
+    "tessera.operators.iterators",
     "tessera.operators.frames",
     "tessera.operators.spans",
     "tessera.operators.spelling",
     "tessera.operators.clustering",
     "tessera.operators.member_clusters",
     "tessera.sources.files",
+    "tessera.sources.objects",
     "tessera.sources.transactions",
     "tessera.streaming.incremental",
     "tessera.streaming.clusters",
