@@ -129,7 +129,7 @@ def q_sparse_arrays(spark, sf_dir):
 
 def q_strings(spark, sf_dir):
     p = _parts(spark, sf_dir)
-    return p.select("p_partkey", mapped(F.col("p_name"), "aeiou", "AEI").alias("mapped"), insert_text(F.col("p_name"), 3, F.lit("<>")).alias("inserted"), elide_text(F.col("p_name"), 1, 2).alias("elided"), compare(F.col("p_brand"), F.col("p_type")).cast("int").alias("order"))
+    return p.select("p_partkey", mapped(F.col("p_name"), "aeiou", "AEI").alias("mapped"), insert_text(F.col("p_name"), 3, F.lit("<>")).alias("inserted"), elide_text(F.col("p_name"), 1, 2).alias("elided"), compare(F.reverse("p_name"), F.reverse(F.lower("p_type"))).cast("int").alias("order"))
 
 
 def q_bit_ranges(spark, sf_dir):
@@ -152,7 +152,7 @@ QUERIES = {"map_functions": q_map_functions, "sparse_arrays": q_sparse_arrays, "
 SQL = {
     "map_functions": "SELECT p_partkey, 7::BIGINT AS k, p_size::BIGINT + 2 AS s, -1::BIGINT AS d, 'key,seen,size' AS names, 'key,seen' AS \"left\", 0::BIGINT AS r FROM part",
     "sparse_arrays": "SELECT l_orderkey, count(DISTINCT l_linenumber) FILTER (WHERE l_linenumber BETWEEN 2 AND 4) AS n, round(coalesce(sum(l_quantity) FILTER (WHERE l_linenumber BETWEEN 2 AND 4), 0), 4) AS slice, round(sum(l_quantity) + 2 * coalesce(sum(l_quantity) FILTER (WHERE l_linenumber BETWEEN 2 AND 4), 0), 4) AS sum FROM lineitem GROUP BY l_orderkey",
-    "string_functions": "SELECT p_partkey, replace(replace(translate(p_name, 'aei', 'AEI'), 'o', ''), 'u', '') AS mapped, substr(p_name, 1, 3) || '<>' || substr(p_name, 4) AS inserted, substr(p_name, 1, 1) || substr(p_name, 4) AS elided, CASE WHEN p_brand < p_type THEN -1 WHEN p_brand > p_type THEN 1 ELSE 0 END AS \"order\" FROM part",
+    "string_functions": "SELECT p_partkey, replace(replace(translate(p_name, 'aei', 'AEI'), 'o', ''), 'u', '') AS mapped, substr(p_name, 1, 3) || '<>' || substr(p_name, 4) AS inserted, substr(p_name, 1, 1) || substr(p_name, 4) AS elided, CASE WHEN reverse(p_name) < reverse(lower(p_type)) THEN -1 WHEN reverse(p_name) > reverse(lower(p_type)) THEN 1 ELSE 0 END AS \"order\" FROM part",
     "bit_ranges": "WITH b AS (SELECT p_partkey, list_transform(range(0, 6), lambda i: (p_size >> i) & 1) AS a, list_transform(range(0, 4), lambda i: ((p_partkey >> i) & 1)::INT) AS b FROM part) SELECT p_partkey, (a[1] & b[1]) + (a[2] & b[2]) + (a[3] & b[3]) + (a[4] & b[4]) > 0 AS overlap, array_to_string(a[1:4], '') || '1111' AS ranged, b[1] || '00' || b[4] AS off, '0000' AS cleared FROM b",
     "word_ids": r"WITH v AS (SELECT word, row_number() OVER (ORDER BY word) AS id FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents)), q AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT item_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM benchmark)) SELECT item_id, pos, word, coalesce(id, 0) AS id FROM q LEFT JOIN v USING (word)",
 }

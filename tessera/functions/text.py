@@ -58,6 +58,22 @@ def decanonicalize(text: Column) -> Column:
     return F.regexp_replace(out, r"(?<=[(\[{]) ", "")
 
 
+_STOPS = re.compile(r"[.!?:](?=\s)|\n(?=\n)")
+_STOPS_AND_WORDS = re.compile(r"[.!?:](?=\s)|\n(?=\n)|(?<=\S)\s")
+_LETTER = re.compile(r"[^\W\d_]")
+_AFTER = re.compile(r"[\s\"']*")
+
+
+def _word_before(text: str, start: int, k: int) -> str:
+    """The letters that end before ``k``, white space between left out."""
+    while k > start and text[k - 1].isspace():
+        k -= 1
+    end = k
+    while k > start and _LETTER.match(text, k - 1):
+        k -= 1
+    return text[k:end]
+
+
 def sentence_ends(text: str, most_words: int = 1 << 30, abbreviations: frozenset = frozenset(a.lower() for a in ABBREVIATIONS)) -> list[int]:
     """Where each sentence but the last ends (start of the next one).
 
@@ -65,7 +81,10 @@ def sentence_ends(text: str, most_words: int = 1 << 30, abbreviations: frozenset
     single capital or an abbreviation; and after ``most_words`` words at the latest.
     """
     out, start, words, k = [], 0, 0, 0
-    while k < len(text):
+    stops = _STOPS if most_words >= 1 << 30 else _STOPS_AND_WORDS
+    # From stop to stop: what lies between is passed by one search.
+    while m := stops.search(text, k):
+        k = m.start()
         c = text[k]
         if k > start and c.isspace() and not text[k - 1].isspace():
             words += 1
@@ -78,13 +97,10 @@ def sentence_ends(text: str, most_words: int = 1 << 30, abbreviations: frozenset
                 continue
         paragraph = text.startswith("\n\n", k)
         if (c in ".!?:" or paragraph) and k + 1 < len(text) and text[k + 1].isspace():
-            end = k + 2
-            while end < len(text) and (text[end].isspace() or text[end] in "\"'"):
-                end += 1
-            following = text[end] if end < len(text) else ""
+            end = _AFTER.match(text, k + 2).end()
+            following = text[end : end + 1]
             if following and not following.islower() and not following.isdigit() and following not in ".,;:!?-":
-                before = re.search(r"([^\W\d_]+)\s*\Z", text[start:k])
-                word = before[1] if before else ""
+                word = _word_before(text, start, k)
                 initial = c == "." and len(word) == 1 and word.isupper()
                 if paragraph or not initial and not (c == "." and word.lower() in abbreviations):
                     out.append(end)
@@ -188,7 +204,8 @@ def html_text(html: pd.Series) -> pd.Series:
 
 
 def q_tokens(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.size(tokenize("text")).alias("tokens"), canonicalize(F.col("text")).alias("canonical"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return docs.select("doc_id", tokenize("text").alias("words")).select("doc_id", F.size("words").alias("tokens"), F.array_join("words", " ").alias("canonical"))
 
 
 def q_blanks(spark, sf_dir):
@@ -216,5 +233,12 @@ def q_html(spark, sf_dir):
 QUERIES = {"canonicalize": q_tokens, "split_blanks": q_blanks, "sentence_break": q_sentences, "html_links": q_links, "html_tags": q_tags, "html_text": q_html}
 SQL = {
     "split_blanks": r"SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::INT AS words FROM documents",
+    "html_links": r"""
+WITH b AS (SELECT page_id, url, regexp_replace(html, '<!--.*?-->', ' ', 'gs') AS t FROM pages),
+l AS (SELECT page_id, coalesce(nullif(regexp_extract(t, '(?is)<\s*base\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1), ''), url) AS base, unnest(regexp_extract_all(t, '(?is)<\s*a\s[^>]*?href\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', 1)) AS h FROM b),
+s AS (SELECT page_id, base, regexp_replace(h, '^["'']|["'']$', '', 'g') AS h, regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS site, regexp_extract(base, '^([^?#]*/)', 1) AS folder FROM l)
+SELECT DISTINCT page_id, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN h[1:2] = '//' THEN regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || h WHEN h[1] = '/' THEN site || h
+  WHEN h[1] = '#' THEN split_part(base, '#', 1) || h WHEN regexp_matches(folder, '://.*/') THEN folder || h ELSE site || '/' || h END AS link FROM s
+""",
     "html_tags": r"SELECT tag, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<\s*(/?[A-Za-z][A-Za-z0-9]*)([^>]*)>', 1))) AS tag FROM pages) GROUP BY tag",
 }

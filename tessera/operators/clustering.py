@@ -6,7 +6,7 @@ its nearest one is a projection without join or shuffle. New centroids are sums
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import MEASURES, _NAMES, _dense_statistic, dense_similarity
@@ -71,22 +71,46 @@ def k_means(vectors: DataFrame, seeds: list[tuple[str, list[float]]], rounds: in
 
 
 def diversity_sample(vectors: DataFrame, n: int, seed: int = 0, id_col: str = "id") -> DataFrame:
-    """n vectors by hash, ordered by how little they resemble the others: the sum of squared similarities, ascending."""
+    """n vectors by hash, ordered by how little they resemble the others: the sum of squared cosines, ascending.
+
+    That sum is a quadratic form of the vector in the sum of all outer products of unit vectors, so no two vectors meet: each task adds up its outer products, and
+    one matrix, a number for each pair of dimensions, goes back to all.
+    """
+    import pyarrow as pa
+
     from ..functions.scalars import sample_rows
+    from ..plans.session import ensure_checkpoints
 
-    rows = [(str(r[0]), r[1]) for r in sample_rows(vectors.select(id_col, F.col("v").cast("array<double>")), id_col, min(n, MOST_CENTROIDS + 1), seed).collect()]
-    _checked(rows, MOST_CENTROIDS, "rows")
-    spark = vectors.sparkSession
-    import numpy as np
+    ensure_checkpoints(vectors.sparkSession)
+    rows = sample_rows(vectors.select(F.col(id_col).alias("id"), F.col("v").cast("array<double>").alias("v")), "id", n, seed).select(F.col("id").cast("string").alias("id"), "v").checkpoint()
+
+    def units(batch):
+        import numpy as np
+
+        x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)
+        return x / np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-300)
+
+    def outer(batches):
+        total = None
+        for batch in filter(lambda b: b.num_rows, batches):
+            u = units(batch)
+            total = u.T @ u if total is None else total + u.T @ u
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["i", "w"])
+
+    parts = rows.mapInArrow(outer, "i int, w array<double>").select("i", F.posexplode("w").alias("j", "w")).groupBy("i", "j").agg(F.sum("w").alias("w"))
+    matrix = [r[0] for r in parts.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "w"))), lambda s: s["w"]).alias("row")).orderBy("i").select("row").collect()]
+
+    def crowd(batches):
+        import numpy as np
+
+        m = np.array(matrix)
+        for batch in filter(lambda b: b.num_rows, batches):
+            u = units(batch)
+            own = (u**2).sum(1) ** 2
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(((u @ m) * u).sum(1) - own)], names=["id", "v", "crowding"])
 
-    x = np.array([v for _, v in rows])
-    if not len(x):
-        return spark.createDataFrame([], "id string, v array<double>, crowding double")
-    unit = x / np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-300)
-    s = unit @ unit.T
-    crowding = (s**2).sum(1) - np.diag(s) ** 2
-    order = sorted(range(len(rows)), key=lambda k: (crowding[k], rows[k][0]))
-    return spark.createDataFrame([(rows[k][0], [float(v) for v in rows[k][1]], float(crowding[k])) for k in order], "id string, v array<double>, crowding double")
+    return rows.mapInArrow(crowd, "id string, v array<double>, crowding double").orderBy("crowding", "id")
 
 
 def agglomerative(vectors: DataFrame, clusters: int, threshold: float, backoff: float = 0.1, id_col: str = "id") -> DataFrame:
@@ -190,46 +214,6 @@ def representative_similarity(pairs: DataFrame, rep: str, group: list[str], simi
     return pairs.groupBy(*group).agg(how.alias("similarity"))
 
 
-def knn(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, id_col: str = "id", vector: str = "v") -> DataFrame:
-    """(query, rank, id, similarity): the k vectors most like each query by cosine, without itself; ties to the smaller id.
-
-    The queries are few (``MOST_CENTROIDS``) and go to all tasks; each task hands on its best k of each query, so the vectors are read once and never shuffled.
-    """
-    import pyarrow as pa
-
-    asked = _checked(list(queries), MOST_CENTROIDS, "queries")
-
-    def run(batches):
-        import numpy as np
-
-        if not asked:
-            return
-        names = np.array([q for q, _ in asked])
-        x = np.array([v for _, v in asked], float)
-        x /= np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-300)
-        best = [(np.empty(0), np.empty(0, np.int64)) for _ in asked]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            y = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)
-            s = x @ (y / np.maximum(np.sqrt((y**2).sum(1, keepdims=True)), 1e-300)).T
-            s[names[:, None] == ids[None, :]] = -np.inf
-            for q in range(len(asked)):
-                part = np.argpartition(-s[q], min(k, len(ids)) - 1)[:k]
-                # What ties with the last of them may have a smaller id.
-                near = np.flatnonzero((s[q] >= s[q][part].min()) & np.isfinite(s[q]))
-                both, own = np.concatenate([best[q][0], s[q][near]]), np.concatenate([best[q][1], ids[near]])
-                order = np.lexsort((own, -both))[:k]
-                best[q] = both[order], own[order]
-        sizes = [len(b[0]) for b in best]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes), pa.int64()), pa.array(np.concatenate([b[1] for b in best]), pa.int64()), pa.array(np.concatenate([b[0] for b in best]), pa.float64())], names=["query", "id", "similarity"])
-
-    usable = vectors.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
-    return usable.mapInArrow(run, "query long, id long, similarity double").withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "similarity")
-
-
 def cluster(vectors: DataFrame, parameters: ClusterParameters | str, seeds: DataFrame | None = None, seed: int = 0) -> DataFrame:
     """(id, cluster) by the method that the parameters name.
 
@@ -314,12 +298,13 @@ def q_kmeans(rounds):
 
 
 def q_knn(k):
-    """The neighbours of every vector whose id is divisible by 100; an error if those are more than ``MOST_CENTROIDS``."""
+    """The neighbours of every vector whose id is divisible by 100."""
 
     def run(spark, sf_dir):
+        from .member_clusters import knn
+
         v = _vectors(spark, sf_dir)
-        queries = [(r[0], r[1]) for r in v.where("id % 100 = 0").limit(MOST_CENTROIDS + 1).select("id", "v").collect()]
-        return knn(v, queries, k).select("query", "rank", "id", F.round("similarity", 6).alias("similarity"))
+        return knn(v, v.where("id % 100 = 0"), k).select("query", "rank", "id", F.round("similarity", 6).alias("similarity"))
 
     return run
 

@@ -39,6 +39,21 @@ def cluster_similarity(vectors: DataFrame, members: DataFrame, rep: str, measure
     return representative_similarity(dense_similarity(met, measure, "x", "y"), rep, ["id", "cluster"])
 
 
+def knn(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "cosine", block: int = BLOCK) -> DataFrame:
+    """(query, rank, id, similarity): the k vectors of vectors(id, v) most like each of queries(id, v), without the one of its own id; ties to the smaller id.
+
+    Queries and vectors meet in blocks, and each task keeps its k best of a query before anything is shuffled. Null ids and vectors take no part.
+    """
+    own = vectors.where(F.col("id").isNotNull() & F.col("v").isNotNull()).select("id", F.col("v").cast("array<double>").alias("y"))
+    asked = queries.where(F.col("id").isNotNull() & F.col("v").isNotNull()).select(F.col("id").alias("query"), F.col("v").cast("array<double>").alias("x"))
+    n, m = own.count(), asked.count()
+    rows, columns = max(-(-n // block), min(own.sparkSession.sparkContext.defaultParallelism, n), 1), max(-(-m // block), 1)
+    met = _dealt(own, "_i", "_j", "id", rows, columns).hint("shuffle_hash").join(_dealt(asked, "_j", "_i", "query", columns, rows), ["_i", "_j"]).where("id <> query")
+    scored = dense_similarity(met.select("query", "id", "x", "y"), measure, "x", "y").select("query", "id", "similarity")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "similarity")
+
+
 def most_similar(scored: DataFrame) -> DataFrame:
     """(id, cluster, similarity) of each id's best cluster; ties go to the smallest name."""
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "cluster")

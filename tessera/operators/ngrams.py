@@ -228,8 +228,8 @@ def q_preceded(spark, sf_dir):
 
 
 def q_successors(spark, sf_dir):
-    """Third words after those of the benchmark's texts."""
-    return successors(word_arrays(spark.read.parquet(f"{sf_dir}/benchmark.parquet")), 3)
+    """Third words after those of the documents."""
+    return successors(_docs(spark, sf_dir), 3)
 
 
 def q_classes(spark, sf_dir):
@@ -341,7 +341,7 @@ SQL = {
     "gap_search": f"WITH {_W}, a AS (SELECT DISTINCT * FROM {_grams('q', 2)}), c AS (SELECT w1, w2, count(*) AS n FROM {_grams('d', 2, 2)} GROUP BY ALL) SELECT a.*, coalesce(n, 0) AS n FROM a LEFT JOIN c USING (w1, w2)",
     "phrase_locations": f"WITH {_W} SELECT doc_id AS rec, (i - 1)::INT AS start, i::INT AS end FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d) WHERE w[i] = 'of' AND w[i + 1] = 'the'",
     "context_restriction": f"WITH {_W} SELECT doc_id AS rec, (i - 1)::INT AS start, i::INT AS end FROM (SELECT doc_id, w, unnest(range(2, len(w))) AS i FROM d) WHERE w[i - 1] = '{CONTEXT[0]}' AND w[i] = '{CONTEXT[1]}' AND w[i + 1] = '{CONTEXT[2]}'",
-    "nth_successor": f"WITH {_W} SELECT w1, w2, count(*) AS n FROM {_grams('q', 2, 3)} GROUP BY w1, w2",
+    "nth_successor": f"WITH {_W} SELECT w1, w2, count(*) AS n FROM {_grams('d', 2, 3)} GROUP BY w1, w2",
     "class_sizes": f"WITH {_W} SELECT length(word)::INT AS class, count(DISTINCT word) AS words, count(*) AS n FROM (SELECT unnest(w) AS word FROM d) GROUP BY 1",
     "vocabulary_ids": f"WITH {_W} SELECT word, row_number() OVER (ORDER BY word) AS id FROM (SELECT DISTINCT unnest(w) AS word FROM d)",
     "running_cumsum": f"WITH {_W}, c AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM d) GROUP BY word) SELECT word, n, (sum(n) OVER (ORDER BY word) - n)::BIGINT AS c FROM c",

@@ -61,26 +61,26 @@ def compatible(a: DataFrame, b: DataFrame) -> DataFrame:
     return end(a, "a").join(end(b, "b"), "doc").select("doc", (F.col("a") == F.col("b")).alias("compatible"))
 
 
-def _bench(spark, sf_dir):
-    return build(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
+def _spans(spark, sf_dir):
+    return build(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
 
 
 def q_build(spark, sf_dir):
-    return _bench(spark, sf_dir).select("doc", "start", "end", "text")
+    return _spans(spark, sf_dir).select("doc", "start", "end", "text")
 
 
 def q_combine(spark, sf_dir):
-    s = _bench(spark, sf_dir)
+    s = _spans(spark, sf_dir)
     grouped = s.withColumn("start", F.lit(0)).withColumn("end", F.lit(0))
     return combine(grouped, "add", "product").select("doc", "text", "score", "weight")
 
 
 def q_merge(spark, sf_dir):
-    s = _bench(spark, sf_dir)
+    s = _spans(spark, sf_dir)
     return merge_adjacent(s, s, "add").select("doc", "start", "end", "score", "text")
 
 
-_B = r"WITH w AS (SELECT item_id AS doc, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM benchmark), p AS (SELECT doc, unnest(w) AS text, generate_subscripts(w, 1) AS k FROM w), s AS (SELECT doc, k, text, (sum(length(text)) OVER (PARTITION BY doc ORDER BY k) - length(text))::INT AS start FROM p)"
+_B = r"WITH w AS (SELECT doc_id AS doc, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents), p AS (SELECT doc, unnest(w) AS text, generate_subscripts(w, 1) AS k FROM w), s AS (SELECT doc, k, text, (sum(length(text)) OVER (PARTITION BY doc ORDER BY k) - length(text))::INT AS start FROM p)"
 QUERIES = {"span_build": q_build, "span_combine": q_combine, "span_merge": q_merge}
 SQL = {
     "span_build": f"{_B} SELECT doc, start, (start + length(text) - 1)::INT AS end, text FROM s",

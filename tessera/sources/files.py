@@ -162,8 +162,11 @@ def q_objects(spark, sf_dir):
 def q_sniff(spark, sf_dir):
     from ..functions.scalars import sniff_encoding
 
+    """Each document in five encodings, by what is made of it."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select(sniff_encoding(F.encode("text", "UTF-8")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    ways = {"utf-8": F.encode("text", "UTF-8"), "marked": F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")), "big": F.encode("text", "UTF-16BE"), "little": F.encode("text", "UTF-16LE"), "marked big": F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE"))}
+    each = d.select(F.explode(F.array(*[F.struct(F.lit(k).alias("way"), v.alias("content")) for k, v in ways.items()])).alias("e")).select("e.*")
+    return each.select("way", sniff_encoding(F.col("content")).alias("kind")).groupBy("way", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 from ..operators.frames import _F as _FRAMES  # noqa: E402
@@ -173,5 +176,6 @@ SQL = {
     "frame_roundtrip": f"{_FRAMES} SELECT frame, slot, 'VALUE' AS facet, 0::BIGINT AS pos, value FROM f",
     "tfidf_file_roundtrip": r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM documents) SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM w GROUP BY term",
     "object_types": "SELECT event_id, json_valid(props) AS valid, CASE WHEN json_valid(props) THEN 'struct' END AS type FROM events",
-    "file_sniff": r"SELECT CASE WHEN regexp_matches(text, '[^\x00-\x7F]') THEN 'latin-1' ELSE 'ascii' END AS kind, count(*) AS n FROM documents GROUP BY ALL",
+    "file_sniff": r"""WITH k AS (SELECT 'utf-8' AS way, CASE WHEN regexp_matches(text, '[^\x00-\x7F]') THEN 'latin-1' ELSE 'ascii' END AS kind FROM documents UNION ALL SELECT 'marked', 'utf-8' FROM documents UNION ALL SELECT 'marked big', 'utf-16be' FROM documents
+UNION ALL SELECT 'big', CASE WHEN text = '' THEN 'ascii' ELSE 'utf-16be' END FROM documents UNION ALL SELECT 'little', CASE WHEN text = '' THEN 'ascii' ELSE 'utf-16le' END FROM documents) SELECT way, kind, count(*) AS n FROM k GROUP BY ALL""",
 }
