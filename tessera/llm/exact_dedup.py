@@ -1,7 +1,7 @@
 """Exact dedup by deterministic block naming (native: DataFrame functions only).
 
 Texts are equal when identical after deleting white space. Each normalised text is cut into blocks of
-a fixed number of code points; the distinct blocks, range-sorted, get integer names, their numbers in that order; adjacent names are
+a fixed number of code points; the distinct blocks, range-sorted by hash and content, get integer names, their numbers in that order; adjacent names are
 paired and the distinct pairs, sorted, named again, round by round, until every document has one name, the same in every run. Two
 documents share (level, name) exactly if their normalised texts are identical: names stand for block
 contents compared as whole strings, a hash only routes them.
@@ -31,13 +31,13 @@ def _blocks(norm: Column, size: int) -> Column:
     return F.when(F.length(norm) == 0, F.array(F.lit(""))).otherwise(found)
 
 
-def sorted_names(distinct: DataFrame, by: list[str], keep: list[str], tables: Tables) -> DataFrame:
+def sorted_names(distinct: DataFrame, by: list[str], keep: list[str], tables: Tables, ranges: int | None = None) -> DataFrame:
     """``keep`` and ``name``: the number of each row of ``distinct`` in the order of its columns ``by``, from 0.
 
-    Rows are sorted in ranges; a row's number is its place in its range after all rows of the ranges before, so names depend on nothing but the rows.
+    Rows are sorted in ranges of the first ``ranges`` of those columns (all, without it), a sample of which goes to the driver. A row's number is its place in its range after all rows of the ranges before, so names depend on nothing but the rows.
     """
     # The place is the range's number times 2 ** 33 plus the place in it; it is fixed once written.
-    ranged = tables.keep(distinct.repartitionByRange(*by).sortWithinPartitions(*by).select(*keep, F.monotonically_increasing_id().alias("place")))
+    ranged = tables.keep(distinct.repartitionByRange(*by[:ranges]).sortWithinPartitions(*by).select(*keep, F.monotonically_increasing_id().alias("place")))
     ranged = ranged.withColumn("range", F.shiftright("place", 33)).withColumn("inside", F.col("place").bitwiseAND((1 << 33) - 1))
     sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
     starts = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
@@ -55,10 +55,10 @@ def exact_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_chars").cast("long"), normalised(F.col(text_col)).alias("norm"))
     cut = source.select("id", "n_chars", F.sha2("norm", 256).alias("text_sha256"), _blocks(F.col("norm"), block).alias("blocks"))
     distinct = source.select(F.explode(_blocks(F.col("norm"), block)).alias("block")).select(route("block").alias("h"), "block").distinct()
-    names = sorted_names(distinct, ["block"], ["h"], tables)
+    names = sorted_names(distinct, ["h", "block"], ["h"], tables, 1)
     clash = names.groupBy("h").count().where("count > 1").limit(1).count() > 0
     if clash:
-        names = sorted_names(distinct, ["block"], ["h", "block"], tables)
+        names = sorted_names(distinct, ["h", "block"], ["h", "block"], tables, 1)
         rows = tables.keep(cut.withColumn("rid", F.monotonically_increasing_id()))
         spread = rows.select("rid", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "block")).withColumn("h", route("block"))
         level = tables.keep(spread.join(names, ["h", "block"]).select("rid", "pos", "name", "n"))
