@@ -46,6 +46,26 @@ def split_blanks(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+#: Encodings of one byte whose letters and digits are those of their characters; in "raw" only ASCII counts, in all others everything beyond ASCII does.
+_ONE_BYTE = {"latin-1": "ISO-8859-1", "latin-2": "ISO-8859-2"}
+
+
+def word_class(encoding: str, also: str = "") -> str:
+    """The characters of words in an encoding, as a class for regular expressions; ``also`` adds some."""
+    name = encoding.lower()
+    if name in _ONE_BYTE:
+        own = sorted({c for c in bytes(range(128, 256)).decode(_ONE_BYTE[name]) if c.isalnum()})
+        more = "".join(own)
+    else:
+        more = "" if name == "raw" else r"\x{80}-\x{10FFFF}"
+    return "[A-Za-z0-9" + more + re.escape(also) + "]"
+
+
+def split_by_table(text: Column, encoding: str, also: str = "") -> Column:
+    """The runs of an encoding's word characters; everything else parts words. Null for null."""
+    return F.regexp_extract_all(text, F.lit(f"({word_class(encoding, also)}+)"), F.lit(1))
+
+
 def canonicalize(text: Column, upper: bool = False) -> Column:
     """Tokens with one blank between."""
     out = F.array_join(tokenize(text), " ")
@@ -213,6 +233,12 @@ def q_blanks(spark, sf_dir):
     return d.select("doc_id", F.size(split_blanks(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))).cast("int").alias("words"))
 
 
+def q_tables(spark, sf_dir):
+    """How many words each document has after the tables of four encodings."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", *[F.size(split_by_table(F.col("text"), e)).alias(e.replace("-", "")) for e in ("latin-1", "latin-2", "utf-8", "raw")])
+
+
 def q_sentences(spark, sf_dir):
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", F.posexplode(sentences("text")).alias("k", "sentence"))
 
@@ -230,8 +256,9 @@ def q_html(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", html_text("html").alias("text"))
 
 
-QUERIES = {"canonicalize": q_tokens, "split_blanks": q_blanks, "sentence_break": q_sentences, "html_links": q_links, "html_tags": q_tags, "html_text": q_html}
+QUERIES = {"canonicalize": q_tokens, "split_blanks": q_blanks, "delimiter_tables": q_tables, "sentence_break": q_sentences, "html_links": q_links, "html_tags": q_tags, "html_text": q_html}
 SQL = {
+    "delimiter_tables": "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '[A-Za-z0-9{c}]+'))::INT AS {k}" for k, c in (("latin1", "ª²³µ¹º¼½¾À-ÖØ-öø-ÿ"), ("latin2", "ĄŁĽŚŠŞŤŹŽŻąłľśšşťźžżŔÁÂĂÄĹĆÇČÉĘËĚÍÎĎĐŃŇÓÔŐÖŘŮÚŰÜÝŢßŕáâăäĺćçčéęëěíîďđńňóôőöřůúűüýţ"), ("utf8", "\\x{80}-\\x{10FFFF}"), ("raw", ""))) + " FROM documents",
     "split_blanks": r"SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::INT AS words FROM documents",
     "html_links": r"""
 WITH b AS (SELECT page_id, url, regexp_replace(html, '<!--.*?-->', ' ', 'gs') AS t FROM pages),

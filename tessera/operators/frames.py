@@ -205,6 +205,33 @@ def inherit(fillers: DataFrame, slot: str, facet: str = VALUE, mode: str = "dfs"
     return best.join(have, "source").select("frame", "source", "pos", "value")
 
 
+def inherit_by(fillers: DataFrame, slot: str, choose, facet: str = VALUE, frames: DataFrame | None = None) -> DataFrame:
+    """(frame, source, pos, value) as a user's function decides: choose(frame, candidates) gives the number of a candidate, or None for none.
+
+    candidates: dicts of source, depth (0 for the frame itself) and values, all that the frame has or could inherit along INSTANCE-OF and IS-A, nearest first, ties by name.
+    They are gathered for each asked frame from the closure, so a frame's ancestors that fill the slot must fit a task; a frame without candidates isn't asked about.
+    """
+    import pyarrow as pa
+
+    asked = (frames if frames is not None else fillers).select("frame").distinct()
+    up = fillers.where(F.col("slot").isin(ISA, INSTANCE_OF) & (F.col("facet") == VALUE)).select(F.col("frame").alias("child"), F.col("value").alias("parent"))
+    reach = closure(up).select(F.col("child").alias("frame"), F.col("ancestor").alias("source"), "depth").where("frame <> source")
+    reach = reach.unionByName(asked.select("frame", F.col("frame").alias("source"), F.lit(0).alias("depth"))).join(asked, "frame", "left_semi")
+    have = fillers.where((F.col("slot") == slot) & (F.col("facet") == facet)).groupBy(F.col("frame").alias("source")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("values"))
+    gathered = reach.join(have, "source").groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("depth", "source", "values"))).alias("c"))
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for frame, candidates in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                k = choose(frame, candidates)
+                if k is not None:
+                    rows += [(frame, candidates[k]["source"], pos, value) for pos, value in enumerate(candidates[k]["values"])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.string()))], names=["frame", "source", "pos", "value"])
+
+    return gathered.mapInArrow(run, "frame string, source string, pos long, value string")
+
+
 def _jumps(later: DataFrame, holders: DataFrame, kept: DataFrame | None) -> DataFrame:
     """(node, to, steps, endless): where the only link of a node leads past all other nodes with one link that aren't holders or ``kept``.
 

@@ -55,6 +55,35 @@ def set_meta(spans: DataFrame, key: str, value: Column) -> DataFrame:
     return spans.withColumn("meta", F.map_concat(kept, F.create_map(F.lit(key), value)))
 
 
+def clear_meta(spans: DataFrame, key: str | None = None) -> DataFrame:
+    """Spans without a key's metadata, or without any."""
+    return spans.withColumn("meta", F.map_filter("meta", lambda k, v: (k != key) if key is not None else F.lit(False)))
+
+
+def copy_meta(source: DataFrame, target: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``target`` with the metadata (of some keys, or all) of the spans of ``source`` at the same place; what is copied replaces what is there. Several spans at one place
+    give one value of a key, the greatest.
+    """
+    entries = source.select("doc", "start", "end", F.explode("meta").alias("k", "v"))
+    entries = entries if keys is None else entries.where(F.col("k").isin(keys))
+    found = entries.groupBy("doc", "start", "end", "k").agg(F.max("v").alias("v")).groupBy("doc", "start", "end").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_more"))
+    met = target.join(found, ["doc", "start", "end"], "left")
+    kept = F.map_filter("meta", lambda k, v: ~F.array_contains(F.map_keys("_more"), k))
+    return met.withColumn("meta", F.when(F.col("_more").isNull(), F.col("meta")).otherwise(F.map_concat(kept, "_more"))).select(*target.columns)
+
+
+def text_of(spans: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ranges(doc, first, last) with ``text``, the words of the spans that lie in or reach into the range, in order, and ``words``, their number; ranges that none reaches have an empty text.
+
+    Spans are those of words; longer ones beside them would repeat what they cover.
+    """
+    wanted = ranges.select("doc", "first", "last").distinct()
+    met = spans.join(wanted, "doc").where((F.col("start") <= F.col("last")) & (F.col("end") >= F.col("first")))
+    found = met.groupBy("doc", "first", "last").agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("_s"))
+    on = ["doc", "first", "last"]
+    return ranges.join(found, on, "left").select(*ranges.columns, F.coalesce(F.array_join(F.transform("_s", lambda s: s["text"]), " "), F.lit("")).alias("text"), F.coalesce(F.size("_s"), F.lit(0)).alias("words"))
+
+
 def compatible(a: DataFrame, b: DataFrame) -> DataFrame:
     """Documents whose lattices cover the same characters."""
     end = lambda df, n: df.groupBy("doc").agg(F.max("end").alias(n))
@@ -80,9 +109,17 @@ def q_merge(spark, sf_dir):
     return merge_adjacent(s, s, "add").select("doc", "start", "end", "score", "text")
 
 
+def q_texts(spark, sf_dir):
+    """What each document says from its tenth character to its sixtieth, and around its hundredth."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ranges = docs.select(F.col("doc_id").alias("doc"), F.explode(F.array(F.struct(F.lit(9).alias("first"), F.lit(59).alias("last")), F.struct(F.lit(99).alias("first"), F.lit(99).alias("last")))).alias("r")).select("doc", "r.*")
+    return text_of(_spans(spark, sf_dir), ranges)
+
+
 _B = r"WITH w AS (SELECT doc_id AS doc, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents), p AS (SELECT doc, unnest(w) AS text, generate_subscripts(w, 1) AS k FROM w), s AS (SELECT doc, k, text, (sum(length(text)) OVER (PARTITION BY doc ORDER BY k) - length(text))::INT AS start FROM p)"
-QUERIES = {"span_build": q_build, "span_combine": q_combine, "span_merge": q_merge}
+QUERIES = {"span_build": q_build, "span_combine": q_combine, "span_merge": q_merge, "span_texts": q_texts}
 SQL = {
+    "span_texts": f"{_B}, r AS (SELECT doc_id AS doc, unnest([9, 99]) AS first, unnest([59, 99]) AS last FROM documents) SELECT r.doc, first, last, coalesce(string_agg(s.text, ' ' ORDER BY s.start), '') AS text, count(s.text)::INT AS words FROM r LEFT JOIN s ON s.doc = r.doc AND s.start <= last AND s.start + length(s.text) - 1 >= first GROUP BY r.doc, first, last",
     "span_build": f"{_B} SELECT doc, start, (start + length(text) - 1)::INT AS end, text FROM s",
     "span_combine": f"{_B} SELECT doc, text, count(*)::DOUBLE AS score, 1.0::DOUBLE AS weight FROM s GROUP BY ALL",
     "span_merge": f"{_B} SELECT a.doc, a.start, (b.start + length(b.text) - 1)::INT AS end, 2.0::DOUBLE AS score, a.text || ' ' || b.text AS text FROM s a JOIN s b ON a.doc = b.doc AND b.k = a.k + 1",

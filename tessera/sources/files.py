@@ -19,6 +19,13 @@ def lines(spark: SparkSession, path: str, glob: str | None = None, delimiter: st
     return reader.text(path, **({"lineSep": delimiter} if delimiter else {}))
 
 
+def canonical_lines(spark: SparkSession, path: str, glob: str | None = None, delimiter: str | None = None, upper: bool = False) -> DataFrame:
+    """(value): the lines of ``lines`` in canonical form, tokens with one blank between; empty ones stay empty."""
+    from ..functions.text import canonicalize
+
+    return lines(spark, path, glob, delimiter).select(canonicalize(F.col("value"), upper).alias("value"))
+
+
 def byte_range(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
     """The lines that begin in [start, end) of each file: a line that begins before ``start`` belongs to an earlier range.
 

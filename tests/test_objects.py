@@ -144,3 +144,41 @@ def test_feature_maps_keep_their_indices(spark):
     assert sorted(map(tuple, features.feature_names(v, second).collect())) == [(1, "a", 3.0), (3, "c", 4.0)]
     met = v.alias("x").crossJoin(v.alias("y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), features.dot(F.col("x.vector"), features.scaled(F.col("y.vector"), 2.0)).alias("d"))
     assert {(r.a, r.b): r.d for r in met.collect() if r.d} == {(1, 1): 18.0, (3, 3): 32.0}
+
+
+# Smaller additions
+
+def test_span_metadata_and_texts(spark):
+    from tessera.operators import spans
+
+    words = build(spark.createDataFrame([(1, "one two three"), (2, "")], "id long, t string"), "id", "t")
+    marked = spans.set_meta(spans.set_meta(words, "a", F.col("text")), "b", F.lit("x"))
+    copied = spans.copy_meta(marked, spans.set_meta(words, "a", F.lit("old")), ["a"])
+    assert {r.text: r.meta for r in copied.collect()} == {w: {"a": w} for w in ("one", "two", "three")}
+    assert all(r.meta == {"b": "x"} for r in spans.clear_meta(marked, "a").collect()) and all(r.meta == {} for r in spans.clear_meta(marked).collect())
+    ranges = spark.createDataFrame([(1, 2, 3), (1, 50, 60), (2, 0, 9), (1, 2, 3)], "doc long, first int, last int")
+    assert sorted((r.doc, r.first, r.text, r.words) for r in spans.text_of(words, ranges).collect()) == [(1, 2, "one two", 2), (1, 2, "one two", 2), (1, 50, "", 0), (2, 0, "", 0)]
+
+
+def test_inheritance_by_a_function(spark):
+    from tessera.operators import frames
+    from tessera.plans.session import ensure_checkpoints
+
+    ensure_checkpoints(spark)
+    rows = [("A", "IS-A", "B"), ("B", "IS-A", "C"), ("C", "IS-A", "A"), ("B", "N", "b"), ("C", "N", "c"), ("D", "INSTANCE-OF", "A")]
+    f = spark.createDataFrame([(x, s, "VALUE", 0, v) for x, s, v in rows] + [("C", "N", "VALUE", 1, "c2")], frames.FILLERS)
+    far = frames.inherit_by(f, "N", lambda frame, c: None if frame == "B" else len(c) - 1)
+    assert sorted((r.frame, r.source, r.value) for r in far.collect()) == [("A", "C", "c"), ("A", "C", "c2"), ("C", "B", "b"), ("D", "C", "c"), ("D", "C", "c2")]
+    near = frames.inherit_by(f, "N", lambda frame, c: 0, frames=spark.createDataFrame([("D",)], "frame string"))
+    assert [(r.frame, r.source, r.pos, r.value) for r in near.collect()] == [("D", "B", 0, "b")]
+
+
+def test_canonical_lines_and_tables(spark, tmp_path):
+    from tessera.functions import text
+    from tessera.sources import files
+
+    (tmp_path / "l.txt").write_text("Don't stop,now\n\n  a  b ")
+    assert [r.value for r in files.canonical_lines(spark, str(tmp_path / "l.txt"), upper=True).collect()] == ["DON'T STOP , NOW", "", "A B"]
+    df = spark.createDataFrame([("né-ł_x½",)], "t string")
+    cut = lambda e, *more: df.select(text.split_by_table(F.col("t"), e, *more).alias("w")).first().w
+    assert cut("latin-1") == ["né", "x½"] and cut("latin-2") == ["né", "ł", "x"] and cut("utf-8") == ["né", "ł", "x½"] and cut("raw") == ["n", "x"] and cut("raw", "-_") == ["n", "-", "_x"]
