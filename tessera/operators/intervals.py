@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import ensure_checkpoints
 from .ngrams import _W, merge_ranges, ngram_counts, ngrams, phrase_locations, positions, word_arrays
 
 #: Length of the bins of the lowest level, as a power of two.
@@ -31,7 +32,9 @@ def containing(points: DataFrame, ranges: DataFrame, key: str, at: str = "at", h
     ``how`` is inner, left (points in no range have nulls), left_semi (the points that are covered) or left_anti. Null keys and positions are in no range; ranges that
     end before they start hold nothing; repeated points and ranges each count.
     """
-    sized = ranges.where((F.col("end") >= F.col("start")) & F.col(key).isNotNull()).withColumn("_level", _level(F.col("end") - F.col("start") + 1))
+    ensure_checkpoints(ranges.sparkSession)
+    # Read for the levels and for the join.
+    sized = ranges.where((F.col("end") >= F.col("start")) & F.col(key).isNotNull()).withColumn("_level", _level(F.col("end") - F.col("start") + 1)).checkpoint()
     # A range is no longer than a bin, so it lies in two.
     bin_of = lambda bound: F.expr(f"shiftright(cast(`{bound}` AS bigint), _level)")
     filed = sized.select(F.col(key).alias("_key"), "start", "end", "_level", F.explode(F.array_distinct(F.array(bin_of("start"), bin_of("end")))).alias("_in_bin"))

@@ -1,7 +1,7 @@
 """Clusters that are represented by their members, not by a centroid, and assignment under constraints.
 
 How like a vector is to a cluster follows from how like it is to all members: the nearest, the furthest, their average or root mean square.
-Vectors and members are dealt into blocks, and each pair of blocks is one key of an equi-join whose pairs are aggregated by vector and cluster where they are
+Vectors and members are dealt into blocks, and each pair of blocks is one key: of a matrix product for the cosine, of an equi-join for other measures; its pairs are aggregated by vector and cluster where they are
 made; so a task holds two blocks, nothing is broadcast, and a cluster may have any number of members. The work is vectors times members by definition.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.similarity import dense_similarity
 from ..plans.config import ClusterParameters
@@ -24,6 +25,40 @@ def _dealt(df: DataFrame, own: str, other: str, id_col: str, own_blocks: int, ot
     return df.withColumn(own, F.pmod(F.xxhash64(id_col), F.lit(own_blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
 
 
+def _cosines(left, right):
+    """(id, cluster, most, least, total, squares, n): a block of vectors against one of members, by cluster."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def units(column):
+        kept = pc.fill_null(column.combine_chunks(), [])
+        kept = kept if isinstance(kept, pa.Array) else kept.chunk(0)
+        x = np.array(kept.to_pylist(), dtype=object)
+        width = max(map(len, x), default=0)
+        rows = np.array([v if len(v) == width else [0.0] * width for v in x], float).reshape(len(x), width)
+        return rows / np.maximum(np.sqrt((rows**2).sum(1, keepdims=True)), 1e-300), column.is_null().to_numpy()
+
+    names = right["cluster"].combine_chunks().dictionary_encode()
+    names = names if isinstance(names, pa.Array) else names.chunk(0)
+    codes = names.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(codes[order]) != 0]))[: len(codes)]
+    (x, gone), (y, lost) = units(left["x"]), units(right["y"])
+    if not len(x) or not len(y):
+        rows = np.empty((0, 0))
+        ids, clusters, out, n = left["id"].slice(0, 0), names.dictionary.slice(0, 0), [rows.ravel()] * 4, np.empty(0, np.int64)
+    else:
+        s = x @ y[order].T
+        s[gone] = -1.0
+        s[:, lost[order]] = -1.0
+        out = [f.reduceat(v, first, axis=1).ravel() for f, v in ((np.maximum, s), (np.minimum, s), (np.add, s), (np.add, s * s))]
+        n = np.tile(np.diff(np.append(first, len(codes))), len(x)).astype(np.int64)
+        ids = left["id"].take(pa.array(np.repeat(np.arange(len(x)), len(first))))
+        clusters = names.dictionary.take(pa.array(np.tile(codes[order][first], len(x))))
+    return pa.table([ids, clusters, *map(pa.array, out), pa.array(n)], names=["id", "cluster", "most", "least", "total", "squares", "n"])
+
+
 def cluster_similarity(vectors: DataFrame, members: DataFrame, rep: str, measure: str = "cosine", block: int = BLOCK) -> DataFrame:
     """(id, cluster, similarity) of vectors(id, v) to each cluster of members(member, cluster, v).
 
@@ -35,6 +70,12 @@ def cluster_similarity(vectors: DataFrame, members: DataFrame, rep: str, measure
     rows, columns = max(-(-n // block), min(cores, n), 1), max(-(-m // block), 1)
     left = _dealt(vectors.select("id", F.col("v").cast("array<double>").alias("x")), "_i", "_j", "id", rows, columns)
     right = _dealt(some, "_j", "_i", "member", columns, rows)
+    if measure == "cosine":
+        form = T.StructType([left.schema["id"], T.StructField("cluster", right.schema["cluster"].dataType), *(T.StructField(c, T.DoubleType()) for c in ("most", "least", "total", "squares")), T.StructField("n", T.LongType())])
+        parts = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(_cosines, form)
+        sums = parts.groupBy("id", "cluster").agg(F.max("most").alias("most"), F.min("least").alias("least"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.sum("n").alias("n"))
+        how = {"nearest": F.greatest("most", F.lit(0.0)), "furthest": F.least("least", F.lit(1.0)), "average": F.col("total") / F.col("n"), "rms": F.sqrt(F.col("squares") / F.col("n"))}[rep]
+        return sums.select("id", "cluster", how.alias("similarity"))
     met = left.hint("shuffle_hash").join(right, ["_i", "_j"]).select("id", "cluster", "x", "y")
     return representative_similarity(dense_similarity(met, measure, "x", "y"), rep, ["id", "cluster"])
 
