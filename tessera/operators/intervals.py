@@ -15,15 +15,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.session import ensure_checkpoints
-from .ngrams import _W, merge_ranges, ngram_counts, ngrams, phrase_locations, positions, word_arrays
+from .ngrams import _W, frequent_places, merge_ranges, phrase_locations, positions, word_arrays
 
 #: Length of the bins of the lowest level, as a power of two.
 LOWEST = 3
+#: Levels lie so many powers of two apart: a position asks fewer bins, and a bin holds ranges of 8 times different lengths at most.
+APART = 3
 
 
 def _level(length: Column) -> Column:
-    """The least level at or above ``LOWEST`` whose bins, of 2 ** level positions, are as long as a range."""
-    return F.greatest(F.lit(LOWEST), F.length(F.bin(F.greatest(length - 1, F.lit(0))))).cast("int")
+    """The least level (``LOWEST`` and every ``APART``-th above it) whose bins, of 2 ** level positions, are as long as a range."""
+    return (LOWEST + APART * F.ceil((F.greatest(F.lit(LOWEST), F.length(F.bin(F.greatest(length - 1, F.lit(0))))) - LOWEST) / APART)).cast("int")
 
 
 def containing(points: DataFrame, ranges: DataFrame, key: str, at: str = "at", how: str = "inner") -> DataFrame:
@@ -32,27 +34,26 @@ def containing(points: DataFrame, ranges: DataFrame, key: str, at: str = "at", h
     ``how`` is inner, left (points in no range have nulls), left_semi (the points that are covered) or left_anti. Null keys and positions are in no range; ranges that
     end before they start hold nothing; repeated points and ranges each count.
     """
+    if how != "inner":
+        # Of the levels asked, those that don't answer aren't rows of their own: points are told apart by all their columns.
+        held = containing(points.distinct().where(F.col(at).isNotNull()), ranges, key, at)
+        same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in points.columns]
+        if how in ("left_semi", "left_anti"):
+            return points.join(held, same(points, held), how)
+        right = held.select(*[F.col(c).alias(f"_{c}") for c in points.columns], "start", "end")
+        on = [points[c].eqNullSafe(right[f"_{c}"]) for c in points.columns]
+        return points.join(right, on, "left").select(*[points[c] for c in points.columns], "start", "end")
     ensure_checkpoints(ranges.sparkSession)
     # Read for the levels and for the join.
     sized = ranges.where((F.col("end") >= F.col("start")) & F.col(key).isNotNull()).withColumn("_level", _level(F.col("end") - F.col("start") + 1)).checkpoint()
     # A range is no longer than a bin, so it lies in two.
     bin_of = lambda bound: F.expr(f"shiftright(cast(`{bound}` AS bigint), _level)")
     filed = sized.select(F.col(key).alias("_key"), "start", "end", "_level", F.explode(F.array_distinct(F.array(bin_of("start"), bin_of("end")))).alias("_in_bin"))
-    # At most 64 levels occur, whatever the ranges are.
+    # At most 22 levels occur, whatever the ranges are.
     levels = sorted(r[0] for r in sized.select("_level").distinct().collect())
     asked = points.withColumn("_at", F.explode_outer(F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(F.col(at).cast("long"), n).alias("bin")) for n in levels]) if levels else F.lit(None).cast("array<struct<level:int,bin:bigint>>")))
     match = (F.col(key) == F.col("_key")) & (F.col("_at.level") == F.col("_level")) & (F.col("_at.bin") == F.col("_in_bin")) & F.col(at).between(F.col("start"), F.col("end"))
-    if how == "inner":
-        return asked.join(filed, match).select(*points.columns, "start", "end")
-    # Of the levels asked, those that don't answer aren't rows of their own: points are told apart by all their columns and counted.
-    named = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("_times"))
-    held = containing(named.select(*points.columns).where(F.col(at).isNotNull()), ranges, key, at)
-    same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in points.columns]
-    if how in ("left_semi", "left_anti"):
-        return points.join(held, same(points, held), how)
-    right = held.select(*[F.col(c).alias(f"_{c}") for c in points.columns], "start", "end")
-    on = [points[c].eqNullSafe(right[f"_{c}"]) for c in points.columns]
-    return points.join(right, on, "left").select(*[points[c] for c in points.columns], "start", "end")
+    return asked.join(filed, match).select(*points.columns, "start", "end")
 
 
 def preceding(points: DataFrame, ranges: DataFrame, key: str, at: str = "at", bits: int = 10) -> DataFrame:
@@ -60,13 +61,15 @@ def preceding(points: DataFrame, ranges: DataFrame, key: str, at: str = "at", bi
 
     Of ranges that start together the longest counts. Bins have 2 ** bits positions. Null keys and positions have no such range.
     """
+    ensure_checkpoints(ranges.sparkSession)
     known = F.col(key).isNotNull() & F.col(at).isNotNull()
     unknown = points.where(~known).select(*points.columns, F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
     points = points.where(known)
     point = F.struct(*[F.col(c) for c in points.columns])
     bin_of = lambda c: F.shiftright(F.col(c).cast("long"), bits)
     marks = ranges.where(F.col(key).isNotNull() & F.col("start").isNotNull()).groupBy(F.col(key).alias("_key"), F.col("start").cast("long").alias("_start")).agg(F.max(F.col("end").cast("long")).alias("_end"))
-    marks = marks.withColumn("_bin", bin_of("_start")).withColumn("_range", F.struct("_start", "_end"))
+    # Read for the bins' maxima and beside the positions.
+    marks = marks.withColumn("_bin", bin_of("_start")).withColumn("_range", F.struct("_start", "_end")).checkpoint()
     # The last range of each bin that has one, and the bin in which the next one stands: bins between them take it over.
     lasts = marks.groupBy("_key", "_bin").agg(F.max("_range").alias("_last"))
     along = Window.partitionBy("_key").orderBy("_bin")
@@ -75,7 +78,7 @@ def preceding(points: DataFrame, ranges: DataFrame, key: str, at: str = "at", bi
     both = points.select(F.col(key).alias("_key"), F.col(at).cast("long").alias("_start"), bin_of(at).alias("_bin"), F.lit(None).cast("struct<_start:bigint,_end:bigint>").alias("_range"), point.alias("_point"))
     both = both.unionByName(marks.select("_key", "_start", "_bin", "_range", F.lit(None).cast(both.schema["_point"].dataType).alias("_point")))
     inside = Window.partitionBy("_key", "_bin").orderBy("_start").rangeBetween(Window.unboundedPreceding, -1)
-    own = both.withColumn("_found", F.max("_range").over(inside)).where(F.col("_point").isNotNull())
+    own = both.withColumn("_found", F.max("_range").over(inside)).where(F.col("_point").isNotNull()).checkpoint()
     near = own.where(F.col("_found").isNotNull()).select("_point.*", F.col("_found._start").alias("start"), F.col("_found._end").alias("end"))
     far = own.where(F.col("_found").isNull()).select("_point.*", "_bin")
     reach = lasts.select(F.col("_key").alias(key), F.col("_of.from").alias("start"), F.col("_of.to").alias("end"), "_last")
@@ -95,11 +98,8 @@ def insert_ranges(ranges: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def _repeated(spark, sf_dir):
     """Stretches of documents covered by trigrams that occur four times, merged."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL")
-    arrays = word_arrays(docs, keep=["doc_id"])
-    common = ngram_counts(arrays, 3, least=4).select(F.array("w1", "w2", "w3").alias("g"))
-    at = arrays.select(F.col("doc_id").alias("rec"), F.posexplode(ngrams(F.col("words"), 3)).alias("start", "g")).join(common, "g")
-    return merge_ranges(at.select("rec", "start", (F.col("start") + 2).alias("end")), "rec")
+    arrays = word_arrays(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"]).withColumnRenamed("doc_id", "rec")
+    return merge_ranges(frequent_places(arrays, "rec", 3, 4).withColumn("end", F.col("start") + 2), "rec")
 
 
 def _places(spark, sf_dir):

@@ -13,6 +13,8 @@ from ..plans.session import bounded, spread
 
 #: Factor of the stupid back-off for each order given up.
 ALPHA = 0.4
+#: Bits, as a power of two, of the table by which places of rare n-grams are left out before a shuffle; it goes to all tasks, 64 in a row.
+TABLE_BITS = 26
 #: Mass kept for unseen words in the queries below.
 DISCOUNT = 0.1
 #: A word and the pair after it that the query of restricted matches looks for.
@@ -129,6 +131,25 @@ def merge_ranges(ranges: DataFrame, key: str) -> DataFrame:
     return marked.groupBy(key, "_group").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_group")
 
 
+def frequent_places(arrays: DataFrame, key: str, n: int, least: int) -> DataFrame:
+    """(key, start) of every n-gram of arrays(key, words) that occurs at least ``least`` times in all.
+
+    N-grams meet as numbers of 96 bits (two hashes), so no strings are shuffled: a billion different ones have two alike with chance below 1e-11.
+    """
+    last = F.size("words") - n + 1
+    of = lambda i: [F.element_at("words", i + k) for k in range(n)]
+    coded = F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(F.xxhash64(*of(i)).alias("a"), F.hash(*of(i)).alias("b"))))
+    at = arrays.select(key, F.posexplode(coded).alias("start", "_g")).select(key, "start", F.col("_g.a").alias("_a"), F.col("_g.b").alias("_b"))
+    # First by 40 bits, which are the least to shuffle: what shares them less often is out, and places that share no bit with the rest never leave their task.
+    slots = at.groupBy((F.col("_a").bitwiseAND((1 << 40) - 1)).alias("_slot")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    bit = lambda c: F.expr(f"shiftleft(1L, cast({c} & 63 AS int))")
+    row = lambda c: F.shiftright(F.col(c), 6).bitwiseAND((1 << TABLE_BITS - 6) - 1)
+    table = slots.groupBy(row("_slot").alias("_row")).agg(F.bit_or(bit("_slot")).alias("_bits"))
+    at = at.withColumn("_row", row("_a")).join(F.broadcast(table), "_row").where(F.col("_bits").bitwiseAND(bit("_a")) != 0).select(key, "start", "_a", "_b")
+    common = at.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("_a", "_b")
+    return at.join(common.hint("shuffle_hash"), ["_a", "_b"]).select(key, "start")
+
+
 def smoothed(ps: list[Column], mode: str, discount: float, alpha: float = ALPHA) -> Column:
     """The probability from raw ones of order 1..n (nulls are 0)."""
     ratio = F.lit(1.0 + discount)
@@ -271,11 +292,8 @@ def q_delta(spark, sf_dir):
 
 def q_ranges(spark, sf_dir):
     """Stretches of documents covered by their repeated trigrams, merged."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL")
-    arrays = word_arrays(docs, keep=["doc_id"])
-    common = ngram_counts(arrays, 3, least=20).select(F.array("w1", "w2", "w3").alias("g"))
-    at = arrays.select("doc_id", F.posexplode(ngrams(F.col("words"), 3)).alias("start", "g")).join(common, "g")
-    return merge_ranges(at.select("doc_id", "start", (F.col("start") + 2).alias("end")), "doc_id")
+    arrays = word_arrays(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
+    return merge_ranges(frequent_places(arrays, "doc_id", 3, 20).withColumn("end", F.col("start") + 2), "doc_id")
 
 
 _W = r"d AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents), q AS (SELECT regexp_extract_all(lower(text), '\p{L}+') AS w FROM benchmark)"

@@ -2,16 +2,18 @@
 
 import bisect
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import estimates, intervals, member_clusters, suffixes, word_index
+from tessera.operators import estimates, intervals, member_clusters, ngrams, suffixes, word_index
 from tessera.sources import files
 from tessera.sources.manifest import Conflict, Manifest
 from tessera.sources.transactions import FrameStore
 from tessera.streaming import clusters
+from tests.helpers import duck, rows_of
 
 
 def words_of(spark, texts):
@@ -125,6 +127,27 @@ def test_containing_ranges(pieces):
     assert intervals.containing(p, r.limit(0), "rec").count() == 0 and intervals.containing(p, r.limit(0), "rec", how="left_anti").count() == len(points)
 
 
+def test_places_of_frequent_ngrams(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30))) for _ in range(20)]
+    arrays = words_of(spark, texts)
+    grams = [(k, i, tuple(t.split()[i : i + 3])) for k, t in enumerate(texts) for i in range(len(t.split()) - 2)]
+    often = Counter(g for _, _, g in grams)
+    found = ngrams.frequent_places(arrays, "rec", 3, 5)
+    assert sorted((r.rec, r.start) for r in found.collect()) == sorted((k, i) for k, i, g in grams if often[g] >= 5)
+    # What is dealt out and joined is numbers.
+    assert not any("array" in line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line)
+
+
+@pytest.mark.parametrize("name", ["range_containing", "range_covered", "range_preceding", "location_ranges"])
+def test_ranges_with_documents_without_an_id(spark, sf_dir, tmp_path, name):
+    spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.expr("CASE WHEN doc_id <> 3 AND doc_id % 7 <> 3 THEN doc_id END")).where("doc_id IS NOT NULL OR n_chars > 200").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    place = f"{tmp_path}/documents.parquet/*.parquet"
+    module = ngrams if name == "location_ranges" else intervals
+    columns, want = duck(sf_dir, module.SQL[name], {"documents": place})
+    assert rows_of(columns, module.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()) == want
+
+
 @pytest.mark.parametrize("bits", [2, 6, 20])
 def test_preceding_ranges(pieces, bits):
     points, ranges, p, r = pieces
