@@ -177,6 +177,11 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataF
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def base64_line(text: Column) -> Column:
+    """A text's UTF-8 in base64, in one line however long it is."""
+    return F.replace(F.base64(F.encode(text, "UTF-8")), F.lit("\r\n"), F.lit(""))
+
+
 def _orders(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet")
 
@@ -194,7 +199,7 @@ def q_bit_count(spark, sf_dir):
 def q_urls(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     part = lambda k: F.expr(f"try_parse_url(url, '{k}')").alias(k.lower())
-    return p.select("page_id", url_encode(F.concat("url", F.lit(" ~%\\"))).alias("encoded"), url_decode(url_encode(F.concat("url", F.lit(" +~%\\")))).alias("decoded"), F.md5("url").alias("md5"), F.base64(F.encode("url", "UTF-8")).alias("b64"), part("HOST"), part("PROTOCOL"), part("QUERY"))
+    return p.select("page_id", url_encode(F.concat("url", F.lit(" ~%\\"))).alias("encoded"), url_decode(url_encode(F.concat("url", F.lit(" +~%\\")))).alias("decoded"), F.md5("url").alias("md5"), base64_line(F.col("url")).alias("b64"), part("HOST"), part("PROTOCOL"), part("QUERY"))
 
 
 def q_patterns(spark, sf_dir):

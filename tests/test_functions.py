@@ -1,5 +1,6 @@
 """Hand fixtures and properties of the functions."""
 
+import base64
 import math
 
 import pytest
@@ -304,3 +305,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "more").write_text("names = x y\n")
     s = Settings({"size": "integer", "names": "list"}).load(str(tmp_path / "conf"))
     assert s.get("size", "a") == 12 and s.get("names", "a") == ["x", "y"] and len(s.describe()) == 3
+
+
+def test_base64_of_long_texts_is_one_line(spark):
+    texts = ["", "a" * 57, "a" * 58, "\u00e9" * 200]
+    got = {r.t: r.b for r in spark.createDataFrame([(x,) for x in texts], "t string").select("t", scalars.base64_line(F.col("t")).alias("b")).collect()}
+    assert got == {x: base64.b64encode(x.encode()).decode() for x in texts}
