@@ -1,4 +1,4 @@
-"""Functions of a user's own over n-grams and spans, as table functions: their columns are chosen when a query is analysed.
+"""Functions of a user's own over n-grams, as table functions whose columns are chosen when a query is analysed, and over spans, in Arrow batches.
 
 A function visits the n-grams of a record one after the other, gives rows for them and may stop early; or it sees spans in order, document by document, and lets them go, changes them or
 puts others in their place. Both run where the data is, in the tasks of a query; between calls nothing is held but what the function itself keeps for a record or document.
@@ -7,8 +7,9 @@ puts others in their place. Both run where the data is, in the tasks of a query;
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
@@ -54,27 +55,35 @@ def visit_ngrams(arrays: DataFrame, n: int, columns: str, visit: Callable[[list[
     return arrays.lateralJoin(ngram_function(visit)(F.col("words").outer(), F.lit(n), F.lit(StructType.fromDDL(columns).json()))).drop("words")
 
 
-def span_function(rewrite: Callable[[dict], Iterable[dict] | dict | bool | None]):
-    """A table function of spans for ``rewrite``(span): it gives True (the span stays), None or False (it goes), another span, or several. The columns are those of the table."""
+def rewrite_spans(spans: DataFrame, rewrite: Callable[[dict], Iterable[dict] | dict | bool | None]) -> DataFrame:
+    """``spans`` after ``rewrite``(span) has seen each of them, in order of document, start and longest first: it gives True (the span stays), None or False (it goes), another span, or several.
 
-    class Rewrite:
-        @staticmethod
-        def analyze(spans: AnalyzeArgument) -> AnalyzeResult:
-            return AnalyzeResult(spans.dataType)
+    Spans go to Python in Arrow batches and come back as columns.
+    """
+    ship(spans.sparkSession)
+    names = spans.columns
 
-        def eval(self, spans):
-            span = spans.asDict(recursive=True)
-            given = rewrite(span)
-            for out in [span] if given is True else [] if not given else [given] if isinstance(given, dict) else given:
-                yield tuple(out[c] for c in span)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[] for _ in names]
+            for values in zip(*(_plain(c) for c in b.columns)):
+                given = rewrite(dict(zip(names, values)))
+                for span in [values] if given is True else () if not given else [given] if isinstance(given, dict) else given:
+                    for column, value in zip(out, span if span is values else [span[c] for c in names]):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([_column(v, f.type) for v, f in zip(out, b.schema)], schema=b.schema)
 
-    return udtf(Rewrite)
+    return spans.repartition("doc").sortWithinPartitions("doc", "start", F.desc("end"), "text").mapInArrow(run, spans.schema)
 
 
-def rewrite_spans(spans: DataFrame, rewrite: Callable[[dict], Iterable[dict] | dict | bool | None]) -> DataFrame:
-    """``spans`` after ``rewrite`` has seen each of them, in order of document, start and longest first."""
-    ship(spans.sparkSession)
-    return span_function(rewrite)(spans.asTable().partitionBy("doc").orderBy("start", F.desc("end"), "text"))
+def _plain(column: pa.Array) -> list:
+    """Values as a user's function sees them: maps are dicts."""
+    values = column.to_pylist()
+    return [None if v is None else dict(v) for v in values] if pa.types.is_map(column.type) else values
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    return pa.array([None if v is None else list(v.items()) for v in values] if pa.types.is_map(kind) else values, kind)
 
 
 def _alliterates(gram: list[str], state: dict):

@@ -108,6 +108,14 @@ def test_span_rewriters(spark):
     assert got == [(1, 3, "two"), (1, 6, "x"), (1, 6, "y"), (2, 0, "two")]
 
 
+def test_spans_go_to_a_rewriter_in_batches(spark):
+    spans = build(spark.createDataFrame([(k, "ab cde f") for k in range(300)], "id long, t string"), "id", "t").withColumn("meta", F.create_map(F.lit("k"), F.col("text"))).withColumn("inner", F.struct("start", "text"))
+    found = iterators.rewrite_spans(spans, lambda s: s | {"text": s["meta"]["k"] + s["inner"]["text"], "meta": {}} if s["start"] else s["end"] == 1)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.schema.names == spans.columns
+    assert sorted((r.doc, r.start, r.text, r.meta, r.inner.text) for r in found.collect()) == [x for k in range(300) for x in ((k, 0, "ab", {"k": "ab"}, "ab"), (k, 2, "cdecde", {}, "cde"), (k, 5, "ff", {}, "f"))]
+
+
 # Match sets and features
 
 def test_match_lengths(spark):
