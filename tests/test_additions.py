@@ -327,3 +327,32 @@ def test_streams_grow_the_same_clusters(spark, tmp_path, cuts):
         k, s = held.setdefault(key, clusters.Growing(0.5, 5)).add(v)
         want.append((key, i, f"<CL_{k}>", round(s, 9)))
     assert sorted((r.key, r.id, r.cluster, round(r.similarity, 9)) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("rep", ["average", "rms", "nearest", "furthest"])
+def test_best_clusters_by_all_pairs(spark, rep):
+    rng = random.Random(5)
+    vs = [[rng.choice([-1.0, 0.0, 1.0, 2.0]) + rng.random() / 8 for _ in range(4)] for _ in range(60)] + [None, [0.0] * 4]
+    vs += [vs[0], [4 * x for x in vs[1]], [-x for x in vs[2]]]
+    own = [(k, v) for k, v in enumerate(vs)]
+    clusters = {k: "abc"[k % 3] for k in range(0, len(vs), 2)}
+
+    def cosine(x, y):
+        if x is None or y is None:
+            return -1.0
+        scale = np.linalg.norm(x) * np.linalg.norm(y)
+        return float(np.dot(x, y) / scale) if scale else 0.0
+
+    def alike(v, c):
+        s = [cosine(v, vs[m]) for m in clusters if clusters[m] == c]
+        return {"average": np.mean(s), "rms": np.sqrt(np.mean(np.square(s))), "nearest": max(max(s), 0), "furthest": min(min(s), 1)}[rep]
+
+    form = "array<double>"
+    vectors = spark.createDataFrame(own, f"id long, v {form}").repartition(3)
+    members = spark.createDataFrame([(k, c, vs[k]) for k, c in clusters.items()], f"member long, cluster string, v {form}").repartition(3)
+    every = {(r.id, r.cluster): r.similarity for r in member_clusters.cluster_similarity(vectors, members, rep, block=7).collect()}
+    assert every == {(k, c): pytest.approx(alike(v, c), abs=1e-12) for k, v in own for c in "abc"}
+    found = member_clusters.best_clusters(vectors, members, rep)
+    best = {r.id: (r.cluster, r.similarity) for r in found.collect()}
+    want = {k: min((-round(alike(v, c), 12), c) for c in "abc") for k, v in own}
+    assert best == {k: (c, pytest.approx(-s, abs=1e-11)) for k, (s, c) in want.items()}
