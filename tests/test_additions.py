@@ -211,6 +211,30 @@ def test_index_versions(spark, tmp_path):
         word_index.load_index(spark, path, 3)
 
 
+def test_index_of_many_chunks_and_parts(spark, tmp_path, monkeypatch):
+    """Chunks with words of their own, parts that are added up apart, postings of a bucket in several groups."""
+    monkeypatch.setattr(word_index, "PART", 50)
+    monkeypatch.setattr(word_index, "GROUP", 60)
+    rng, path = random.Random(11), f"file://{tmp_path}/index"
+    texts = [" ".join(rng.choice("abcdefgh") + rng.choice("xy") * (k // 100) for _ in range(rng.randrange(9))) for k in range(300)] + [None, "", "12 3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(7)
+    word_index.build_index(docs, path, "id", buckets=3)
+    index = word_index.load_index(spark, path)
+    words = [(t or "").split() if not (t or "").startswith("12") else [] for t in texts]
+    assert (index.header["records"], index.header["tokens"]) == (len(texts), sum(map(len, words)))
+    name = {r.id: r.word for r in index.vocabulary.collect()}
+    assert sorted((r.rec, [name[i] for i in r.ids]) for r in index.records.collect()) == [(k, w) for k, w in enumerate(words) if w]
+    assert sorted((r.rec, r.pos, name[r.id]) for r in index.postings.collect()) == [(k, p, x) for k, w in enumerate(words) for p, x in enumerate(w)]
+    for n in range(1, 6):
+        want = Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1))
+        for least in (1, 2):
+            counted = word_index.count_ids(index, n, least)
+            got = {tuple(name[r[k]] for k in range(n)): r.n for r in counted.collect()}
+            assert got == {g: c for g, c in want.items() if c >= least}
+    # Before, a row for each n-gram went through the shuffle.
+    assert word_index.count_ids(index, 2).where("n > 0")._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInArrow") == 1
+
+
 def test_one_of_two_writers_wins(spark, tmp_path):
     log = Manifest(spark, f"file://{tmp_path}/m")
     assert log.last() == 0 and log.publish({"k": "é"}, 0) == 1
