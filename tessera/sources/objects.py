@@ -6,7 +6,7 @@ array ``#A(...)``, a sparse array ``#SpArr(index value ...)``, a queue ``#Q(...)
 
 Files are read as lines, so Spark splits them where it likes. What stands before a split decides whether its first line begins inside a list, a string or a
 symbol; each split is therefore first read as if it began in each of the three states, the outcomes (one small row for each split) are chained along a file, and a
-second pass, which knows its beginning, marks the lines at which objects begin. Lines of one object are gathered by an aggregation, wherever the splits are.
+second pass, which knows its beginning, joins the lines of each object. Only what a split begins and ends with is gathered by an aggregation, wherever the splits are.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from ..plans.session import ensure_checkpoints, ship
 
+#: Blocks of files whose beginnings are sent to all tasks at most.
+BLOCKS = 200_000
 #: States in which a line can begin: outside of strings and bars, in a string, between bars.
 PLAIN, STRING, BARS = range(3)
 _MARK = re.compile(r'["|;]|[(\[]|[)\]]')
@@ -175,20 +177,53 @@ def show(value) -> str:
     return "".join(out)
 
 
+def _blocks(b: pa.RecordBatch) -> Iterator[tuple[int, int, tuple]]:
+    """(first row, row after the last, (file, block)) of each block of a batch of lines (file, block, ...)."""
+    import numpy as np
+
+    files, blocks = b.column(0).dictionary_encode().indices.to_numpy(), b.column(1).to_numpy()
+    cuts = np.flatnonzero((files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+    for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blocks)]):
+        yield low, high, (b.column(0)[low].as_py(), b.column(1)[low].as_py())
+
+
+def _plain(lines: pa.Array) -> tuple[list, list]:
+    """Of each line, whether it is free of quotes, bars and comments, so that it changes no state, and by how much its brackets then change the depth."""
+    import pyarrow.compute as pc
+
+    count = lambda marks: pc.add(*[pc.count_substring(lines, m) for m in marks])
+    return pc.invert(pc.match_substring_regex(lines, '["|;]')), pc.subtract(count("(["), count(")]"))
+
+
 def _outcomes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines (file, block, k, value), in order, to (file, block, states, depths): how each block ends, by the state in which it begins."""
+    import numpy as np
+
     now, held = None, None
 
     def out():
         return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([now[1]], pa.int64()), pa.array([[s for s, _ in held]], pa.list_(pa.int32())), pa.array([[d for _, d in held]], pa.list_(pa.int64()))], names=["file", "block", "states", "depths"])
 
     for b in batches:
-        for file, block, line in zip(*(b.column(k).to_pylist() for k in (0, 1, 3))):
-            if (file, block) != now:
+        if not b.num_rows:
+            continue
+        plain, change = (x.to_numpy(zero_copy_only=False) for x in _plain(b.column(3)))
+        # Brackets of plain lines up to each line; only the other lines are read one by one.
+        sums, others = np.append(0, np.cumsum(np.where(plain, change, 0))), np.flatnonzero(~plain)
+        for low, high, key in _blocks(b):
+            if key != now:
                 if now:
                     yield out()
-                now, held = (file, block), [(s, 0) for s in range(3)]
-            held = [(after, d + change) for s, d in held for after, change, _ in (scan(line, s),)]
+                now, held = key, [(s, 0) for s in range(3)]
+            at = low
+            for r in [*others[np.searchsorted(others, low) : np.searchsorted(others, high)].tolist(), high]:
+                passed = int(sums[r] - sums[at])
+                held = [(s, d + passed if s == PLAIN else d) for s, d in held]
+                if r < high:
+                    line = b.column(3)[r].as_py()
+                    read = {s: scan(line, s) for s in {s for s, _ in held}}
+                    held = [(read[s][0], d + read[s][1]) for s, d in held]
+                at = r + 1 if r < high else r
     if now:
         yield out()
 
@@ -205,19 +240,45 @@ def _chained(blocks):
 
 
 def _begins(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted lines (file, block, k, value, state, depth) to (file, block, k, value, own): the line of its block where its object begins, null if that is in an earlier block."""
-    now, own = None, None
+    """Lines (file, block, k, value, state, depth), in order, to (file, block, own, value, inner): the objects that begin in each block with the line where they do, and what goes before the first one (own is null).
+
+    ``inner`` are objects after which another one begins in the block: they are whole.
+    """
+    now, own, text, rows = None, None, [], []
+
+    def put(inner):
+        if text:
+            rows.append((*now, own, "\n".join(text), inner))
+
+    def out():
+        kinds = zip((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), ("file", "block", "own", "value", "inner"))
+        return pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows], t) for k, (t, n) in enumerate(kinds)})
+
     for b in batches:
-        found = []
-        for file, block, k, line, state, depth in zip(*(b.column(c).to_pylist() for c in range(6))):
-            if (file, block) != now:
-                now, own, at, deep = (file, block), None, state, depth
-            if at == PLAIN and deep <= 0:
-                own, deep = k, 0
-            found.append(own)
-            at, change, _ = scan(line, at)
-            deep += change
-        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(found, pa.int64())], names=["file", "block", "k", "value", "own"])
+        if not b.num_rows:
+            continue
+        plain, change = (x.to_pylist() for x in _plain(b.column(3)))
+        ks, lines = b.column(2).to_pylist(), b.column(3).to_pylist()
+        for low, high, key in _blocks(b):
+            if key != now:
+                put(False)
+                now, own, text, at, deep = key, None, [], b.column(4)[low].as_py(), b.column(5)[low].as_py()
+            for r in range(low, high):
+                if at == PLAIN and deep <= 0:
+                    put(own is not None)
+                    own, text, deep = ks[r], [], 0
+                text.append(lines[r])
+                if not plain[r]:
+                    at, moved, _ = scan(lines[r], at)
+                    deep += moved
+                elif at == PLAIN:
+                    deep += change[r]
+        if rows:
+            yield out()
+            rows = []
+    put(False)
+    if rows:
+        yield out()
 
 
 def read_objects(spark: SparkSession, path: str, readers: dict[str, Callable] | None = None) -> DataFrame:
@@ -233,14 +294,20 @@ def read_objects(spark: SparkSession, path: str, readers: dict[str, Callable] |
     # A block's lines stand in one partition, in order, as the reader gave them.
     outcomes = lines.mapInArrow(_outcomes, "file string, block long, states array<int>, depths array<long>")
     starts = outcomes.groupBy("file").applyInPandas(_chained, "file string, block long, state int, depth long")
-    sorted_ = lines.join(starts, ["file", "block"]).select("file", "block", "k", "value", "state", "depth").repartition("file", "block").sortWithinPartitions("file", "block", "k")
-    marked = sorted_.mapInArrow(_begins, "file string, block long, k long, value string, own long").checkpoint()
-    # Objects that go on in later blocks: the last beginning before them in the file, along one small row for each block.
-    lasts = marked.groupBy("file", "block").agg(F.max("own").alias("last"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = lasts.select("file", "block", F.last("last", True).over(earlier).alias("carried"))
-    whole = marked.join(carried, ["file", "block"]).select("file", F.coalesce("own", "carried").alias("line"), "k", "value").groupBy("file", "line").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("t"))
-    texts = whole.select("file", "line", F.array_join(F.transform("t", lambda s: s["value"]), "\n").alias("text"))
+    starts = starts.checkpoint()
+    if starts.count() <= BLOCKS:
+        # Each block's lines stay where they are, in order.
+        begun = lines.join(F.broadcast(starts), ["file", "block"])
+    else:
+        begun = lines.join(starts, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "k")
+    marked = begun.select("file", "block", "k", "value", "state", "depth").mapInArrow(_begins, "file string, block long, own long, value string, inner boolean")
+    # Objects that may go on in later blocks, two rows of each block at most: what has no beginning belongs to the last one before it in the file.
+    border = marked.where("NOT inner").select("file", "block", "own", "value").checkpoint()
+    earlier = Window.partitionBy("file").orderBy("block", F.col("own").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = border.withColumn("line", F.last("own", True).over(earlier))
+    joined = placed.groupBy("file", "line").agg(F.array_sort(F.collect_list(F.struct("block", F.coalesce("own", F.lit(-1)).alias("own"), "value"))).alias("t"))
+    whole = joined.select("file", "line", F.array_join(F.transform("t", lambda s: s["value"]), "\n").alias("text"))
+    texts = marked.where("inner").select("file", F.col("own").alias("line"), F.col("value").alias("text")).unionByName(whole)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -190,3 +190,26 @@ def test_canonical_lines_and_tables(spark, tmp_path):
     df = spark.createDataFrame([("né-ł_x½",)], "t string")
     cut = lambda e, *more: df.select(text.split_by_table(F.col("t"), e, *more).alias("w")).first().w
     assert cut("latin-1") == ["né", "x½"] and cut("latin-2") == ["né", "ł", "x"] and cut("utf-8") == ["né", "ł", "x½"] and cut("raw") == ["n", "x"] and cut("raw", "-_") == ["n", "-", "_x"]
+
+
+def test_lines_of_a_block_are_joined_where_they_are(spark):
+    """What begins and ends within a block leaves it as a whole; outcomes equal those of reading line by line from each state."""
+    import pyarrow as pa
+
+    lines = ["b c)", "(x", "y)", "12", '"a ( ;', '(" 7', "; | (", "|p", "(|", "(open", "more"]
+    column = lambda v, t: pa.array([v] * len(lines), t)
+    of = [column("f", pa.string()), column(3, pa.int64()), pa.array(range(len(lines)), pa.int64()), pa.array(lines)]
+    names = ["file", "block", "k", "value", "state", "depth"]
+    batch = pa.RecordBatch.from_arrays([*of, column(objects.PLAIN, pa.int32()), column(1, pa.int64())], names=names)
+    cut = [batch.slice(0, 2), batch.slice(2, 4), batch.slice(6)]
+    found = [r for b in objects._begins(cut) for r in b.to_pylist()]
+    assert [(r["own"], r["value"], r["inner"]) for r in found] == [(None, "b c)", False), (1, "(x\ny)", True), (3, "12", True), (4, '"a ( ;\n(" 7', True), (6, "; | (", True), (7, "|p\n(|", True), (9, "(open\nmore", False)]
+    want = []
+    for state in range(3):
+        depth = 0
+        for line in lines:
+            state, change, _ = objects.scan(line, state)
+            depth += change
+        want.append((state, depth))
+    (row,) = [r for b in objects._outcomes(cut) for r in b.to_pylist()]
+    assert list(zip(row["states"], row["depths"])) == want
