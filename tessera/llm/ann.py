@@ -31,6 +31,8 @@ REPLICAS, FILED = 4, 1.1
 #: The recall within the sample that the reading ratio is fitted to, and the queries of the sample that it is fitted on.
 RECALL, FITTED = 0.95, 300
 LIST_BLOCK = 4000
+#: Found rows that a task holds before it keeps the nearest only, and the parts for each core that lists are dealt to: a query gives k rows at most for each part, however many lists it reads.
+HELD, PARTS = 1 << 18, 4
 NEIGHBOURS, BEAM = 24, 48
 
 
@@ -150,10 +152,25 @@ def _file(graph: CentroidGraph, width: int, ratio: float, most: int | None, kind
     return run
 
 
+def _first(found: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of (query, id, distance) to the k nearest ids of each query; an id found several times counts once, with its least distance."""
+    q, v, d = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((d, v, q))
+    q, v, d = q[order], v[order], d[order]
+    once = np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1]))[: len(q)]
+    q, v, d = q[once], v[once], d[once]
+    order = np.lexsort((v, d, q))
+    q, v, d = q[order], v[order], d[order]
+    begin = group_bounds([q])
+    near = np.arange(len(q)) - np.repeat(begin[:-1], np.diff(begin)) < k
+    return q[near], v[near], d[near]
+
+
 def _best(width: int, k: int):
-    """Sorted (list, block, kind, id, vector), queries before entries, to (query_id, vec_id, score): each block's best k of each of its queries."""
+    """Sorted (list, block, kind, id, vector), queries before entries, to (query_id, vec_id, score): the best k of each query among all blocks of the task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, most = [], HELD
         for t in key_groups(batches, 2):
             bounds = group_bounds([t.column(0).to_numpy(), t.column(1).to_numpy()])
             kinds, ids = t.column(2).to_numpy(), t.column(3).to_numpy()
@@ -189,8 +206,16 @@ def _best(width: int, k: int):
                         q_out.append(np.full(len(first), ids[at + r]))
                         v_out.append(names[near[first]])
                         s_out.append(exact[first])
-            join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(join(q_out, np.int64), pa.int64()), pa.array(join(v_out, np.int64), pa.int64()), pa.array(join(s_out, np.float64), pa.float64())], names=["query_id", "vec_id", "score"])
+            if q_out:
+                held.append(tuple(map(np.concatenate, (q_out, v_out, s_out))))
+            if sum(len(h[0]) for h in held) > most:
+                held = [_first(held, k)]
+                # What is kept is bounded by the queries; past that bound the limit moves, so that each cut halves what is held.
+                most = max(HELD, 2 * len(held[0][0]))
+        if held:
+            q, v, d = _first(held, k)
+            for at in range(0, len(q), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (q, v, d)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -256,7 +281,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     many = F.lit(1) if not blocks else F.coalesce(F.get(F.array(*[F.lit(blocks.get(i, 1)) for i in range(len(graph.centroids))]), F.col("list")), F.lit(1))
     entries = filed.withColumn("block", F.pmod(F.xxhash64("id"), many).cast("int"))
     asking = asked.mapInArrow(_file(graph, width, ratio, None, 0, least), entry).withColumn("block", F.explode(F.sequence(F.lit(0), many.cast("int") - 1)))
-    dealt = entries.unionByName(asking).select("list", "block", "kind", "id", "vector").repartition("list", "block").sortWithinPartitions("list", "block", "kind", "id")
+    dealt = entries.unionByName(asking).select("list", "block", "kind", "id", "vector").repartition(PARTS * spark.sparkContext.defaultParallelism, "list", "block").sortWithinPartitions("list", "block", "kind", "id")
     found = dealt.mapInArrow(_best(width, k), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

@@ -172,3 +172,26 @@ def test_scores_against_edit_distances(spark, sf_dir):
     for r in got:
         assert r.score == pytest.approx(score(texts[r.doc_id]), abs=1e-9)
         assert r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_a_task_gives_the_nearest_of_each_query_once(monkeypatch):
+    """However many lists a query reads in a task, k rows of it leave the task, and they are those of brute force."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import ann
+
+    monkeypatch.setattr(ann, "HELD", 40)
+    rng, k = np.random.default_rng(3), 3
+    vectors = rng.integers(-3, 4, (120, 4)).astype(float)
+    rows = []
+    for at in range(12):
+        rows += [(at, 0, 0, q, vectors[q].tolist()) for q in range(0, 120, 20)]
+        rows += [(at, 0, 1, i, vectors[i].tolist()) for i in range(120) if i % 12 == at or (i + 1) % 12 == at]
+    batch = pa.RecordBatch.from_pydict({"list": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([0] * len(rows), pa.int32()), "kind": pa.array([r[2] for r in rows], pa.int32()), "id": pa.array([r[3] for r in rows], pa.int64()), "vector": pa.array([r[4] for r in rows])})
+    got = [tuple(r.values()) for b in ann._best(4, k)([batch.slice(0, 100), batch.slice(100)]) for r in b.to_pylist()]
+    want = []
+    for q in range(0, 120, 20):
+        d = np.sqrt(((vectors - vectors[q]) ** 2).sum(1))
+        want += [(q, i, d[i]) for i in sorted((i for i in range(120) if i != q), key=lambda i: (d[i], i))[:k]]
+    assert sorted(got) == sorted(want)
