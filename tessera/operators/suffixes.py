@@ -49,14 +49,18 @@ def suffix_ranks(tok: DataFrame) -> DataFrame:
         classes, h = found, 2 * h
 
 
-def phrase_ranges(arrays: DataFrame, ranks: DataFrame, phrases: DataFrame, n: int) -> DataFrame:
+def phrase_ranges(arrays: DataFrame, phrases: DataFrame, n: int) -> DataFrame:
     """(gram, first, last, n): the ranks that the suffixes which begin with each phrase(gram of n words) take; phrases that don't occur are left out.
 
-    arrays: (rec, words). Those suffixes are all that lie between, so ``n`` is their number.
+    arrays: (rec, words). Those suffixes are all that lie between, and how many come before them is settled by the first n words of each, so
+    suffixes are counted and sorted by these and not ranked any further. Shorter ones at the ends of records lack the last words (nulls, which come first).
     """
-    at = arrays.select("rec", F.posexplode(ngrams(F.col("words"), n)).alias("pos", "gram")).join(phrases.select("gram").distinct(), "gram")
-    met = at.join(ranks, ["rec", "pos"]).groupBy("gram").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
-    return met.select("gram", "first", (F.col("first") + F.col("n") - 1).alias("last"), "n")
+    ensure_checkpoints(arrays.sparkSession)
+    keys = [f"_w{k + 1}" for k in range(n)]
+    heads = F.when(F.size("words") > 0, F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.struct(*[F.get("words", i + k).alias(key) for k, key in enumerate(keys)])))
+    counted = arrays.select(F.explode(heads).alias("head")).select("head.*").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    asked = phrases.select("gram").distinct().select("gram", *[F.get("gram", F.lit(k)).alias(key) for k, key in enumerate(keys)])
+    return places(counted, keys).join(asked, keys).select("gram", F.col("place").alias("first"), (F.col("place") + F.col("n") - 1).alias("last"), "n")
 
 
 def longest_matches(arrays: DataFrame, keys: DataFrame) -> DataFrame:
@@ -94,7 +98,7 @@ def q_ranges(spark, sf_dir):
     """Where the pairs of words of the benchmark lie in that order."""
     turns = _turns(spark, sf_dir)
     asked = word_arrays(spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.explode(ngrams(F.col("words"), 2)).alias("gram"))
-    found = phrase_ranges(word_arrays(turns, keep=["rec"]), suffix_ranks(positions(turns, "rec")), asked, 2)
+    found = phrase_ranges(word_arrays(turns, keep=["rec"]), asked, 2)
     return found.select(F.get("gram", F.lit(0)).alias("w1"), F.get("gram", F.lit(1)).alias("w2"), "first", "last", "n")
 
 

@@ -1,4 +1,4 @@
-"""Forms for large tables: the same results as the plain ones."""
+"""Forms that keep words in their chunks and rank no further than asked: the same results as the plain ones."""
 
 import random
 
@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import similarity
-from tessera.operators import similarity_queries
+from tessera.operators import similarity_queries, suffixes
 
 
 @pytest.mark.parametrize("chunk", [64, 1 << 24])
@@ -24,3 +24,15 @@ def test_texts_against_their_groups_in_chunks(spark, monkeypatch, chunk):
     assert set(got) == {(r.x, r.y) for r in want} and {(0, rows[0][1]), (50, "lone")} <= set(got)
     for r in want:
         assert got[r.x, r.y] == pytest.approx(r.asDict()), r
+
+
+def test_phrase_ranges_need_no_order_beyond_the_phrase(spark):
+    rng = random.Random(9)
+    texts = [[rng.choice("aab") for _ in range(rng.randint(0, 30))] for _ in range(8)] + [[], None, ["a"], ["b", "a"]]
+    tails = sorted(t[i:] for t in texts if t for i in range(len(t)))
+    arrays = spark.createDataFrame(list(enumerate(texts)), "rec long, words array<string>")
+    for n in (1, 2, 3):
+        asked = [[rng.choice("abc") for _ in range(n)] for _ in range(20)]
+        got = {tuple(r.gram): (r.first, r.last, r.n) for r in suffixes.phrase_ranges(arrays, spark.createDataFrame([(g,) for g in asked], "gram array<string>"), n).collect()}
+        at = {tuple(g): [k + 1 for k, t in enumerate(tails) if t[:n] == g] for g in asked}
+        assert got == {g: (k[0], k[-1], len(k)) for g, k in at.items() if k}
