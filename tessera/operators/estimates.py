@@ -6,13 +6,13 @@ phrase then gives the estimate, for all phrases of a batch at once.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.session import spread
-from .ngrams import DISCOUNT, _W, _grams, class_sizes, counts_of, ngram_counts, smoothed, word_arrays
+from ..plans.session import bounded, ensure_checkpoints, spread
+from .ngrams import DISCOUNT, _W, _grams, counts_of, ngram_counts, smoothed, word_arrays
 
 #: What an unseen word counts as where no mass is kept for unseen words.
 UNSEEN = 0.01
@@ -116,38 +116,52 @@ def estimate_frequency(arrays: DataFrame, asked: DataFrame, order: int, discount
     return met.join(F.broadcast(total), F.lit(True)).mapInArrow(run, ", ".join(f"{k} string" for k in keys) + ", n long, estimate double")
 
 
-def class_probability(arrays: DataFrame, tok: DataFrame, classes: DataFrame, asked: DataFrame, order: int, modes: list[str], discount: float = DISCOUNT) -> DataFrame:
+def class_probability(arrays: DataFrame, tok: DataFrame, classes: DataFrame | Callable[[Column], Column], asked: DataFrame, order: int, modes: list[str], discount: float = DISCOUNT) -> DataFrame:
     """asked(w1 .. wn), words, with the probability of the last word by the classes of all: a column for each mode.
 
-    classes: (word, class), each word in one class; words that it lacks are classes of their own. The corpus is read as classes; the probability of the last class after
+    classes: (word, class), each word in one class, or a rule that gives the class of a word as a column; words that the table lacks, and with a rule those that the corpus lacks,
+    are classes of their own. The corpus is read as classes, by a rule in place and by a table through a join of all words; the probability of the last class after
     those before is shared out evenly among the different words of the class that the corpus holds.
     """
     from .ngrams import rebuild
 
+    ensure_checkpoints(arrays.sparkSession)
     keys = [f"w{k + 1}" for k in range(order)]
-    own = classes.select("word", "class").distinct()
-    named = lambda df, word: df.join(own.withColumnRenamed("word", word), word, "left").withColumn("class", F.coalesce("class", F.col(word)))
-    read = rebuild(named(tok, "word").select("rec", "pos", F.col("class").alias("word")))
+    # The words are counted once, for the total, the sizes of classes and what the corpus lacks.
+    vocabulary = tok.groupBy("word").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    own = vocabulary.select("word", classes(F.col("word")).alias("class")) if callable(classes) else classes.select("word", "class").distinct()
+    named = lambda df, word, own=own: df.join(own.withColumnRenamed("word", word), word, "left").withColumn("class", F.coalesce("class", F.col(word)))
+    if callable(classes):
+        read, rule = arrays, lambda word: F.coalesce(classes(word), word)
+    else:
+        read, rule = rebuild(named(tok, "word", bounded(own)).select("rec", "pos", F.col("class").alias("word"))), None
     words = asked.select(*keys).distinct()
+    # Of the words with a class only those asked for meet the phrases.
+    known = own.join(bounded(words.select(F.explode(F.array(*keys)).alias("word")).distinct()), "word").checkpoint()
     for k, key in enumerate(keys):
-        words = named(words, key).withColumnRenamed("class", f"c{k + 1}")
-    sizes = class_sizes(tok, tok.select("word").distinct().join(own, "word", "left").select("word", F.coalesce("class", "word").alias("class"))).select(F.col("class").alias(f"c{order}"), F.col("words").alias("size"))
-    ps = raw_probabilities(read, words.select(*[F.col(f"c{k + 1}").alias(f"w{k + 1}") for k in range(order)]), order, discount)
+        words = named(words, key, known).withColumnRenamed("class", f"c{k + 1}")
+    words = words.checkpoint()
+    sizes = named(vocabulary, "word").groupBy(F.col("class").alias(f"c{order}")).agg(F.count(F.lit(1)).alias("size"))
+    total = vocabulary.agg(F.sum("n").cast("double").alias("total"))
+    ps = raw_probabilities(read, words.select(*[F.col(f"c{k + 1}").alias(f"w{k + 1}") for k in range(order)]), order, discount, total, rule)
     ps = ps.select(*[F.col(f"w{k + 1}").alias(f"c{k + 1}") for k in range(order)], "ps")
     met = words.join(ps, [f"c{k + 1}" for k in range(order)]).join(sizes, f"c{order}", "left")
     shared = [F.get("ps", F.lit(k)) / F.coalesce("size", F.lit(1)) for k in range(order)]
     return met.select(*keys, *[smoothed(shared, m, discount).alias(m) for m in modes])
 
 
-def raw_probabilities(arrays: DataFrame, asked: DataFrame, order: int, discount: float = DISCOUNT) -> DataFrame:
-    """asked(w1 .. wn) with ``ps``: the raw probabilities of the last word after none, one, ... of the words before it (null: that history doesn't occur)."""
+def raw_probabilities(arrays: DataFrame, asked: DataFrame, order: int, discount: float = DISCOUNT, total: DataFrame | None = None, rule: Callable[[Column], Column] | None = None) -> DataFrame:
+    """asked(w1 .. wn) with ``ps``: the raw probabilities of the last word after none, one, ... of the words before it (null: that history doesn't occur).
+
+    total(total), one row, is the number of words where it is known already; ``rule`` is as in ``counts_of``.
+    """
     keys = [f"w{k + 1}" for k in range(order)]
     out = asked.select(*keys).distinct()
-    total = arrays.agg(F.sum(F.size("words")).cast("double").alias("total"))
+    total = arrays.agg(F.sum(F.size("words")).cast("double").alias("total")) if total is None else total
     # For each length the gram and, beyond one word, its history.
     wanted = [(n, h, keys[order - n : order - h]) for n in range(1, order + 1) for h in (0, 1) if n > h]
     pieces = out.select(*keys, F.posexplode(F.array(*[F.array(*own) for _, _, own in wanted])).alias("k", "gram"))
-    counts = counts_of(arrays, pieces.select("gram"), list(range(1, order + 1)))
+    counts = counts_of(arrays, pieces.select("gram"), list(range(1, order + 1)), rule=rule)
     met = pieces.join(counts, "gram", "left").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("k", F.coalesce("n", F.lit(0)).cast("double")))).alias("c"))
     at = {(n, h): F.col("c")[k] for k, (n, h, _) in enumerate(wanted)}
     mass = F.col("total") * (1.0 + discount)
@@ -170,7 +184,7 @@ def q_classes(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     arrays = spread(docs.select("text")).select(F.monotonically_increasing_id().alias("rec"), F.expr(r"regexp_extract_all(lower(text), '([\\p{L}]+)', 1)").alias("words"))
     tok = arrays.select("rec", F.posexplode("words").alias("pos", "word"))
-    classes = tok.select("word").distinct().select("word", F.concat(F.lit("#"), F.substring("word", 1, 2), F.length("word")).alias("class"))
+    classes = lambda word: F.concat(F.lit("#"), F.substring(word, 1, 2), F.length(word))
     found = class_probability(arrays, tok, classes, _phrases(spark, sf_dir, 3), 3, ["backoff", "mean"])
     return found.select("w1", "w2", "w3", F.round("backoff", 10).alias("backoff"), F.round("mean", 10).alias("mean"))
 

@@ -6,6 +6,8 @@ aggregation with map-side combine. Searches take the phrases asked for as a tabl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,15 +62,25 @@ def ngram_counts(arrays: DataFrame, n: int, least: int = 1, gap: int = 0) -> Dat
     return counted.where(F.col("n") >= least) if least > 1 else counted
 
 
-def counts_of(arrays: DataFrame, asked: DataFrame, orders: list[int], gap: int = 0) -> DataFrame:
-    """(gram, n): how often each of asked(gram), arrays of words of the given orders, occurs.
+def counts_of(arrays: DataFrame, asked: DataFrame, orders: list[int], gap: int = 0, rule: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(gram, n): how often each of asked(gram), arrays of words of the given orders, occurs; with ``rule`` the corpus is read as what it makes of each word.
 
     All orders are made in one pass, and what isn't asked for is dropped before anything is shuffled: by a broadcast where the
-    grams asked have been counted to be few, by a plain join otherwise.
+    grams asked have been counted to be few, by a plain join otherwise. Words are zipped with those that follow, without functions over arrays, and grams meet as
+    numbers of 96 bits (two hashes of their length and words), so that none are copied. Words aren't null, and what is asked with a null isn't found.
     """
-    made = F.concat(*[ngrams(F.col("words"), n, gap) for n in orders])
-    each = arrays.select(F.explode(made).alias("gram"))
-    return each.join(bounded(asked.select("gram").distinct()), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    code = lambda *of: [F.xxhash64(*of), F.hash(*of)]
+    places = {n: [k * (gap + 1 if n == 2 else 1) for k in range(n)] for n in orders}
+    shifts = sorted({s for own in places.values() for s in own})
+    zipped = arrays.select(*[F.slice("words", s + 1, F.size("words")).alias(f"_{s}") if s else F.col("words").alias("_0") for s in shifts]).select(F.inline(F.arrays_zip(*[f"_{s}" for s in shifts])))
+    if rule is not None:
+        zipped = zipped.select(*[rule(F.col(f"_{s}")).alias(f"_{s}") for s in shifts])
+    made = [F.when(F.col(f"_{own[-1]}").isNotNull(), c) for n, own in places.items() for c in code(F.lit(n), *[f"_{s}" for s in own])]
+    each = zipped.select(F.stack(F.lit(len(orders)), *made).alias("_a", "_b")).where("_a IS NOT NULL")
+    known = asked.select("gram").distinct().where(~F.exists("gram", lambda w: w.isNull()))
+    known = known.select("gram", *[c.alias(name) for c, name in zip(code(F.size("gram"), "gram"), ("_a", "_b"), strict=True)])
+    met = each.join(bounded(known.select("_a", "_b")), ["_a", "_b"]).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("n"))
+    return known.join(met, ["_a", "_b"]).select("gram", "n")
 
 
 def phrase_frequency(arrays: DataFrame, phrases: DataFrame, n: int, gap: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import similarity
-from tessera.operators import similarity_queries, suffixes
+from tessera.operators import estimates, similarity_queries, suffixes
 
 
 @pytest.mark.parametrize("chunk", [64, 1 << 24])
@@ -26,6 +26,21 @@ def test_texts_against_their_groups_in_chunks(spark, monkeypatch, chunk):
         assert got[r.x, r.y] == pytest.approx(r.asDict()), r
 
 
+def test_classes_by_a_rule_are_those_of_a_table(spark):
+    rng = random.Random(8)
+    words = ["aa", "ab", "abc", "b", "ba", "bab", "cc"]
+    arrays = spark.createDataFrame([(k, [rng.choice(words) for _ in range(rng.randint(0, 30))]) for k in range(12)] + [(90, None)], "rec long, words array<string>")
+    tok = arrays.select("rec", F.posexplode("words").alias("pos", "word"))
+    # "ax" has the rule's class of "aa", but the corpus lacks it.
+    asked = spark.createDataFrame([tuple(rng.choice([*words, "ax"]) for _ in range(3)) for _ in range(80)], ["w1", "w2", "w3"])
+    rule = lambda w: F.when(w != "cc", F.concat(F.substring(w, 1, 1), F.length(w)))
+    table = spark.createDataFrame([(w, f"{w[0]}{len(w)}") for w in words if w != "cc"], "word string, class string")
+    ask = lambda classes: {tuple(r)[:3]: tuple(r)[3:] for r in estimates.class_probability(arrays, tok, classes, asked, 3, ["backoff", "mean"]).collect()}
+    got, want = ask(rule), ask(table)
+    assert set(got) == set(want) == {tuple(r) for r in asked.collect()}
+    assert all(got[k] == pytest.approx(want[k]) for k in want) and got
+
+
 def test_phrase_ranges_need_no_order_beyond_the_phrase(spark):
     rng = random.Random(9)
     texts = [[rng.choice("aab") for _ in range(rng.randint(0, 30))] for _ in range(8)] + [[], None, ["a"], ["b", "a"]]
