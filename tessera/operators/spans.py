@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..plans.session import bounded, spread
+
+#: Bytes of texts that are split into words at once, and pairs of words that go out at once.
+SPLIT, PAIRS = 1 << 22, 1 << 16
 OPS = ("add", "max", "min", "product", "average", "none")
 
 
@@ -45,6 +50,57 @@ def merge_adjacent(left: DataFrame, right: DataFrame, score: str = "add") -> Dat
     return met.select("doc", "start", F.col("_end").alias("end"), value.alias("score"), F.greatest("weight", "_weight").alias("weight"), F.concat_ws(" ", "text", "_text").alias("text"), "meta")
 
 
+def _neighbours(split: int, most: int):
+    """Texts (doc, text) to (doc, start, end, text), the pairs of words that follow one another, in batches of ``most`` at most."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            sizes = np.array(pc.fill_null(pc.binary_length(batch.column(1)), 0), dtype=np.int64)
+            part = np.cumsum(sizes) // split
+            for low, high in zip(cuts := np.flatnonzero(np.diff(part, prepend=-1)), [*cuts[1:], len(part)], strict=True):
+                words = pc.ascii_split_whitespace(batch.column(1).slice(low, high - low))
+                rows = np.repeat(np.arange(low, high), np.array(pc.fill_null(pc.list_value_length(words), 0)))
+                flat = words.flatten()
+                some = pc.not_equal(flat, "")
+                flat, rows = flat.filter(some), rows[np.array(some)]
+                # Characters of all words before, over the whole piece; a text's own begin where its first word does.
+                ends = np.cumsum(np.array(pc.utf8_length(flat), dtype=np.int64))
+                starts = np.concatenate([[0], ends])[:-1]
+                first = np.flatnonzero(np.diff(rows, prepend=-1))
+                before = np.repeat(starts[first], np.diff(np.append(first, len(rows))))
+                pairs = np.flatnonzero(rows[1:] == rows[:-1])
+                for k in range(0, len(pairs), most):
+                    at = pairs[k : k + most]
+                    text = pc.binary_join_element_wise(flat.take(pa.array(at)), flat.take(pa.array(at + 1)), " ")
+                    place = [pa.array((x - before[at]).astype(np.int32)) for x in (starts[at], ends[at + 1] - 1)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[at])), *place, text], names=["doc", "start", "end", "text"])
+
+    return run
+
+
+def merge_words(docs: DataFrame, id_col: str, text_col: str, split: int = SPLIT, most: int = PAIRS) -> DataFrame:
+    """(doc, start, end, score, text): what ``merge_adjacent`` makes of the spans of ``build`` by adding scores, without a join: neighbours stand in one text, so no word leaves its row.
+
+    Texts that share an id are one lattice: words of the same number follow those of the number before, whichever text they are from, and what
+    stands before a word is counted over all the texts, the other words of its own number with it. Only these texts are shuffled. Null ids take no part.
+    """
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    shared = bounded(own.groupBy("doc").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc"))
+    form = T.StructType([own.schema["doc"], T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())])
+    pairs = spread(own).join(shared, "doc", "left_anti").select("doc", "text").mapInArrow(_neighbours(split, most), form)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    s = own.join(shared, "doc", "left_semi").select("doc", F.posexplode(words).alias("k", "text"))
+    so_far = Window.partitionBy("doc").orderBy("k").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    s = s.withColumn("start", (F.sum(F.length("text")).over(so_far) - F.length("text")).cast("int"))
+    r = s.select("doc", (F.col("k") - 1).alias("k"), (F.col("start") + F.length("text") - 1).alias("end"), F.col("text").alias("_text"))
+    met = s.join(r, ["doc", "k"]).select("doc", "start", "end", F.concat_ws(" ", "text", "_text").alias("text"))
+    return pairs.unionByName(met).select("doc", "start", "end", F.lit(2.0).alias("score"), "text")
+
+
 def order() -> list[Column]:
     """Start, longer ones first, better scores and weights first."""
     return [F.col("start"), F.desc("end"), F.desc("score"), F.desc("weight")]
@@ -105,8 +161,7 @@ def q_combine(spark, sf_dir):
 
 
 def q_merge(spark, sf_dir):
-    s = _spans(spark, sf_dir)
-    return merge_adjacent(s, s, "add").select("doc", "start", "end", "score", "text")
+    return merge_words(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
 
 
 def q_texts(spark, sf_dir):

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import similarity
-from tessera.operators import estimates, similarity_queries, suffixes
+from tessera.operators import estimates, similarity_queries, spans, suffixes
+from tests.helpers import duck, rows_of
 
 
 @pytest.mark.parametrize("chunk", [64, 1 << 24])
@@ -51,3 +52,33 @@ def test_phrase_ranges_need_no_order_beyond_the_phrase(spark):
         got = {tuple(r.gram): (r.first, r.last, r.n) for r in suffixes.phrase_ranges(arrays, spark.createDataFrame([(g,) for g in asked], "gram array<string>"), n).collect()}
         at = {tuple(g): [k + 1 for k, t in enumerate(tails) if t[:n] == g] for g in asked}
         assert got == {g: (k[0], k[-1], len(k)) for g, k in at.items() if k}
+
+
+@pytest.mark.parametrize("split, most", [(8, 2), (spans.SPLIT, spans.PAIRS)])
+def test_neighbouring_words_meet_within_their_text(spark, split, most):
+    rng = random.Random(10)
+    blanks = [" ", "  ", "\t", "\n", "\r\n", "\x0b", "\x0c", " \n "]
+    # The last two are no blanks here.
+    words = ["a", "be", "\u00e9t\u00e9", "\u65e5\u672c", "\U0001f600", "e\u0301", "x.y", "\u00a0", "\x1c"]
+    texts = ["".join(rng.choice(words) + rng.choice(blanks) for _ in range(rng.randint(0, 30))) for _ in range(40)] + ["", " ", None, "one", " a b", "a b\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "a b c")], "d long, t string").repartition(3)
+    merged = spans.merge_words(docs, "d", "t", split, most)
+    s = spans.build(docs.where("d IS NOT NULL"), "d", "t")
+    got, want = (sorted(map(tuple, df.select("doc", "start", "end", "score", "text").collect())) for df in (merged, spans.merge_adjacent(s, s)))
+    assert got == want and len(got) > 300
+
+
+def test_merged_words_are_not_shuffled(spark, sf_dir):
+    df = spans.q_merge(spark, sf_dir)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "MapInArrow" in plan and "SortMergeJoin" not in plan and "Window" not in plan
+
+
+def test_texts_of_one_id_are_one_lattice(spark, sf_dir, tmp_path):
+    rng = random.Random(11)
+    rows = [(rng.choice([1, 2, 3, 4, 5, 5, 5, None]), " ".join(rng.choice(["a", "bb", "cc\n", "\u00e9"]) for _ in range(rng.randint(0, 9)))) for _ in range(20)] + [(9, "a b c"), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = spans.q_merge(spark, str(tmp_path))
+    columns, want = duck(sf_dir, spans.SQL["span_merge"], {"documents": f"{tmp_path}/documents.parquet/*.parquet"})
+    assert sorted(df.columns) == columns and rows_of(df.columns, df.collect()) == want and len(want) > 50
