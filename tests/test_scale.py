@@ -1,5 +1,6 @@
 """Forms that keep words in their chunks and rank no further than asked: the same results as the plain ones."""
 
+import bisect
 import random
 
 import pytest
@@ -82,3 +83,25 @@ def test_texts_of_one_id_are_one_lattice(spark, sf_dir, tmp_path):
     df = spans.q_merge(spark, str(tmp_path))
     columns, want = duck(sf_dir, spans.SQL["span_merge"], {"documents": f"{tmp_path}/documents.parquet/*.parquet"})
     assert sorted(df.columns) == columns and rows_of(df.columns, df.collect()) == want and len(want) > 50
+
+
+@pytest.mark.parametrize("chunk, part", [(40, 5), (200, 30), (suffixes.CHUNK, suffixes.PART)])
+def test_suffixes_are_ordered_in_chunks(spark, chunk, part):
+    rng = random.Random(12)
+    texts = [[rng.choice(["a", "aa", "b", "\u00e9", "\U0001f600"]) for _ in range(rng.randint(0, 40))] for _ in range(12)]
+    texts += [texts[0], texts[0], texts[1] + ["a"], texts[1][3:], ["b"] * 70, ["b"] * 69, ["b"], [], None, *[["a", "b", "a", "b"]] * 3, ["a", "b", "a", "b", "a"]]
+    # Names may be repeated or missing: each row is a record.
+    rows = [(rng.choice(["x", "y", None]), t) for t in texts]
+    tails = sorted(t[i:] for t in texts if t for i in range(len(t)))
+    want = sorted((str(k), i, bisect.bisect_left(tails, t[i:]) + 1) for k, t in rows if t for i in range(len(t)))
+    found = suffixes.suffix_order(spark.createDataFrame(rows, "rec string, words array<string>").repartition(3), chunk, part)
+    assert sorted((str(r.rec), r.pos, r.rank) for r in found.collect()) == want
+
+
+def test_turns_of_one_name_are_apart(spark, sf_dir, tmp_path):
+    rng = random.Random(13)
+    rows = [(rng.choice([1, 2, None]), rng.choice([0, 1, None]), "u", " ".join(rng.choice(["a", "Bb", "c,"]) for _ in range(rng.randint(0, 9)))) for _ in range(30)] + [(3, 0, "u", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    df = suffixes.q_ranks(spark, str(tmp_path))
+    columns, want = duck(sf_dir, suffixes.SQL["suffix_ranks"], {"conversations": f"{tmp_path}/conversations.parquet/*.parquet"})
+    assert sorted(df.columns) == columns and rows_of(df.columns, df.collect()) == want and len(want) > 50
