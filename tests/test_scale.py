@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import similarity
-from tessera.operators import estimates, similarity_queries, spans, suffixes
+from tessera.operators import clustering, estimates, member_clusters, similarity_queries, spans, suffixes
 from tests.helpers import duck, rows_of
 
 
@@ -105,3 +105,37 @@ def test_turns_of_one_name_are_apart(spark, sf_dir, tmp_path):
     df = suffixes.q_ranks(spark, str(tmp_path))
     columns, want = duck(sf_dir, suffixes.SQL["suffix_ranks"], {"conversations": f"{tmp_path}/conversations.parquet/*.parquet"})
     assert sorted(df.columns) == columns and rows_of(df.columns, df.collect()) == want and len(want) > 50
+
+
+@pytest.mark.parametrize("block, entries", [(7, 40), (None, 1 << 22)])
+def test_neighbours_are_those_of_the_sql(spark, sf_dir, tmp_path, block, entries):
+    rng = random.Random(14)
+    some = lambda: [float(rng.choice([-2, -1, 0, 1, 2, 3])) for _ in range(3)]
+    vs = [some() for _ in range(250)]
+    # Copies, scaled ones, ones without a direction and ones whose squares are out of range; few directions, so many ties.
+    vs += [vs[0]] * 40 + [[3 * x for x in vs[k]] for k in range(30)] + [[0.0] * 3] * 2 + [[1e30, 1e30, 0.0], [1e-30, 0.0, 1e-30]]
+    rng.shuffle(vs)
+    rows = list(enumerate(vs)) + [(None, some()), (400, None)]
+    spark.createDataFrame([(k, v, 1) for k, v in rows], "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = clustering._vectors(spark, str(tmp_path))
+    for name, k in (("knn_topk", 10), ("nearest_neighbor", 1)):
+        found = member_clusters.knn(v, v.where("id % 100 = 0"), k, block=block, entries=entries).select("query", "rank", "id", F.round("similarity", 6).alias("similarity"))
+        columns, want = duck(sf_dir, clustering.SQL[name], {"embeddings": f"{tmp_path}/embeddings.parquet/*.parquet"})
+        # A null vector is like nothing in SQL and takes no part here.
+        want = [r for r in want if "400" not in (r[0], r[1])]
+        assert sorted(found.columns) == columns and rows_of(found.columns, found.collect()) == want and len(want) == 4 * k
+
+
+def test_pairs_of_vectors_are_no_rows(spark, sf_dir):
+    df = clustering.q_knn(10)(spark, sf_dir)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+
+
+def test_vectors_that_cannot_be_compared_come_last(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 1.0]), (3, [1.0]), (4, [1.0, None]), (5, []), (6, [0.0, 1.0]), (1, [1.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    got = sorted(tuple(r) for r in member_clusters.knn(v, v.where("id IN (2, 5)"), 6, block=2).collect())
+    assert [(q, k, i) for q, k, i, _ in got] == [(2, 1, 1), (2, 2, 1), (2, 3, 6), (2, 4, 3), (2, 5, 4), (2, 6, 5), *[(5, k + 1, i) for k, i in enumerate([1, 1, 2, 3, 4, 6])]]
+    assert [s is None for *_, s in got] == [False] * 3 + [True] * 9
